@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablesmith.llm import exact_dedup, mixing
+from tablesmith.llm import exact_dedup, mixing, sharding
 
-MODULES = [mixing, exact_dedup]
+MODULES = [mixing, sharding, exact_dedup]
 
 
 def queries() -> dict:
