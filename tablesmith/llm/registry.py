@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablesmith.llm import exact_dedup, mixing, sharding
+from tablesmith.llm import exact_dedup, language_id, mixing, sharding, token_table
 
-MODULES = [mixing, sharding, exact_dedup]
+MODULES = [mixing, sharding, language_id, token_table, exact_dedup]
 
 
 def queries() -> dict:
