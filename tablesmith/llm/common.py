@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pathlib
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,3 +75,19 @@ def bucketed_rank_base(counts: DataFrame, parts: list[str], bucket: str, n: str,
     w = Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
     w = w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, so that their Python workers can import it; once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tablesmith_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="tablesmith-")  # the driver serves the file as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/tablesmith.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for p in sorted(package.rglob("*.py")):
+            out.write(p, p.relative_to(package.parent))
+    sc.addPyFile(archive)
+    sc._tablesmith_shipped = True

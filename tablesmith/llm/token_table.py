@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import new_path, table
+from tablesmith.llm.common import new_path, ship, table
 
 END_ID = 1
 #: Words whose ids a worker remembers.
@@ -63,6 +63,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     other in the order of a hash of their texts. An empty table gives files without rows.
     """
 
+    ship(docs.sparkSession)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end, seq = coder(tokenizer), array("I", [end_id]).tobytes(), 0
         for batch in batches:
