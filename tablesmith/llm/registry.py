@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tablesmith.llm import exact_dedup, language_id, mixing, near_dedup, sharding, token_table
+from tablesmith.llm import exact_dedup, hidden_markov, language_id, mixing, near_dedup, sharding, token_table
 
-MODULES = [mixing, sharding, language_id, token_table, exact_dedup, near_dedup]
+MODULES = [mixing, hidden_markov, sharding, language_id, token_table, exact_dedup, near_dedup]
 
 
 def queries() -> dict:
