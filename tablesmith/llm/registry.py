@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from tablesmith.llm import exact_dedup, hidden_markov, language_id, mixing, near_dedup, sharding, token_table
+from tablesmith.llm import (
+    exact_dedup,
+    hidden_markov,
+    language_id,
+    mixing,
+    near_dedup,
+    secret_scan,
+    sharding,
+    token_table,
+    url_filter,
+)
 
-MODULES = [mixing, hidden_markov, sharding, language_id, token_table, exact_dedup, near_dedup]
+MODULES = [mixing, hidden_markov, sharding, secret_scan, language_id, token_table, exact_dedup, url_filter, near_dedup]
 
 
 def queries() -> dict:
