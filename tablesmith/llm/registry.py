@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tablesmith.llm import (
+    decontaminate,
     exact_dedup,
     hidden_markov,
     language_id,
@@ -14,7 +15,7 @@ from tablesmith.llm import (
     url_filter,
 )
 
-MODULES = [mixing, hidden_markov, sharding, secret_scan, language_id, token_table, exact_dedup, url_filter, near_dedup]
+MODULES = [mixing, hidden_markov, sharding, secret_scan, language_id, token_table, exact_dedup, url_filter, near_dedup, decontaminate]
 
 
 def queries() -> dict:
