@@ -220,8 +220,8 @@ def _searcher(shared):
     return search
 
 
-def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs with an array column `benchmark_hits` of the test items (item_id, text) that each text holds.
+def find_items(docs: DataFrame, items: DataFrame, into: str = "benchmark_hits") -> DataFrame:
+    """docs with an array column `into` (in place of one of that name) of the test items (item_id, text) that each text holds.
 
     An item's question is what ends with its last question mark, its answer the rest; without a mark, or with nothing
     on one side of it, they are its halves. Items without words are left out. Null and empty texts hold nothing.
@@ -240,7 +240,7 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows]))
 
         columns.append(_searcher(shared)(F.col("text")))
-    return docs.withColumn("benchmark_hits", reduce(F.concat, columns))
+    return docs.withColumn(into, reduce(F.concat, columns))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

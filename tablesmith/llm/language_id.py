@@ -37,8 +37,8 @@ def fit(labelled: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
     return [(lang, raw[lang]) for lang in sorted(counts, key=lambda x: (-counts[x], x)) if len(raw[lang]) >= 8]
 
 
-def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float = 0.0) -> DataFrame:
-    """docs with a struct column `language`: lang, score, rejected.
+def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float = 0.0, into: str = "language") -> DataFrame:
+    """docs with a struct column `into` (in place of one of that name): lang, score, rejected.
 
     score is the share by which the best dictionary beats the second best (0 with one language). Null texts and
     texts without a letter are `und`, score 0, and rejected; so is every text if no language was learned. Others are
@@ -46,7 +46,7 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
     language. Whole texts are compressed, however long, after lower-casing. Other columns pass through.
     """
     if not model:
-        return docs.withColumn("language", F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")))
+        return docs.withColumn(into, F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")))
     langs = [lang for lang, _ in model]
     dictionaries = [raw for _, raw in model]
 
@@ -73,14 +73,14 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
             yield pa.StructArray.from_arrays([pa.array(best, pa.int32()), pa.array(scores, pa.float64())], ["best", "score"])
 
     spoken = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("language", judge(F.when(spoken, F.col("text"))))
-    name = F.element_at(F.array(*[F.lit(x) for x in langs]), F.col("language.best") + 1)
+    out = docs.withColumn(into, judge(F.when(spoken, F.col("text"))))
+    name = F.element_at(F.array(*[F.lit(x) for x in langs]), F.col(f"{into}.best") + 1)
     return out.withColumn(
-        "language",
+        into,
         F.struct(
             F.when(spoken, name).otherwise(UNKNOWN).alias("lang"),
-            F.when(spoken, F.col("language.score")).otherwise(0.0).alias("score"),
-            (~spoken | (F.col("language.score") < min_margin)).alias("rejected"),
+            F.when(spoken, F.col(f"{into}.score")).otherwise(0.0).alias("score"),
+            (~spoken | (F.col(f"{into}.score") < min_margin)).alias("rejected"),
         ),
     )
 

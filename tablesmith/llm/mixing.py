@@ -80,8 +80,8 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epo
     return out.select("source", "weight", "source_size", "target", "whole", F.coalesce(last, F.lit(-1)).alias("last_place"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """docs with a struct column `mix`: source_size, target, copies (how often the mix takes the row).
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, into: str = "mix") -> DataFrame:
+    """docs with a struct column `into` (in place of one of that name): source_size, target, copies (how often the mix takes the row).
 
     Null sources are a source of their own, last in order; null texts have no words; documents without words come
     as often as their place in the order says, and take no words. Rows that repeat an id are taken or left
@@ -91,10 +91,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
     p = mixing_plan(docs, weights, max_epochs, seed)
     p = materialise(p, "mix-plan").select(F.col("source").alias("__source"), F.struct("source_size", "target", "whole", "last_place").alias("__plan"))
     copies = F.col("__plan.whole") + (place(F.col("text_row.doc_id"), F.col("text_row.text"), seed) <= F.col("__plan.last_place")).cast("int")
-    rows = docs.select(F.struct("*").alias("text_row"))
+    rows = docs.drop(into).select(F.struct("*").alias("text_row"))
     rows = rows.join(p, F.col("text_row.source").eqNullSafe(F.col("__source")))
     mixed = F.struct(F.col("__plan.source_size").alias("source_size"), F.col("__plan.target").alias("target"), F.least(copies, F.lit(max_epochs)).alias("copies"))
-    return rows.select("text_row.*", mixed.alias("mix"))
+    return rows.select("text_row.*", mixed.alias(into))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

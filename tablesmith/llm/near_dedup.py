@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablesmith.llm.common import materialise, ship, table
@@ -271,6 +271,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     return out.unionByName(signed.filter("n_shingles = 0").drop("class", "bands").withColumn("component_id", alone))
 
 
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 36) -> DataFrame:
+    """The rows of docs that stay: of each component the document with the smallest id, once even if its row is repeated.
+
+    Documents without words all stay. Rows that share an id but differ in their texts are told apart by the texts.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = near_duplicates(docs.select("doc_id", "text", key.alias("__key")), k, num, den, bands)
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = stays.groupBy(F.col("doc_id").alias("__id")).agg(F.min("__key").alias("__key"))
+    rows = docs.select(F.struct("*").alias("__row"), "doc_id", key.alias("__key"))
+    rows = rows.join(stays, rows["doc_id"].eqNullSafe(stays["__id"]) & (rows["__key"] == stays["__key"])).select("__row", rows["doc_id"], rows["__key"])
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0)))
+    return rows.withColumn("__nth", nth).filter("__nth = 1").select("__row.*")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, num=85, bands=24)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -52,14 +52,14 @@ def propagate(units: DataFrame, turn: int) -> DataFrame:
     return units.unionByName(change).groupBy("group", "shard").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-def shard(docs: DataFrame, shards: int = 8, rounds: int = 3) -> DataFrame:
-    """docs with a struct column `placed`: group (digest of the text), shard, slot (gapless from 0 in each shard).
+def shard(docs: DataFrame, shards: int = 8, rounds: int = 3, into: str = "placed") -> DataFrame:
+    """docs with a struct column `into` (in place of one of that name): group (digest of the text), shard, slot (gapless from 0 in each shard).
 
     A null text is a group of its own, apart from empty texts. Null and repeated ids are ordinary rows. An empty
     table gives an empty result, and other columns pass through.
     """
     group = F.coalesce(F.md5("text"), F.lit("null"))
-    rows = docs.select(F.struct("*").alias("row"), group.alias("group"))
+    rows = docs.drop(into).select(F.struct("*").alias("row"), group.alias("group"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("row.doc_id", F.lit(1)), F.lit(SALTS)).cast("int"))
     key = docs.select(group.alias("group"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).cast("int").alias("salt"))
     parts = materialise(key.groupBy("group", "salt").agg(F.count(F.lit(1)).alias("n")), "shard-parts")
@@ -80,7 +80,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 3) -> DataFrame:
     rows = rows.withColumn("nth", nth).join(parts, ["group", "salt"]).withColumn("nth", F.col("nth") + F.col("first"))
     at = F.expr("filter(ranges, x -> x.low <= nth and nth < x.low + x.n)[0]")
     rows = rows.withColumn("at", at)
-    return rows.select("row.*", F.struct("group", F.col("at.shard").alias("shard"), (F.col("at.slot") + F.col("nth") - F.col("at.low")).alias("slot")).alias("placed"))
+    return rows.select("row.*", F.struct("group", F.col("at.shard").alias("shard"), (F.col("at.slot") + F.col("nth") - F.col("at.low")).alias("slot")).alias(into))
 
 
 def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
