@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from tablesmith.plans import merging, quality, sourcing
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+flagship = merging.flagship
+#: The modules put their queries into one catalogue.
+MODULES = (merging, quality, sourcing)
 
 
 def queries() -> dict:
-    return {}
+    return dict(merging.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(merging.SQL)
