@@ -22,8 +22,8 @@ from tablesmith.llm.wordscan import HashIndex, mix, scan
 K1, B = 1.2, 0.75
 #: A passage retrieves an item from this share of the item's score against itself.
 SHARE = 0.5
-#: Words of a shingle, and the share of the question's and of the answer's that a document must hold.
-SHINGLE, OVERLAP = 5, 0.8
+#: Words of a shingle; the shares of a whole item's, and of its question's and its answer's, that a document must hold.
+SHINGLE, OVERLAP, PART_OVERLAP = 5, 0.8, 0.5
 #: Postings of a block; terms in at most so many items count one by one in the first bound; items of one index.
 BLOCK, RARE, ITEMS = 8, 16, 50_000
 
@@ -52,7 +52,7 @@ class Index:
                     self.ids.append(items[w.lo + i][0])
                     words.append(own)
                     # a part that is shorter than a shingle is one by itself
-                    self.parts.append([(k := min(SHINGLE, len(part)), _shingles(part, k)) for part in (own[:cut], own[cut:])])
+                    self.parts.append([(k := min(SHINGLE, len(part)), _shingles(part, k)) for part in (own, own[:cut], own[cut:])])
         n = len(words)
         self.sizes = np.array([len(w) for w in words], float)
         self.window = max(32, 2 * max(map(len, words), default=0))
@@ -186,7 +186,7 @@ class Index:
         return best
 
     def hits(self, words: np.ndarray) -> list[dict]:
-        """Items found in a document, verified: item_id, score, question and answer (shares of their shingles)."""
+        """Items found in a document, verified: item_id, score, and shares of shingles (overlap of the whole, question, answer)."""
         found = self.search(words) if len(self.ids) else {}
         if not found:
             return []
@@ -198,18 +198,18 @@ class Index:
                 if k not in held:
                     held[k] = _shingles(words, k)
                 shares.append(float(np.isin(part, held[k], assume_unique=True).mean()) if len(part) else 1.0)
-            if min(shares) >= OVERLAP:
-                out.append({"item_id": self.ids[i], "score": found[i], "question": shares[0], "answer": shares[1]})
+            if shares[0] >= OVERLAP and min(shares[1:]) >= PART_OVERLAP:
+                out.append({"item_id": self.ids[i], "score": found[i], "overlap": shares[0], "question": shares[1], "answer": shares[2]})
         return out
 
 
-HITS = "array<struct<item_id long, score double, question double, answer double>>"
+HITS = "array<struct<item_id long, score double, overlap double, question double, answer double>>"
 
 
 def _searcher(shared):
     @F.arrow_udf(HITS)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
         index = shared.value
         for texts in batches:
             rows = []
