@@ -73,7 +73,7 @@ def _scaled(text: Column, scales: tuple[tuple[str, float], ...], number) -> Colu
 
 #: Scale suffixes of each parser.
 NUMERIC_SCALES = (("k", 1e3), ("m", 1e6), ("b", 1e9), ("t", 1e12))
-LIKE_SCALES = (("bn", 1e9), ("b", 1e9), ("m", 1e6), ("k", 1e3))
+LIKE_ZEROS = (("bn", 9), ("b", 9), ("m", 6), ("k", 3))
 MONEY_SCALES = (("bn", 1e9), ("m", 1e6), ("k", 1e3))
 UNITS = r"(?i)( gb|gb| tb|tb| kg|kg| lbs|lb| inch| inches| in| hz| wh)$"
 
@@ -88,7 +88,11 @@ def parse_numeric(c: Column) -> Column:
 def numeric_like(c: Column) -> Column:
     """Number of a text whose leading non-numeric part and scale suffix (bn, b, m, k) are taken off; null for other text."""
     t = F.regexp_replace(F.regexp_replace(strip(c), "[,$%]", ""), r"^[^\d\-.]+", "")
-    return _scaled(t, LIKE_SCALES, lambda x: strict_double(strip(x)))
+    out = strict_double(strip(t))
+    for suffix, zeros in reversed(LIKE_ZEROS):  # an exponent scales exactly
+        cut = F.substring(t, F.lit(1), F.length(t) - len(suffix))
+        out = F.when(F.lower(t).endswith(suffix), strict_double(F.concat(strip(cut), F.lit(f"e{zeros}")))).otherwise(out)
+    return out
 
 
 def parse_money(c: Column) -> Column:

@@ -8,12 +8,14 @@ or nearly so in place: candidates are found by an equi join on pieces, never by
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.text import canonical_key
+from tablesmith.session import ship
 
 RATIO = 0.94
 
@@ -47,20 +49,25 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     return met.filter(few)
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(a=x, b=y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+@cache
+def sequence_ratio():
+    return F.pandas_udf(_ratios, "double")
+
+
 def resolve_fuzzy(df: DataFrame, column: str, pos: str, into: str = "entity_name") -> DataFrame:
     """df with the canonical key of a column after fuzzy matching, in order of position.
 
     Distinct keys with their first positions are enough. A key takes the earliest of its matches that is canonical
     itself; matches settle in rounds along the order, as many as the longest chain of them.
     """
+    ship(df.sparkSession)
     keyed = resolve_exact(df, column, "__key")
     keys = keyed.groupBy(F.col("__key").alias("key")).agg(F.min(pos).alias("pos"))
-    edges = candidate_pairs(keys).filter(sequence_ratio("a", "b") >= RATIO).select("a", "a_pos", "b", "b_pos")
+    edges = candidate_pairs(keys).filter(sequence_ratio()("a", "b") >= RATIO).select("a", "a_pos", "b", "b_pos")
     edges = edges.cache()
     settled = keys.join(edges.select(F.col("a").alias("key")).distinct(), "key", "left_anti").select("key", F.col("key").alias("to"))
     open_ = edges

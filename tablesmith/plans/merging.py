@@ -28,11 +28,11 @@ def nations(spark, d):
 
 def per_nation(spark, d, name, key, value, out):
     t = table(spark, d, name).join(F.broadcast(table(spark, d, "nation")), F.col(key) == F.col("n_nationkey"))
-    return t.groupBy(F.col("n_name").alias("entity_name")).agg(F.round(F.avg(value), 2).alias("score"), F.count(F.lit(1)).alias(out)).withColumn("source_url", F.lit(name))
+    return t.groupBy(F.col("n_name").alias("entity_name")).agg(F.round(F.sum(value), 2).alias("score"), F.count(F.lit(1)).alias(out)).withColumn("source_url", F.lit(name))
 
 
 @query("""
-WITH r AS (SELECT n_name AS entity_name, round(avg(s_acctbal), 2) AS score, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
+WITH r AS (SELECT n_name AS entity_name, round(sum(s_acctbal), 2) AS score, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
 SELECT n.n_name AS entity_name, coalesce(CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey::DOUBLE END, r.score) AS score,
        CASE WHEN r.entity_name IS NULL THEN 'nation' ELSE 'nation | supplier' END AS source_url, r.suppliers
 FROM nation n LEFT JOIN r ON n.n_name = r.entity_name""")
@@ -41,8 +41,8 @@ def merge_coalesce_left(spark, d):
 
 
 @query("""
-WITH l AS (SELECT n_name AS entity_name, round(avg(s_acctbal), 2) AS score, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 4 <> 0 GROUP BY 1),
-     r AS (SELECT n_name AS entity_name, round(avg(c_acctbal), 2) AS score, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 3 <> 0 GROUP BY 1)
+WITH l AS (SELECT n_name AS entity_name, round(sum(s_acctbal), 2) AS score, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 4 <> 0 GROUP BY 1),
+     r AS (SELECT n_name AS entity_name, round(sum(c_acctbal), 2) AS score, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 3 <> 0 GROUP BY 1)
 SELECT coalesce(l.entity_name, r.entity_name) AS entity_name, coalesce(l.score, r.score) AS score, suppliers,
        CASE WHEN l.entity_name IS NULL THEN 'customer' WHEN r.entity_name IS NULL THEN 'supplier' ELSE 'supplier | customer' END AS source_url, customers, r.entity_name AS right_name
 FROM l FULL JOIN r ON l.entity_name = r.entity_name""")
@@ -75,8 +75,8 @@ def concat_union_by_name(spark, d):
 
 @query("""
 WITH p AS (SELECT o_custkey, o_orderkey, unnest([o_orderpriority, o_orderstatus]) AS part, unnest([0, 1]) AS n FROM orders),
-f AS (SELECT o_custkey, part, min((o_orderkey, n)) AS at FROM p GROUP BY 1, 2)
-SELECT o_custkey, string_agg(part, ' | ' ORDER BY at) AS sources FROM f GROUP BY 1""")
+f AS (SELECT o_custkey, part, min((o_orderkey, n)) AS spot FROM p GROUP BY 1, 2)
+SELECT o_custkey, string_agg(part, ' | ' ORDER BY spot) AS sources FROM f GROUP BY 1""")
 def row_sources_union(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.concat_ws(" | ", "o_orderpriority", "o_orderstatus").alias("sources"))
     return tables.group_sources(o, "o_custkey", "o_orderkey", "sources")
