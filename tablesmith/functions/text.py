@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,6 +26,11 @@ SUFFIX_LABELS = ("co", "com", "org", "gov", "ac")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c evaluated once however often use refers to it; otherwise each mention copies the expression."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """White space, no-break spaces included, off both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -49,17 +55,24 @@ def clean_price(c: Column) -> Column:
     """First number of a price in either locale: the later of comma and point is the decimal mark."""
     found = F.regexp_extract(F.regexp_replace(strip(c), " ", " "), r"[-+]?\d[\d.,\s]*", 0)
     found = F.regexp_replace(found, r"\s+", "")
-    comma, point = F.instr(found, ","), F.instr(found, ".")
-    last_comma, last_point = F.length(found) - F.instr(F.reverse(found), ","), F.length(found) - F.instr(F.reverse(found), ".")
+    return let(found, _price)
+
+
+def _price(found: Column) -> Column:
     without = lambda x, chars: F.translate(x, chars, "")
+    has_comma, has_point = F.instr(found, ",") > 0, F.instr(found, ".") > 0
+    comma_last = F.instr(F.reverse(found), ",") < F.instr(F.reverse(found), ".")
     commas = F.length(found) - F.length(without(found, ","))
     tail = F.length(F.substring_index(found, ",", -1))
-    both = F.when(last_comma > last_point, F.translate(without(found, "."), ",", ".")).otherwise(without(found, ","))
+    both = F.when(comma_last, F.translate(without(found, "."), ",", ".")).otherwise(without(found, ","))
     only_comma = F.when((commas == 1) & (tail <= 2), F.translate(found, ",", ".")).otherwise(without(found, ","))
-    plain = F.when((comma > 0) & (point > 0), both).when(comma > 0, only_comma).otherwise(found)
-    parts = F.split(plain, r"\.")
-    several = F.concat(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), ""), F.lit("."), F.element_at(parts, -1))
-    return strict_double(F.when(F.size(parts) > 2, several).otherwise(plain))
+    plain = F.when(has_comma & has_point, both).when(has_comma, only_comma).otherwise(found)
+
+    def one_point(parts: Column) -> Column:
+        several = F.concat(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), ""), F.lit("."), F.element_at(parts, -1))
+        return strict_double(F.when(F.size(parts) > 2, several).otherwise(F.array_join(parts, ".")))
+
+    return let(F.split(plain, r"\."), one_point)
 
 
 def _scaled(text: Column, scales: tuple[tuple[str, float], ...], number) -> Column:
@@ -182,22 +195,31 @@ def join_sources(*columns: Column) -> Column:
 
 def canonical_key(c: Column) -> Column:
     """Entity key: words of letters and digits, split at case and digit changes, without corporate words and short tails."""
-    v = strip(c)
-    ticker = v.rlike(r"[a-z][A-Z]{2,}$") | v.rlike(r"\d{3,5}\.[A-Z]{1,3}$") | v.rlike(r"[A-Za-z]+\d{2,5}$")
-    t = F.regexp_replace(v, "([a-z])([A-Z][a-z])", "$1 $2")
-    t = F.lower(F.regexp_replace(F.regexp_replace(t, r"([A-Za-z])(\d)", "$1 $2"), r"(\d)([A-Za-z])", "$1 $2"))
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\[[^\]]+\]", ""), "&", " and "), r"[^a-z0-9\s]", " ")
-    words = F.filter(F.split(t, r"\s+"), lambda w: (w != "") & ~w.isin(*CORPORATE))
+
+    def ticker(v: Column) -> Column:
+        return v.rlike(r"[a-z][A-Z]{2,}$") | v.rlike(r"\d{3,5}\.[A-Z]{1,3}$") | v.rlike(r"[A-Za-z]+\d{2,5}$")
+
+    def words_of(v: Column) -> Column:
+        t = F.regexp_replace(v, "([a-z])([A-Z][a-z])", "$1 $2")
+        t = F.lower(F.regexp_replace(F.regexp_replace(t, r"([A-Za-z])(\d)", "$1 $2"), r"(\d)([A-Za-z])", "$1 $2"))
+        t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\[[^\]]+\]", ""), "&", " and "), r"[^a-z0-9\s]", " ")
+        return F.filter(F.split(t, r"\s+"), lambda w: (w != "") & ~w.isin(*CORPORATE))
 
     def cut(words: Column, kind: str, most: int, also: Column | None = None) -> Column:
-        last = F.try_element_at(words, F.lit(-1))
-        fits = (F.size(words) >= 2) & last.rlike(kind) & (F.length(last) <= most)
-        return F.when(fits if also is None else fits & also, F.slice(words, 1, F.size(words) - 1)).otherwise(words)
-
-    words = cut(words, "^[a-z]+$", 2)
-    for kind, most in (("^[a-z]+$", 5), ("^[0-9]+$", 5), ("^[a-z]+$", 3)):
-        words = cut(words, kind, most, ticker)
-    return F.when(v.isNull() | F.lower(v).isin("", "nan", "none"), F.lit("")).otherwise(F.array_join(words, " "))
+        def shorter(w: Column) -> Column:
+            last = F.try_element_at(w, F.lit(-1))
+            fits = (F.size(w) >= 2) & last.rlike(kind) & (F.length(last) <= most)
+            return F.when(fits if also is None else fits & also, F.slice(w, 1, F.size(w) - 1)).otherwise(w)
+
+        return let(words, shorter)
+
+    def key(v: Column) -> Column:
+        words = cut(words_of(v), "^[a-z]+$", 2)
+        for kind, most in (("^[a-z]+$", 5), ("^[0-9]+$", 5), ("^[a-z]+$", 3)):
+            words = cut(words, kind, most, ticker(v))
+        return F.when(v.isNull() | F.lower(v).isin("", "nan", "none"), F.lit("")).otherwise(F.array_join(words, " "))
+
+    return let(strip(c), key)
 
 
 def any_of(c: Column, phrases: tuple[str, ...]) -> Column:

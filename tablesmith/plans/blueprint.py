@@ -1,0 +1,98 @@
+"""Blueprints: a goal's dataset name, row schema with roles, and how many records it wants. Driver-side."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql.types import BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType
+
+from tablesmith.plans.intent import read_goal
+from tablesmith.sources.files import slug
+
+TYPES: dict[str, DataType] = {"string": StringType(), "integer": LongType(), "number": DoubleType(), "boolean": BooleanType()}
+#: Words of fields that say little, and of fields that answer yes or no.
+LOW_SIGNAL = ("url", "uri", "id", "uuid", "logo", "image", "img", "icon", "link", "href", "slug", "avatar", "thumbnail")
+YES_NO = ("is", "has", "was", "active", "eligible", "qualified")
+FEATURES = 5
+#: Fields of each domain's row, the target by the goal's hint.
+TEMPLATES = {
+    "nba": (("entity_name", "string"), ("points_per_game", "number"), ("rebounds_per_game", "number"), ("assists_per_game", "number"), ("games_played", "integer")),
+    "ncaa-basketball": (("school", "string"), ("conference", "string"), ("scoring_offense", "number"), ("scoring_defense", "number"), ("win_percentage", "number")),
+    "soccer": (("club", "string"), ("squad_size", "integer"), ("average_age", "number"), ("transfer_spend", "number"), ("transfer_income", "number")),
+    "startup": (("company_name", "string"), ("industry", "string"), ("funding", "number"), ("founded_year", "integer"), ("country", "string")),
+    "bank": (("bank_name", "string"), ("state", "string"), ("total_assets", "number"), ("deposits", "number"), ("branches", "integer")),
+    "laptop": (("name", "string"), ("cpu_model", "string"), ("gpu_model", "string"), ("ram_gb", "number"), ("storage_gb", "number")),
+    "public-data": (("state", "string"), ("population", "number"), ("gdp", "number"), ("gdp_growth_rate", "number"), ("area", "number")),
+    "generic": (("entity_name", "string"), ("category", "string"), ("metric_value", "number"), ("year", "integer"), ("region", "string")),
+}
+
+
+@dataclass(frozen=True)
+class Blueprint:
+    """What a run is to make: dataset, records wanted, schema with roles in its metadata, and seed sources."""
+
+    dataset: str
+    records: int
+    schema: StructType
+    sources: tuple[str, ...] = field(default=())
+
+    @property
+    def target(self) -> str | None:
+        return next((f.name for f in self.schema if f.metadata.get("ml_role") == "target"), None)
+
+
+def field_type(name: str, kind: str) -> DataType:
+    """Spark type of a declared type; an unknown one is yes-or-no if its name says so, else text."""
+    if kind in TYPES:
+        return TYPES[kind]
+    return BooleanType() if set(name.split("_")) & set(YES_NO) else StringType()
+
+
+def low_signal(name: str) -> bool:
+    return any(w in LOW_SIGNAL for w in re.split(r"[^a-z0-9]+", name.lower()))
+
+
+def make_schema(fields: list[tuple[str, str]], target: str | None) -> StructType:
+    """Primitive fields that say something: one target and five features at most, roles in the metadata, all nullable."""
+    kept, features = [], 0
+    for name, kind in fields:
+        role = "target" if name == target else "feature"
+        if role == "feature":
+            if low_signal(name) or features == FEATURES:
+                continue
+            features += 1
+        kept.append(StructField(name, field_type(name, kind), True, {"ml_role": role}))
+    return StructType(kept)
+
+
+def infer_target(fields: list[tuple[str, str]], declared: str | None = None) -> str | None:
+    """Declared, else the first field whose name has a telling word, else the first number, else the first field."""
+    names = [n for n, _ in fields]
+    if declared in names:
+        return declared
+    words = ("target", "salary", "price", "valuation", "revenue", "growth", "wins", "winning", "appearances", "score")
+    by_word = (n for w in words for n in names if w in n.split("_"))
+    return next(by_word, next((n for n, k in fields if k in ("number", "integer")), names[0] if names else None))
+
+
+def design(goal: str, count: int | None = None, sources: tuple[str, ...] = ()) -> Blueprint:
+    """Blueprint of a goal by its domain's template; the hinted target is added if the template lacks it."""
+    read = read_goal(goal)
+    fields = list(TEMPLATES[read.domain])
+    target = read.target or infer_target(fields)
+    if target not in dict(fields):
+        fields.append((target, "number"))
+    records = max(1, min(count, 5000)) if count else 100
+    return Blueprint(slug(re.sub(r"^predict\s+", "", goal.lower())), max(25, min(records, 1000)) if not count else records, make_schema(fields, target), tuple(dict.fromkeys(sources)))
+
+
+def validate(blueprint: Blueprint) -> list[str]:
+    """What is wrong with a blueprint."""
+    roles = [f.metadata.get("ml_role") for f in blueprint.schema]
+    found = []
+    if roles.count("target") != 1:
+        found.append("a schema needs one target")
+    if not 1 <= roles.count("feature") <= FEATURES:
+        found.append(f"a schema needs 1 to {FEATURES} features")
+    return found
