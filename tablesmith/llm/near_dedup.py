@@ -216,12 +216,34 @@ def rest_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             if roots[r] != roots[c] and (out[r] or out[c]):
                 yield (int(ids[r]), int(ids[c]))
 
+    def forest(found: Iterator[tuple[int, int]], root_of: dict[int, int]) -> list[tuple[int, int]]:
+        """The links that join components which the links before them left apart; the others say nothing new."""
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        out = []
+        for a, b in found:
+            x, y = top(root_of[a]), top(root_of[b])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((a, b))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def done() -> pa.RecordBatch:
             ids = np.array([x["class"] for x in held])
-            found = list(compare(ids, np.array([x["root"] for x in held]), np.array([x["out"] for x in held]), [np.frombuffer(x["shingles"], np.uint64) for x in held])) if len(held) > 1 else []
+            roots = np.array([x["root"] for x in held])
+            found = []
+            if len(held) > 1:
+                links = compare(ids, roots, np.array([x["out"] for x in held]), [np.frombuffer(x["shingles"], np.uint64) for x in held])
+                found = forest(links, dict(zip(ids.tolist(), roots.tolist(), strict=True)))
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
