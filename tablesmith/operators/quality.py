@@ -200,14 +200,13 @@ def issues(df: DataFrame, row: str, entity: str | None = None, enums: dict[str,
 def numeric_conflicts(df: DataFrame, key: str, value: str, domain: str, most: float = 0.35) -> DataFrame:
     """Per key that two sources or more report: domains, lowest, middle and highest value, spread, conflict.
 
-    The middle is the upper of the two middle values. Values are put in order per key by their distinct values and
-    how often they occur, so a key with many equal reports stays small.
+    The middle is the upper of the two middle values. Its aggregate keeps distinct values with their counts and merges
+    them map-side, so a key with many equal reports stays small.
     """
     known = df.filter(F.col(value).isNotNull())
-    sums = known.groupBy(key).agg(F.count_distinct(domain).alias("domains"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n"))
-    middle = known.groupBy(key).agg(F.element_at(F.array_sort(F.collect_list(value)), (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int")).alias("middle"))
-    out = sums.filter("domains >= 2").join(middle, key)
-    out = out.withColumn("spread", (F.col("high") - F.col("low")) / F.greatest(F.abs("middle"), F.lit(1.0)))
+    middle = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")
+    out = known.groupBy(key).agg(F.count_distinct(domain).alias("domains"), F.min(value).alias("low"), F.max(value).alias("high"), middle.alias("middle"))
+    out = out.filter("domains >= 2").withColumn("spread", (F.col("high") - F.col("low")) / F.greatest(F.abs("middle"), F.lit(1.0)))
     return out.withColumn("conflict", F.col("spread") > most)
 
 
