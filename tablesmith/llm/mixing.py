@@ -105,4 +105,33 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mix_sources": op1_mix_sources}
-ORACLES = {}
+ORACLES = {
+    "op1_mix_sources": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS place
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 3 * source_size AS clamp FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(clamp) OVER (ORDER BY clamp / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (ORDER BY clamp / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w
+), free AS (
+  SELECT arg_min(level, clamp / weight) AS level FROM l WHERE clamp / weight > level
+), t AS (
+  SELECT l.source, source_size, CASE WHEN clamp / weight <= l.level THEN clamp::DOUBLE ELSE weight * free.level END AS target FROM l, free
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
+), p AS (
+  SELECT source, place, sum(size) AS size FROM d GROUP BY source, place
+), m AS (
+  SELECT p.source, place, coalesce(sum(size) OVER (PARTITION BY p.source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 <= target - whole * source_size AS more
+  FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
+)
+SELECT d.doc_id, d.size, e.source_size, e.target, (d.size * least(e.whole + m.more::INT, 3))::BIGINT AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN m ON d.source IS NOT DISTINCT FROM m.source AND d.place = m.place
+"""
+}
