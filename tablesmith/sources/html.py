@@ -130,7 +130,11 @@ def headers(cells: DataFrame, words: tuple[str, ...] = BUILDER_WORDS) -> DataFra
 
 
 def rows_of(cells: DataFrame, words: tuple[str, ...] = BUILDER_WORDS) -> DataFrame:
-    """url, table_idx, row_idx, names, values: data rows with their table's header; rows that repeat it, and empty ones, are gone."""
+    """url, table_idx, row_idx, names, values: data rows with their table's header; rows that repeat it, and empty ones, are gone.
+
+    Cells are read several times, so they are cached: pages are parsed once.
+    """
+    cells = cells.cache()
     h = headers(cells, words)
     values = cells.filter(~F.col("header")).groupBy("url", "table_idx", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "text"))).alias("v"))
     rows = values.join(h, ["url", "table_idx"]).filter(F.col("row_idx") >= F.col("first_row"))
