@@ -9,6 +9,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,8 +18,12 @@ from pyspark.sql import functions as F
 from tablesmith.llm.common import new_path, ship, table
 
 END_ID = 1
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 300_000
+#: Words and words without their marks whose ids a worker remembers.
+CACHED_WORDS, CACHED_CORES = 300_000, 600_000
+#: Texts that are encoded together.
+TEXTS = 1024
+#: Marks that end words; an apostrophe isn't one of them, as tokenizers split contractions there.
+MARKS = ".,!?;:*&$%#|)\""
 
 _coders: dict[str, WordCoder] = {}
 
@@ -36,18 +41,54 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
+        # plain words can go to the model directly if case and pre-tokenising make no difference to them
+        probe = ["the", "Reading", "XQZ", "s", "wordsworthian"]
+        self.plain = [self._model(w) for w in probe] == self._whole(probe)
+        # a run of marks after letters is encoded apart if it is a pre-token of its own
+        self.splits = self._whole(["word.,", "Été!!", 'x*&")']) == [a + b for a, b in zip(self._whole(["word", "Été", "x"]), self._whole([".,", "!!", '*&")']), strict=True)]
+
+    def _model(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.lower())]).tobytes()
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_new(self, words: list[str]) -> list[bytes]:
+        """Ids of words that aren't known: marks at the end apart, then each core once."""
+        pairs = []
+        for w in words:
+            core = w.rstrip(MARKS) if self.splits else w
+            if core != w and not core.isalpha():
+                core = w
+            pairs.append((core.lower() if self.plain and core.isascii() and core.isalpha() else core, w[len(core) :]))
+        wanted = {x for pair in pairs for x in pair}
+        ids = self._recall(self.cores, wanted, CACHED_CORES, self._encode_cores)
+        return [ids[a] + ids[b] for a, b in pairs]
+
+    def _encode_cores(self, cores: list[str]) -> list[bytes]:
+        plain = {x: self._model(x) for x in cores if self.plain and x.isascii() and x.isalpha()}
+        rest = [x for x in cores if x not in plain]
+        plain.update(zip(rest, self._whole(rest), strict=True))
+        return [plain[x] for x in cores]
+
+    @staticmethod
+    def _recall(known: dict[str, bytes], wanted: set[str], most: int, make) -> dict[str, bytes]:
+        """Ids of what is wanted, from the cache or made; the cache takes what is new until it is full."""
+        out = {w: known[w] for w in wanted if w in known}
+        new = [w for w in wanted if w not in out]
+        made = dict(zip(new, make(new), strict=True))
+        known.update(islice(made.items(), max(0, most - len(known))))
+        out.update(made)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if new:
-            ids = (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
-            if len(known) + len(new) > CACHED_WORDS:
-                known = known.copy()  # for these texts only
-            known.update(zip(new, ids, strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        words: set[str] = set()
+        for s in split:
+            words.update(s)
+        get = self._recall(self.known, words, CACHED_WORDS, self._encode_new).__getitem__
+        return [b"".join(map(get, s)) for s in split]
 
 
 def coder(path: str) -> WordCoder:
@@ -69,12 +110,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         code, end, seq = coder(tokenizer), array("I", [end_id]).tobytes(), 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for lo in range(0, len(batch), 512):
-                rows = [b + end for b in code.encode([t or "" for t in texts.slice(lo, 512).to_pylist()])]
+            for lo in range(0, len(batch), TEXTS):
+                rows = [b + end for b in code.encode([t or "" for t in texts.slice(lo, TEXTS).to_pylist()])]
                 sizes = pa.array([0] + [len(b) // 4 for b in rows], pa.int32())
                 flat = pa.Array.from_buffers(pa.int32(), sum(map(len, rows)) // 4, [None, pa.py_buffer(b"".join(rows))])
                 lists = pa.ListArray.from_arrays(pa.compute.cumulative_sum(sizes), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(range(seq, seq + len(rows)), pa.int64()), ids.slice(lo, 512), lists], ["seq", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(seq, seq + len(rows)), pa.int64()), ids.slice(lo, TEXTS), lists], ["seq", "doc_id", "ids"])
                 seq += len(rows)
 
     rows = docs.select("doc_id", "text").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
