@@ -4,8 +4,9 @@ Native: DataFrame functions only. The law is `rows`: shard sizes in rows differ
 
 Linked documents are those with equal texts. Documents are first dealt out in turn, so the law holds; then, round
 by round, documents ask to move to the shard where most of their neighbours are, and for every pair of shards as
-many moves are granted in one direction as in the other, so it holds after each round too. All of this works on
-`units`, the rows (group, shard, number of documents), so a group that a third of all rows share is a few rows.
+many rows move in one direction as in the other, so it holds after each round too. Where fewer ask for the way back,
+documents without neighbours, which are as well off anywhere, make room. All of this works on `units`, the rows
+(group, shard, number of documents), so a group that a third of all rows share is a few rows.
 """
 
 from __future__ import annotations
@@ -29,27 +30,50 @@ def _spread(df: DataFrame, parts: list[str], order: list[str], n: str, out: str)
 
 
 def deal(groups: DataFrame, shards: int) -> DataFrame:
-    """Units for groups (group, n): all documents, in the order of their groups, are dealt to the shards in turn."""
+    """Units for groups (group, n), `linked` where n > 1: all documents, in the order of their groups, are dealt to the shards in turn."""
     g = _spread(groups, [], [], "n", "first")
     g = g.withColumn("shard", F.explode(F.array(*[F.lit(s) for s in range(shards)])))
     upto = lambda x: F.floor((x + (shards - 1) - F.col("shard")) / shards)  # noqa: E731  documents 0..x-1 that fall to the shard
-    return g.withColumn("k", (upto(F.col("first") + F.col("n")) - upto(F.col("first"))).cast("long")).filter("k > 0").select("group", "shard", F.col("k").alias("n"))
+    return g.withColumn("k", (upto(F.col("first") + F.col("n")) - upto(F.col("first"))).cast("long")).filter("k > 0").select("group", "shard", (F.col("n") > 1).alias("linked"), F.col("k").alias("n"))
 
 
-def propagate(units: DataFrame, turn: int) -> DataFrame:
-    """One round: documents move to the shard where most of their group is, as many from a to b as from b to a.
+def propagate(units: DataFrame, free: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One round: documents move to the shard where most of their group is, as many rows from a to b as from b to a.
 
-    Between shards with equally many, a hash decides, and another one each turn, so that requests go both ways.
+    free (shard, n) counts the documents without neighbours; those of b go to a for the requests from a to b that
+    none from b to a meets, as far as b has any. Returns units and free after the round. Between shards with equally
+    many, a hash decides, and another one each turn, so that requests go both ways.
     """
     most = Window.partitionBy("group").orderBy(F.desc("n"), F.xxhash64("group", "shard", F.lit(turn)))
     asked = units.withColumn("to", F.first("shard").over(most)).filter("shard <> to")
-    asked = asked.withColumn("a", F.least("shard", "to")).withColumn("b", F.greatest("shard", "to"))
-    flows = asked.groupBy("a", "b").agg(F.sum(F.expr("if(shard = a, n, 0)")).alias("up"), F.sum(F.expr("if(shard = b, n, 0)")).alias("down"))
-    quota = flows.select("a", "b", F.least("up", "down").alias("quota"))
-    asked = _spread(asked.drop("a", "b"), ["shard", "to"], [], "n", "before").join(quota, (F.least("shard", "to") == F.col("a")) & (F.greatest("shard", "to") == F.col("b")))
+    flows = materialise(asked.groupBy("shard", "to").agg(F.sum("n").alias("ask")), "shard-flows")  # one for each pair of shards at most
+    back = flows.select(F.col("to").alias("shard"), F.col("shard").alias("to"), F.col("ask").alias("back"))
+    flows = flows.join(back, ["shard", "to"], "left").withColumn("back", F.coalesce("back", F.lit(0)))
+    flows = flows.withColumn("need", F.greatest(F.lit(0), F.col("ask") - F.col("back"))).join(free.select(F.col("shard").alias("to"), F.col("n").alias("room")), "to", "left")
+    others = Window.partitionBy("to").orderBy(F.xxhash64("shard", "to", F.lit(turn)), "shard").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.coalesce("room", F.lit(0)) - F.coalesce(F.sum("need").over(others), F.lit(0))
+    flows = flows.withColumn("fill", F.least("need", F.greatest(F.lit(0), left)))
+    quota = materialise(flows.select("shard", "to", "fill", F.least("ask", F.col("back") + F.col("fill")).alias("quota")), "shard-quota")
+    asked = _spread(asked, ["shard", "to"], [], "n", "before").join(quota.drop("fill"), ["shard", "to"])
     moved = asked.withColumn("m", F.least("n", F.greatest(F.lit(0), F.col("quota") - F.col("before")))).filter("m > 0")
     change = moved.select("group", F.explode(F.array(F.struct(F.col("shard"), (-F.col("m")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("m").alias("n")))).alias("x")).select("group", "x.*")
-    return units.unionByName(change).groupBy("group", "shard").agg(F.sum("n").alias("n")).filter("n > 0")
+    swapped = quota.select(F.explode(F.array(F.struct(F.col("to").alias("shard"), (-F.col("fill")).alias("n")), F.struct(F.col("shard"), F.col("fill").alias("n")))).alias("x")).select("x.*")
+    add = lambda df, more, *by: df.unionByName(more).groupBy(*by).agg(F.sum("n").alias("n")).filter("n > 0")
+    return add(units, change, "group", "shard"), add(free, swapped, "shard")
+
+
+def settle(alone: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Units of one document each, moved so that a shard that had n of them in `before` (shard, n) has n of `after`."""
+    had, has = before.select("shard", F.col("n").alias("had"), F.lit(0).alias("has")), after.select("shard", F.lit(0).alias("had"), F.col("n").alias("has"))
+    plan = had.unionByName(has).groupBy("shard").agg(F.sum("had").alias("had"), F.sum("has").alias("has"))  # a row for each shard
+    plan = plan.withColumn("stay", F.least("had", "has"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    plan = plan.withColumns({"gone": F.coalesce(F.sum(F.col("had") - F.col("stay")).over(upto), F.lit(0)), "low": F.coalesce(F.sum(F.col("has") - F.col("stay")).over(upto), F.lit(0))})
+    come = F.struct("low", (F.col("has") - F.col("stay")).alias("n"), F.col("shard").alias("to"))
+    plan = plan.select("shard", "stay", "gone", F.collect_list(come).over(Window.partitionBy(F.lit(0))).alias("come"))
+    rows = _spread(alone, ["shard"], [], "n", "nth").join(plan, "shard").withColumn("nth", F.col("nth") - F.col("stay"))
+    to = F.expr("filter(come, x -> x.low <= gone + nth and gone + nth < x.low + x.n)[0].to")
+    return rows.select("group", F.when(F.col("nth") < 0, F.col("shard")).otherwise(to).alias("shard"), "n")
 
 
 def shard(docs: DataFrame, shards: int = 8, rounds: int = 3, into: str = "placed") -> DataFrame:
@@ -65,12 +89,13 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 3, into: str = "placed
     parts = materialise(key.groupBy("group", "salt").agg(F.count(F.lit(1)).alias("n")), "shard-parts")
     sizes = parts.groupBy("group").agg(F.sum("n").alias("n"))
     units = materialise(deal(sizes, shards), "shard-units")
-    # groups of one document have no neighbours, so only the others take part
-    together = sizes.filter("n > 1").select("group")
-    alone, linked = units.join(together, "group", "left_anti"), materialise(units.join(together, "group", "left_semi"), "shard-linked")
+    # groups of one document have no neighbours, so they only make room for the others
+    alone, linked = units.filter("not linked").drop("linked"), units.filter("linked").drop("linked")
+    dealt = free = materialise(alone.groupBy("shard").agg(F.sum("n").alias("n")), "shard-free")
     for turn in range(rounds):
-        linked = materialise(propagate(linked, turn), "shard-linked")
-    units = _spread(alone.unionByName(linked), ["shard"], [], "n", "slot")
+        linked, free = propagate(linked, free, turn)
+        linked = materialise(linked, "shard-linked")
+    units = _spread(settle(alone, dealt, free).unionByName(linked), ["shard"], [], "n", "slot")
     w = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     units = units.withColumn("low", F.coalesce(F.sum("n").over(w), F.lit(0)))
     ranges = units.groupBy("group").agg(F.collect_list(F.struct("low", "n", "shard", "slot")).alias("ranges"))  # one for each shard at most

@@ -137,6 +137,23 @@ def test_shards(docs, none, spark):
     assert split <= 0.3 * max(1, sum(c == 2 for c in counts.values()))
 
 
+def cut_edges(rows, shards=8):
+    """Share of the pairs of equal texts (text, shard) that are in different shards; the law is checked too."""
+    sizes = Counter(s for _, s in rows)
+    assert len(sizes) == shards and max(sizes.values()) - min(sizes.values()) <= 1
+    pairs = lambda c: sum(n * (n - 1) // 2 for n in c.values())
+    return 1 - pairs(Counter(rows)) / pairs(Counter(t for t, _ in rows))
+
+
+def test_documents_without_neighbours_make_room(spark):
+    one = [(i, "hot" if i < 1000 else f"own {i}") for i in range(4 * 1000)]
+    half = [(i, "hot" if i < 400 else "warm" if i < 600 else f"pair {i // 2}" if i < 1000 else f"own {i}") for i in range(4000)]
+    for rows, most in ((one, 0.76), (half, 0.01)):  # half of the first group is all that a shard holds
+        got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).select("text", "placed.shard", "placed.slot").collect()
+        assert len({(r["shard"], r["slot"]) for r in got}) == len(rows)
+        assert cut_edges([(r["text"], r["shard"]) for r in got]) <= most
+
+
 def brute_components(rows, k, num, den):
     def shingles(t):
         w = words(t)
