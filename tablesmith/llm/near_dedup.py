@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import materialise, ship, table
+from tablesmith.llm.common import WORD, materialise, ship, table
 from tablesmith.llm.wordscan import mix, scan
 
 #: Coordinates of a band. With 24 bands a pair of similarity 0.85 is missed once in a million times, with 36 one of 0.8.
@@ -269,6 +269,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     Shingles, sets and bands are known by 64-bit hashes.
     """
+    return _grouped(docs, k, num, den, bands).drop("__root")
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int, bands: int) -> DataFrame:
+    """near_duplicates with __root, the smallest class of the component: a key that does not depend on ids (null for an empty set)."""
     ship(docs.sparkSession)
     signed = materialise(sign(docs, k, bands), "near-signed")
     full = signed.filter("n_shingles > 0")
@@ -286,26 +291,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     rest = materialise(rest_links(known, sets, num, den), "near-rest")
     roots = materialise(components(links.unionByName(rest)), "near-roots")
     least = classes.select("class", "doc_id").join(roots, "class")
-    least = least.join(least.groupBy("root").agg(F.min("doc_id").alias("least")), "root").select("class", "least")
+    least = least.join(least.groupBy("root").agg(F.min("doc_id").alias("least")), "root").select("class", "root", "least")
     alone = F.when(F.col("n_shingles") > 0, F.lit(None)).otherwise(F.col("doc_id"))
-    per_class = materialise(classes.select("class", "doc_id").join(least, "class", "left").select("class", F.coalesce("least", "doc_id").alias("component_id")), "near-classes")
+    of_class = classes.select("class", "doc_id").join(least, "class", "left")
+    per_class = materialise(of_class.select("class", F.coalesce("root", "class").alias("__root"), F.coalesce("least", "doc_id").alias("component_id")), "near-classes")
     out = full.join(per_class, "class").drop("class", "bands")
-    return out.unionByName(signed.filter("n_shingles = 0").drop("class", "bands").withColumn("component_id", alone))
+    return out.unionByName(signed.filter("n_shingles = 0").drop("class", "bands").withColumns({"__root": F.lit(None).cast("long"), "component_id": alone}))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 36) -> DataFrame:
     """The rows of docs that stay: of each component the document with the smallest id, once even if its row is repeated.
 
-    Documents without words all stay. Rows that share an id but differ in their texts are told apart by the texts.
+    Documents without words all stay. Components are told apart by what they hold, not by their ids: null ids and rows
+    that share an id but differ in their texts lose nothing. A null id stays where its component has no other.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = near_duplicates(docs.select("doc_id", "text", key.alias("__key")), k, num, den, bands)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stays.groupBy(F.col("doc_id").alias("__id")).agg(F.min("__key").alias("__key"))
-    rows = docs.select(F.struct("*").alias("__row"), "doc_id", key.alias("__key"))
+    found = _grouped(docs.select("doc_id", "text", key.alias("__key")), k, num, den, bands).filter("n_shingles > 0")
+    first = found.groupBy("__root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__key")).alias("x"))
+    stays = first.select(F.col("x.doc_id").alias("__id"), F.col("x.__key").alias("__key"))
+    spoken = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rows = docs.filter(spoken).select(F.struct("*").alias("__row"), "doc_id", key.alias("__key"))
     rows = rows.join(stays, rows["doc_id"].eqNullSafe(stays["__id"]) & (rows["__key"] == stays["__key"])).select("__row", rows["doc_id"], rows["__key"])
     nth = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0)))
-    return rows.withColumn("__nth", nth).filter("__nth = 1").select("__row.*")
+    return rows.withColumn("__nth", nth).filter("__nth = 1").select("__row.*").unionByName(docs.filter(~spoken))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

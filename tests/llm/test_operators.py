@@ -208,6 +208,14 @@ def test_keep_one(docs):
     assert set(ids) == comps | empty
 
 
+def test_keep_one_tells_components_apart(spark):
+    r = random.Random(8)
+    a, b, c, d = (" ".join(f"v{r.randrange(10**6)}" for _ in range(30)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (None, None), (None, ""), (None, " "), (None, " "), (7, c), (7, d), (7, d), (8, c), (None, c), (9, "")]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, a), (None, b), (None, None), (None, ""), (None, " "), (None, " "), (7, c), (7, d), (9, "")])
+
+
 def test_hidden_markov(docs, none):
     from pyspark.sql import functions as F
 
