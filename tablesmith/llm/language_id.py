@@ -40,7 +40,8 @@ def fit(labelled: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
 def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float = 0.0, into: str = "language") -> DataFrame:
     """docs with a struct column `into` (in place of one of that name): lang, score, rejected.
 
-    score is the share by which the best dictionary beats the second best (0 with one language). Null texts and
+    score is the share by which the best dictionary beats the second best; with one language, by which it beats
+    no dictionary at all (0 if it does not help). Null texts and
     texts without a letter are `und`, score 0, and rejected; so is every text if no language was learned. Others are
     rejected where the score is below min_margin; they keep their best guess. Equal sizes go to the more frequent
     language. Whole texts are compressed, however long, after lower-casing. Other columns pass through.
@@ -61,13 +62,14 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
             d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
             coders.append(zstd.ZstdCompressor(dict_data=d, compression_params=how).compress)
+        plain = zstd.ZstdCompressor(compression_params=how).compress if len(coders) == 1 else None
         for texts in batches:
             best, scores = [], []
             for text in texts:
                 raw = (text.as_py() or "").lower().encode()
                 sizes = [len(c(raw)) for c in coders]
                 k = min(range(len(sizes)), key=sizes.__getitem__)
-                second = min((s for i, s in enumerate(sizes) if i != k), default=sizes[k])
+                second = max(sizes[k], len(plain(raw))) if plain else min(s for i, s in enumerate(sizes) if i != k)
                 best.append(k)
                 scores.append((second - sizes[k]) / second)
             yield pa.StructArray.from_arrays([pa.array(best, pa.int32()), pa.array(scores, pa.float64())], ["best", "score"])

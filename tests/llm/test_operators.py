@@ -271,6 +271,15 @@ def test_language_id(docs, none):
     assert {r["language"]["lang"] for r in language_id.identify(docs, []).collect()} == {"und"}
 
 
+def test_a_corpus_in_one_language_is_kept(docs):
+    import corpus_pipeline
+
+    english = docs.filter("lang = 'en' and length(text) > 100")
+    odd = english.limit(1).selectExpr("1000 doc_id", "'Щ' text", "'en' lang", "source", "n_chars")  # the dictionary saves nothing
+    kept = corpus_pipeline.language_stage(docs.sparkSession, english.unionByName(odd), "").collect()
+    assert Counter(r["doc_id"] for r in kept) == Counter(i for i, t, lang, *_ in ROWS if lang == "en" and len(t) > 100)
+
+
 def test_token_table(docs, none, spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
