@@ -8,7 +8,8 @@ partitions. The scaled forward recursion gives the exact probability of a whole
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ STATES = 8
 HEAD, SHARED, KNOWN = 16127, 256, 1 << 18
 CLASSES = HEAD + SHARED + 1
 END = CLASSES - 1
-#: Baum-Welch starts from a sample of about so many texts of at most so many tokens; its rounds there and over everything.
+#: Baum-Welch starts from a sample of about so many texts, of longer ones a piece of so many tokens; its rounds there and over everything.
 START_TEXTS, START_TOKENS, START_ROUNDS, ROUNDS = 1500, 2000, 25, 2
 #: Tokens that are worked on at a time.
 TOKENS = 1 << 19
@@ -238,9 +239,10 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
     return start, move * model.move, emit
 
 
-def _sequences(ids: pa.Array) -> list[np.ndarray]:
+def _sequences(ids: pa.Array, ends: Iterable[bool] = repeat(True)) -> list[np.ndarray]:
+    """Classes of each text or piece, followed by the end of the text where `ends` says that it comes there."""
     end = np.array([END], "<u2").tobytes()
-    return [np.frombuffer(x.as_py() + end, "<u2") for x in ids]
+    return [np.frombuffer(x.as_py() + end if last else x.as_py(), "<u2") for x, last in zip(ids, ends, strict=False)]
 
 
 def _together(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -260,15 +262,17 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, states: int = STATES, roun
     """Baum-Welch over all rows of encoded (row, ids): a start from a bounded sample, then `rounds` over everything."""
     share = START_TEXTS / max(1, vocabulary.texts)
     picked = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < share * (1 << 30)
-    sample = encoded.filter(picked & (F.length("ids") <= 2 * START_TOKENS)).select("ids").toArrow()
-    texts = _sequences(sample.column(0).combine_chunks()) if len(sample) else []
+    pieces = F.greatest(F.lit(1), F.ceil(F.length("ids") / (2 * START_TOKENS)))
+    piece = F.pmod(F.xxhash64("row", F.lit(1)), pieces)
+    sample = encoded.filter(picked).select(F.substring("ids", (piece * 2 * START_TOKENS + 1).cast("int"), F.lit(2 * START_TOKENS)).alias("ids"), (piece == pieces - 1).alias("ends")).toArrow()
+    texts = _sequences(sample.column(0).combine_chunks(), sample.column(1).to_pylist()) if len(sample) else []
     model = Model.fresh(vocabulary.prior, states, seed)
     for _ in range(START_ROUNDS if texts else 0):
         model = Model.estimate(*expected_counts(model, texts), vocabulary.prior)
     sc = encoded.sparkSession.sparkContext
     # rows CLASSES.. hold starts and moves
     fields = "k int, " + ", ".join(f"s{i} double" for i in range(states))
-    for _ in range(rounds if texts else 0):
+    for _ in range(rounds if vocabulary.texts else 0):
         now = sc.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:

@@ -238,6 +238,14 @@ def test_hidden_markov(docs, none):
     assert hidden_markov.score(docs.select("doc_id", "text"), F.lit(False)).filter("score < 0").count() == len(ROWS)
 
 
+def test_long_texts_alone_teach_the_markov_model(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(["one"] * 60 + ["two"] * 60) + (" " + " ".join(["one"] * 60 + ["two"] * 60)) * 24) for i in range(8)]
+    got = hidden_markov.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") > 0, states=3).collect()
+    assert len(got) == 8 and all(r["n_tokens"] > hidden_markov.START_TOKENS and r["score"] > 0.5 * r["base_score"] for r in got)
+
+
 def test_forward_recursion_is_a_distribution():
     import itertools
 
