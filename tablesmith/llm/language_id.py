@@ -14,6 +14,8 @@ from tablesmith.llm.common import id_crc, table
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 256, 2000, 96 * 1024
 #: Search that finds repeats of three bytes: common endings and short words tell languages apart.
 SEARCH = {"strategy": "STRATEGY_LAZY2", "min_match": 3, "search_log": 4}
+#: What a dictionary saves levels off at some KB however long the text is, so a margin is taken of so many bytes at most.
+MARGIN_BYTES = 64 * 1024
 UNKNOWN = "und"
 
 
@@ -43,7 +45,8 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
     score is the share by which the best dictionary beats the second best; with one language, by which it beats
     no dictionary at all (0 if it does not help). Null texts and
     texts without a letter are `und`, score 0, and rejected; so is every text if no language was learned. Others are
-    rejected where the score is below min_margin; they keep their best guess. Equal sizes go to the more frequent
+    rejected where the bytes saved over the second best are less than min_margin of its size, or of MARGIN_BYTES if
+    that is less, so no text is too long; they keep their best guess. Equal sizes go to the more frequent
     language. Whole texts are compressed, however long, after lower-casing. Other columns pass through.
     """
     if not model:
@@ -51,7 +54,7 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
     langs = [lang for lang, _ in model]
     dictionaries = [raw for _, raw in model]
 
-    @F.arrow_udf("struct<best int, score double>")
+    @F.arrow_udf("struct<best int, score double, margin double>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import zstandard as zstd
 
@@ -64,7 +67,7 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
             coders.append(zstd.ZstdCompressor(dict_data=d, compression_params=how).compress)
         plain = zstd.ZstdCompressor(compression_params=how).compress if len(coders) == 1 else None
         for texts in batches:
-            best, scores = [], []
+            best, scores, margins = [], [], []
             for text in texts:
                 raw = (text.as_py() or "").lower().encode()
                 sizes = [len(c(raw)) for c in coders]
@@ -72,7 +75,8 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
                 second = max(sizes[k], len(plain(raw))) if plain else min(s for i, s in enumerate(sizes) if i != k)
                 best.append(k)
                 scores.append((second - sizes[k]) / second)
-            yield pa.StructArray.from_arrays([pa.array(best, pa.int32()), pa.array(scores, pa.float64())], ["best", "score"])
+                margins.append((second - sizes[k]) / min(second, MARGIN_BYTES))
+            yield pa.StructArray.from_arrays([pa.array(best, pa.int32()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], ["best", "score", "margin"])
 
     spoken = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     out = docs.withColumn(into, judge(F.when(spoken, F.col("text"))))
@@ -82,7 +86,7 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
         F.struct(
             F.when(spoken, name).otherwise(UNKNOWN).alias("lang"),
             F.when(spoken, F.col(f"{into}.score")).otherwise(0.0).alias("score"),
-            (~spoken | (F.col(f"{into}.score") < min_margin)).alias("rejected"),
+            (~spoken | (F.col(f"{into}.margin") < min_margin)).alias("rejected"),
         ),
     )
 

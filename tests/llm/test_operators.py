@@ -288,6 +288,17 @@ def test_a_corpus_in_one_language_is_kept(docs):
     assert Counter(r["doc_id"] for r in kept) == Counter(i for i, t, lang, *_ in ROWS if lang == "en" and len(t) > 100)
 
 
+def test_long_texts_are_not_rejected_for_their_length(spark):
+    import base64
+
+    r = random.Random(12)
+    model = [(lang, prose(r, 2000, lang).encode()[:2000]) for lang in ("en", "de")]
+    rows = [(1, prose(r, 150_000)), (2, base64.b64encode(r.randbytes(750_000)).decode())]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model, 0.001).select("doc_id", "language.*").collect()
+    assert {r["doc_id"]: r["rejected"] for r in got} == {1: False, 2: True}
+    assert [r["lang"] for r in got if r["doc_id"] == 1] == ["en"]
+
+
 def test_token_table(docs, none, spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
