@@ -41,7 +41,7 @@ def _shingles(words: np.ndarray, k: int) -> np.ndarray:
 class Index:
     """Postings of items by term, in blocks with their largest impacts; items are numbered by their place in the list."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.ids, words, self.parts = [], [], []
         for w in scan(pa.array([t for _, t in items], pa.string())) if items else ():
             for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
@@ -224,7 +224,8 @@ def find_items(docs: DataFrame, items: DataFrame, into: str = "benchmark_hits")
     """docs with an array column `into` (in place of one of that name) of the test items (item_id, text) that each text holds.
 
     An item's question is what ends with its last question mark, its answer the rest; without a mark, or with nothing
-    on one side of it, they are its halves. Items without words are left out. Null and empty texts hold nothing.
+    on one side of it, they are its halves. Items without words are left out; a hit of an
+    item with a null item_id has a null one. Null and empty texts hold nothing.
     Whole texts are searched, whatever their length. Repeated rows get equal hits, items with equal texts are all
     found; an empty table or an empty benchmark gives no hits; other columns pass through.
 
@@ -232,11 +233,11 @@ def find_items(docs: DataFrame, items: DataFrame, into: str = "benchmark_hits")
     of that many, each with statistics of its own, and the hits are put together.
     """
     ship(docs.sparkSession)
-    items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    items = items.filter(F.col("text").isNotNull()).select("item_id", "text")
     blocks = max(1, -(-items.count() // ITEMS))
     columns = []
     for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         shared = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows]))
 
         columns.append(_searcher(shared)(F.col("text")))

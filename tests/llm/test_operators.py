@@ -411,6 +411,13 @@ def test_decontaminate(docs, none, spark):
     assert decontaminate.find_items(none, items).count() == 0
 
 
+def test_items_without_an_id_are_found(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = [(1, f"some words before {ITEMS[4][1]} and after"), (2, "nothing to be found here")]
+    got = decontaminate.find_items(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {r["doc_id"]: [h["item_id"] for h in r["benchmark_hits"]] for r in got} == {1: [None], 2: []}
+
+
 def test_wand_equals_scoring_everything():
     r = random.Random(6)
     items = [(i, " ".join(f"t{min(int(r.expovariate(0.05)), 200)}" for _ in range(r.randint(4, 30)))) for i in range(80)]
