@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 from tablesmith.llm.common import materialise, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A character beyond ASCII that lower() would change.
-CASED = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
+#: Groups of more than this share of all rows are hot: there are fewer than a thousand of them, whatever the input.
+HOT = 0.001
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else; lower() is used where it comes to the same, as it is much faster."""
-    return F.when(text.rlike(CASED), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    """Lower-case A-Z and nothing else; lower() is used where it comes to the same, as it is much faster.
+
+    It does for pure ASCII, and where it leaves everything beyond ASCII as it is, by the very tables that it uses.
+    """
+    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    cased = F.exists(F.array(beyond), lambda x: F.lower(x) != x)
+    return F.when((F.octet_length(text) == F.length(text)) | ~cased, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def salt_of(df: DataFrame, salts: int) -> Column:
+    """A salt that spreads equal texts whatever their ids: rows that repeat an id differ in their partition."""
+    return F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(salts)).cast("int")
 
 
 def exact_groups(docs: DataFrame, salts: int = 16) -> DataFrame:
@@ -27,7 +37,8 @@ def exact_groups(docs: DataFrame, salts: int = 16) -> DataFrame:
     2. One shuffle merges the salted groups, so a text that a third of all rows share meets in `salts` places.
     3. A second shuffle merges the winners of the salts: at most `salts` rows for each text.
     """
-    rows = _normalised(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    rows = _normalised(docs)
+    rows = rows.withColumn("salt", salt_of(rows, salts))
     salted = rows.groupBy("text_sha256", "salt", "content").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return salted.groupBy("text_sha256", "content").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
@@ -39,15 +50,22 @@ def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
     group. Of a group, the row with the largest doc_id stays; null ids stay only where a group has no other. Rows
     that repeat an id share its decision. An empty table gives an empty result; other columns are ignored.
 
-    The groups compare whole contents. Rows find their group by its SHA-256; should two contents ever share one,
-    the rows concerned are joined on their whole contents instead.
+    The groups compare whole contents. Rows find their group by its SHA-256, those of a hot group in `salts` places;
+    should two contents ever share a digest, the rows concerned are joined on their whole contents instead.
     """
     groups = exact_groups(docs, salts).groupBy("text_sha256").agg(
         F.count(F.lit(1)).alias("contents"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")
     )
     groups = materialise(groups, "exact-groups")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    hot = F.col("group_size") > max(1, HOT * total)
     rows = _normalised(docs)
-    out = rows.select("doc_id", "text_sha256").join(groups.filter("contents = 1").drop("contents"), "text_sha256")
+    marked = groups.filter(hot).select("text_sha256", F.lit(True).alias("hot"))  # under 1 / HOT rows
+    spread = rows.select("doc_id", "text_sha256").join(F.broadcast(marked), "text_sha256", "left")
+    spread = spread.withColumn("salt", F.when(F.col("hot"), salt_of(rows, salts)).otherwise(0))
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    single = groups.filter("contents = 1").withColumn("salt", F.explode(copies)).drop("contents")
+    out = spread.join(single, ["text_sha256", "salt"])
     shared = groups.filter("contents > 1").select("text_sha256")
     if not shared.isEmpty():
         apart = exact_groups(docs, salts).join(shared, "text_sha256", "left_semi")

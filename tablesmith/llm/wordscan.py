@@ -1,11 +1,13 @@
 """Words of many texts at once, straight from Arrow's buffers.
 
-Words are runs of anything but ASCII white space; A-Z count as a-z. Each word gets a 64-bit hash: the sum of a
-random number per byte times a power of an odd base, taken from running sums over the whole buffer, then mixed.
+Words are runs of anything but ASCII white space; A-Z count as a-z. Each word gets a 64-bit hash: its length and its
+bytes, eight at a time, go through a bijective mixer one after the other, so words of up to eight bytes and equal
+length never share one, and no family of longer words does by its form. Words over LONG bytes are hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +17,11 @@ import pyarrow as pa
 #: Bytes that are scanned at a time; a longer text is scanned by itself.
 CHUNK = 1 << 20
 
-_BASE, _GOLDEN = 0x9E3779B97F4A7C55, 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of the longest word that is hashed by blocks.
+LONG = 64
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Leading bytes of a block that belong to a word of so many bytes.
+_LEADING = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
@@ -35,27 +39,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix((np.arange(1, 257, dtype=np.uint64) * np.uint64(_GOLDEN)))[FOLD]
+def blocks(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a buffer as a little-endian number; the buffer ends with eight bytes of padding."""
+    return np.ndarray((len(padded) - 7,), "<u8", padded.data, strides=(1,))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    k = 1
-    while k < n:
-        out[k : 2 * k] = out[: len(out[k : 2 * k])] * np.uint64(pow(base, k, 1 << 64))
-        k *= 2
-    return out
+def leading(ahead: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes of words (place, size) as a number, those beyond a word's end as zeros."""
+    return ahead[at] & _LEADING[np.minimum(size, 8)]
 
 
-_tables: dict[str, np.ndarray] = {}
-
-
-def _table(name: str, base: int, n: int) -> np.ndarray:
-    if len(_tables.get(name, ())) < n:
-        if n > 4 * CHUNK:
-            return _powers(base, n)  # for one very long text; not kept
-        _tables[name] = _powers(base, n)
-    return _tables[name]
+def hash_words(folded: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at start..stop of a buffer that ends with eight bytes of padding."""
+    ahead, size = blocks(folded), stop - start
+    h = mix(leading(ahead, start, size) + mix(size.astype(np.uint64) * _GOLDEN))
+    for k in range(8, LONG, 8):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        h[more] = mix((h[more] ^ leading(ahead, start[more] + k, size[more] - k)) + _GOLDEN)
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(folded[start[i] : stop[i]], digest_size=8).digest(), "little")
+    return h
 
 
 @dataclass
@@ -83,34 +88,43 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
 
 
-def scan(texts: pa.Array) -> Iterator[Words]:
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """lo, hi, bytes and offsets of texts lo..hi-1, CHUNK bytes or one text at a time."""
     at, data = buffers(texts)
     lo, n = 0, len(texts)
     while lo < n:
         hi = int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1
         hi = max(lo + 1, min(hi, n))
-        yield _scan(lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 
 
-def _scan(lo: int, hi: int, raw: np.ndarray, at: np.ndarray) -> Words:
-    n = len(raw)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return Words(lo, hi, raw, none, none, np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64))
-    solid = SOLID[raw]
+def scan(texts: pa.Array) -> Iterator[Words]:
+    for chunk in chunks(texts):
+        yield _scan(*chunk)
+
+
+def runs(solid: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of solid bytes begin and end; a text (from one of `at` to the next) ends a run, as it begins one."""
+    n = len(solid)
     opens, closes = solid.copy(), solid.copy()
     opens[1:] &= ~solid[:-1]
     closes[:-1] &= ~solid[1:]
-    begins, ends = at[:-1][at[:-1] < n], at[1:][at[1:] > 0] - 1  # a text ends a word, as it begins one
+    begins, ends = at[:-1][at[:-1] < n], at[1:][at[1:] > 0] - 1
     opens[begins] = solid[begins]
     closes[ends] = solid[ends]
-    start, stop = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[raw] * _table("up", _BASE, n)[:n], out=sums[1:])
-    h = mix((sums[stop] - sums[start]) * _table("down", _INVERSE, n)[start])
-    return Words(lo, hi, raw, start, stop, h, np.searchsorted(start, at))
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+def _scan(lo: int, hi: int, raw: np.ndarray, at: np.ndarray) -> Words:
+    n = len(raw)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return Words(lo, hi, raw, none, none, np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64))
+    start, stop = runs(SOLID[raw], at)
+    folded = np.zeros(n + 8, np.uint8)
+    folded[:n] = FOLD[raw]
+    return Words(lo, hi, raw, start, stop, hash_words(folded, start, stop), np.searchsorted(start, at))
 
 
 class HashIndex:
@@ -120,7 +134,8 @@ class HashIndex:
         self.sorted = np.ascontiguousarray(hashes, np.uint64)
         bits = max(4, int(len(hashes) * 4).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(self.sorted >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        counts = np.bincount((self.sorted >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.first = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
         self.deepest = int(np.diff(self.first).max()) if len(hashes) else 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
