@@ -64,6 +64,22 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
 
 
+#: A key is hot if it has more than this share of all rows: fewer than a thousand keys can be, whatever the input.
+HOT = 0.001
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with facts: one row for each key, with n, the number of rows that have it, of `total` in all.
+
+    Facts about hot keys are broadcast, so no task gathers a hot key's rows; all others meet by a shuffle. rows are
+    read twice, so they should be a table.
+    """
+    hot = facts.filter(F.col("n") > max(1, HOT * total)).drop("n")
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.drop("n"), key)
+    return near.unionByName(far)
+
+
 def bucketed_rank_base(counts: DataFrame, parts: list[str], bucket: str, n: str, out: str) -> DataFrame:
     """Running total of n before each bucket, within parts.
 

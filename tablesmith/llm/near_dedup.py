@@ -12,20 +12,22 @@ capped, and no link that decides about a component is left out.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from tablesmith.llm.common import WORD, materialise, ship, table
+from tablesmith.llm.common import WORD, attach, materialise, ship, table
 from tablesmith.llm.wordscan import mix, scan
 
 #: Coordinates of a band. With 24 bands a pair of similarity 0.85 is missed once in a million times, with 36 one of 0.8.
 ROWS = 5
-#: Classes of a block; two blocks are compared in one go.
-BLOCK = 256
+#: Classes of a block; two blocks are compared in one go. Classes that meet one copy of the set that they are compared with.
+BLOCK, STAR = 256, 512
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
@@ -79,17 +81,18 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     return out
 
 
-def _keys(sets: list[np.ndarray]) -> np.ndarray:
-    """64-bit digest of each set."""
-    import hashlib
+def _digests(sets: list[np.ndarray]) -> list[bytes]:
+    """128-bit digest of each set."""
+    return [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
 
-    return np.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], np.int64)
+
+def _spot():
+    """What finds a row's text again; sets are recognised by their digest, so nothing hangs on its being unique."""
+    return F.xxhash64("doc_id", "text").alias("spot")
 
 
 def sign(docs: DataFrame, k: int, bands: int) -> DataFrame:
-    """row (struct of docs' columns without text), n_shingles, class (digest of the set), bands (their hashes)."""
-    keep = [c for c in docs.columns if c != "text"]
-    rest = docs.select(keep).schema
+    """row (struct of docs' columns without text), spot, n_shingles, digest (of the set), bands (their hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -107,28 +110,28 @@ def sign(docs: DataFrame, k: int, bands: int) -> DataFrame:
                 cut = np.concatenate(([0], np.cumsum(np.where(sizes > 0, bands, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(h.reshape(-1).view(np.int64)))
                 n = len(sets)
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in batch.columns[1:]), pa.array(sizes), pa.array(_keys(sets)), lists], names=[*keep, "n_shingles", "class", "bands"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in batch.columns[1:]), pa.array(sizes), pa.array(_digests(sets)), lists], names=["row", "spot", "n_shingles", "digest", "bands"])
                 at += n
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
-    return docs.select("text", *keep).mapInArrow(run, fields + "n_shingles long, class long, bands array<long>")
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), _spot())
+    made = StructType([rows.schema["row"], rows.schema["spot"]]).add("n_shingles", LongType()).add("digest", BinaryType()).add("bands", ArrayType(LongType()))
+    return rows.mapInArrow(run, made)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """class, shingles (its set as bytes) for the classes of wanted (class, doc_id): one of the documents of each gives its text."""
+    """class, shingles (its set as bytes) for the classes of wanted (class, spot, digest): one of the rows of each gives its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for sets in shingle_sets(batch.column(0), k):
-                want = batch.column(1).slice(at, len(sets)).to_numpy(zero_copy_only=False)
-                own = _keys(sets)
-                hit = [i for i in range(len(sets)) if own[i] == want[i]]
-                yield pa.RecordBatch.from_arrays([pa.array(own[hit]), pa.array([sets[i].tobytes() for i in hit], pa.binary())], names=["class", "shingles"])
+                want = batch.column(2).slice(at, len(sets)).to_pylist()
+                hit = [i for i, own in enumerate(_digests(sets)) if own == want[i]]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(sets)).take(pa.array(hit, pa.int64())), pa.array([sets[i].tobytes() for i in hit], pa.binary())], names=["class", "shingles"])
                 at += len(sets)
 
-    rows = docs.select("text", F.col("doc_id").alias("id")).join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "class")
-    # a repeated id may give the same set again
+    rows = docs.select("text", _spot()).join(wanted, "spot").select("text", "class", "digest")
+    # a repeated row gives the same set again
     return rows.mapInArrow(run, "class long, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
@@ -139,8 +142,11 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets have den * intersection >= num * union."""
+def confirm(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets have den * intersection >= num * union; no a comes twice.
+
+    Many classes may have the same b, so its set goes to a task for every STAR of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,24 +154,29 @@ def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             hit = [i for i in range(len(batch)) if _linked(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64), num, den)]
             yield batch.select(["a", "b"]).take(pa.array(hit, pa.int64()))
 
+    stars = materialise(stars, "near-stars")
+    hubs = materialise(stars.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / STAR)), "near-hubs")
+    spread = attach(stars, hubs, "b", stars.count()).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
     left, right = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    right = right.join(hubs, "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "y")
+    return spread.join(left, "a").join(right, ["b", "part"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """class, root (the smallest class reachable) for all classes on links (a, b); large-star and small-star in turn."""
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    size = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     edges = materialise(both(links).filter("a > b").distinct(), "links")
-    before = None
+    before = size(edges)
     while True:
         near = both(edges)
-        low = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = near.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = attach(near, materialise(low, "links-low"), "a", 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(large.distinct(), "links")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "links-low")
+        small = attach(large, low, "a", before[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = materialise(small.filter("a <> b").distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = size(edges)
         if now == before:
             break
         before = now
@@ -174,14 +185,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def rest_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between different components of the same bucket, members being (bucket, class, root, main).
+    """Links between different components of the same bucket, members (a table) being bucket, class, root, main.
 
     The members outside a bucket's main component are compared with all others of the bucket that are of another
     component. Both sides are cut into blocks; a task compares two blocks, so the largest bucket only makes more tasks.
     """
     hashed = lambda n: F.pmod(F.xxhash64("class"), n)
-    blocks = members.groupBy("bucket").agg(*[F.ceil(F.count(F.when(c, 1)) / BLOCK).cast("long").alias(x) for x, c in (("others", F.col("root") != F.col("main")), ("mains", F.col("root") == F.col("main")))])
-    m = members.join(blocks, "bucket").filter("others > 0").withColumn("out", F.col("root") != F.col("main"))
+    number = [F.ceil(F.count(F.when(c, 1)) / BLOCK).cast("long").alias(x) for x, c in (("others", F.col("root") != F.col("main")), ("mains", F.col("root") == F.col("main")))]
+    blocks = materialise(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *number).filter("others > 0"), "near-blocks")
+    m = attach(members, blocks, "bucket", members.count()).withColumn("out", F.col("root") != F.col("main"))
     m = m.withColumn("own", F.when(F.col("out"), hashed(F.col("others"))).otherwise(hashed(F.greatest("mains", F.lit(1)))))
     # task (i, j): j below others is a block outside the main component, j from there on one inside
     inner = F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda i: F.struct(i.alias("i"), (F.col("others") + F.col("own")).alias("j")))
@@ -258,8 +270,8 @@ def rest_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return tasks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 36) -> DataFrame:
-    """docs' columns but text, with n_shingles and component_id (the smallest doc_id of the component).
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 36, into: str = "near") -> DataFrame:
+    """docs' columns but text, with a struct column `into` (in place of one of that name): n_shingles, component_id (the smallest doc_id of the component).
 
     A document's set holds the distinct k-word shingles of its text, A-Z lower-cased, words being runs of anything
     but ASCII white space; fewer than k words are one shingle. Null texts and texts without words have an empty set
@@ -267,36 +279,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     minimum where a component has others. Rows that repeat an id are rows like any other. An empty table gives an
     empty result.
 
-    Shingles, sets and bands are known by 64-bit hashes.
+    Words and shingles are known by 64-bit hashes when two sets are compared, equal sets by 128-bit digests of these.
     """
-    return _grouped(docs, k, num, den, bands).drop("__root")
+    found = _grouped(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")), k, num, den, bands)
+    kept = [c for c in docs.columns if c not in ("text", into)]
+    return found.select(*[F.col("row.row").getField(c).alias(c) for c in kept], F.struct("n_shingles", "component_id").alias(into))
 
 
 def _grouped(docs: DataFrame, k: int, num: int, den: int, bands: int) -> DataFrame:
-    """near_duplicates with __root, the smallest class of the component: a key that does not depend on ids (null for an empty set)."""
+    """row (docs' columns without text), n_shingles, component_id and root, a key of the component that does not depend on ids (null for an empty set).
+
+    Where a class, a bucket, a set or a component has a great share of all rows, what is known of it is broadcast
+    (`attach`) or copied (`confirm`) instead of gathering its rows.
+    """
     ship(docs.sparkSession)
     signed = materialise(sign(docs, k, bands), "near-signed")
-    full = signed.filter("n_shingles > 0")
-    classes = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    full = signed.filter("n_shingles > 0").select(F.col("row.doc_id").alias("doc_id"), "spot", "digest", "bands")
+    classes = full.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("spot").alias("spot"), F.first("bands").alias("bands"))
+    classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "near-classes")
     buckets = materialise(classes.select("class", F.posexplode("bands").alias("band", "hash")).select("class", F.xxhash64("band", "hash").alias("bucket")), "near-buckets")
-    first = buckets.groupBy("bucket").agg(F.min("class").alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = materialise(buckets.join(first, "bucket"), "near-members")
-    needed = members.select("class").distinct().join(full.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
+    first = materialise(buckets.groupBy("bucket").agg(F.min("class").alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-first")
+    members = materialise(attach(buckets, first, "bucket", buckets.count()), "near-members")
+    needed = members.select("class").distinct().join(classes.select("class", "spot", "digest"), "class")
     sets = materialise(sets_of(docs, needed, k), "near-sets")
     stars = members.filter("class <> main").groupBy("class").agg(F.min("main").alias("b")).withColumnRenamed("class", "a")
     links = materialise(confirm(stars, sets, num, den), "near-links")
     roots = materialise(components(links), "near-roots")
     own = lambda df, c, out: df.join(roots.select(F.col("class").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-    known = own(own(members, "class", "root"), "main", "main_root").select("bucket", "class", "root", F.col("main_root").alias("main"))
+    mains = materialise(own(first, "main", "main_root").select("bucket", "n", F.col("main_root").alias("main")), "near-mains")
+    owned = materialise(own(members.drop("main"), "class", "root"), "near-owned")
+    known = materialise(attach(owned, mains, "bucket", owned.count()).select("bucket", "class", "root", "main"), "near-known")
     rest = materialise(rest_links(known, sets, num, den), "near-rest")
     roots = materialise(components(links.unionByName(rest)), "near-roots")
-    least = classes.select("class", "doc_id").join(roots, "class")
-    least = least.join(least.groupBy("root").agg(F.min("doc_id").alias("least")), "root").select("class", "root", "least")
-    alone = F.when(F.col("n_shingles") > 0, F.lit(None)).otherwise(F.col("doc_id"))
-    of_class = classes.select("class", "doc_id").join(least, "class", "left")
-    per_class = materialise(of_class.select("class", F.coalesce("root", "class").alias("__root"), F.coalesce("least", "doc_id").alias("component_id")), "near-classes")
-    out = full.join(per_class, "class").drop("class", "bands")
-    return out.unionByName(signed.filter("n_shingles = 0").drop("class", "bands").withColumns({"__root": F.lit(None).cast("long"), "component_id": alone}))
+    linked = materialise(classes.select("class", "doc_id").join(roots, "class"), "near-linked")
+    least = materialise(linked.groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "near-least")
+    linked = attach(linked.drop("doc_id"), least, "root", linked.count())
+    per_class = classes.select("class", "digest", "doc_id", "n").join(linked, "class", "left")
+    per_class = materialise(per_class.select("digest", "n", F.coalesce("root", "class").alias("root"), F.coalesce("least", "doc_id").alias("component_id")), "near-components")
+    rows = signed.select("row", "n_shingles", "digest")
+    out = attach(rows.filter("n_shingles > 0"), per_class, "digest", signed.count()).drop("digest")
+    alone = rows.filter("n_shingles = 0").select("row", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("row.doc_id").alias("component_id"))
+    return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 36) -> DataFrame:
@@ -306,19 +329,19 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands:
     that share an id but differ in their texts lose nothing. A null id stays where its component has no other.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = _grouped(docs.select("doc_id", "text", key.alias("__key")), k, num, den, bands).filter("n_shingles > 0")
-    first = found.groupBy("__root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__key")).alias("x"))
-    stays = first.select(F.col("x.doc_id").alias("__id"), F.col("x.__key").alias("__key"))
+    found = _grouped(docs.select("doc_id", "text", key.alias("key")), k, num, den, bands).filter("n_shingles > 0")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("row.doc_id").isNull().alias("no_id"), "row.doc_id", "row.key")).alias("x"))
+    stays = first.select(F.col("x.doc_id").alias("__id"), F.col("x.key").alias("__key"))
     spoken = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     rows = docs.filter(spoken).select(F.struct("*").alias("__row"), "doc_id", key.alias("__key"))
     rows = rows.join(stays, rows["doc_id"].eqNullSafe(stays["__id"]) & (rows["__key"] == stays["__key"])).select("__row", rows["doc_id"], rows["__key"])
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0)))
-    return rows.withColumn("__nth", nth).filter("__nth = 1").select("__row.*").unionByName(docs.filter(~spoken))
+    once = rows.groupBy("doc_id", "__key").agg(F.first("__row").alias("__row"))  # repeats go before the shuffle
+    return once.select("__row.*").unionByName(docs.filter(~spoken))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, num=85, bands=24)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "near.n_shingles", "near.component_id", F.col("doc_id").eqNullSafe(F.col("near.component_id")).alias("kept"))
 
 
 QUERIES = {"op9_near_duplicates": op9_near_duplicates}

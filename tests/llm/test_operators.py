@@ -78,6 +78,30 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_only_ascii_is_lowered(spark):
+    """All code points, alone and between capitals; texts that differ beyond A-Z stay apart, in SQL too."""
+    import duckdb
+
+    rows = [(i, f"{x}{chr(i)}Q") for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000 for x in ("", "A")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    from pyspark.sql import functions as F
+
+    assert df.filter(exact_dedup.ascii_lower(F.col("text")) != F.translate("text", exact_dedup.UPPER, exact_dedup.LOWER)).count() == 0
+    few = [(1, "x\U00010570"), (2, "x\U00010597"), (3, "X\U00010570"), (4, "Σ"), (5, "σ"), (6, "Ꟁ"), (7, "ꟁ"), (None, None), (8, ""), (9, "AΣ"), (10, "aΣ")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(few, "doc_id long, text string")).toPandas()
+    documents = spark.createDataFrame(few, "doc_id long, text string").toPandas()  # noqa: F841  DuckDB finds it by name
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    want = duckdb.sql(exact_dedup.ORACLES["op7_exact_dedup"]).fetchall()
+    assert Counter(tuple(None if x != x else x for x in r) for r in got.itertuples(index=False)) == Counter(want)
+    assert sorted(got["group_size"]) == [1, 1, 1, 1, 1, 2, 2, 2, 2, 2, 2]
+
+
+def test_exact_dedup_of_rows_without_ids(spark):
+    rows = [(None, "Same") for _ in range(3000)] + [(7, "same") for _ in range(3000)] + [(8, f"own {i}") for i in range(500)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(None, 7, 6000, False, 3000), (7, 7, 6000, True, 3000), (8, 8, 1, True, 500)}
+
+
 def test_water_filling(spark):
     sizes = {"a": 10, "b": 1000, "c": 40, "d": 500, None: 3, "": 0}
     rows = {r["source"]: r for r in mixing.water_fill(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (5, 2, 1), 3).collect()}
@@ -177,12 +201,36 @@ def brute_components(rows, k, num, den):
     return Counter((d, len(sets[i]), least.get(top(i))) for i, (d, _) in enumerate(rows))
 
 
+def near(df, *args):
+    got = near_dedup.near_duplicates(df, *args).select("doc_id", "near.*").collect()
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got)
+
+
 @pytest.mark.parametrize(("k", "num", "bands"), [(3, 85, 24), (5, 80, 36)])
 def test_near_duplicates(docs, none, k, num, bands):
-    got = near_dedup.near_duplicates(docs.select("doc_id", "text"), k, num, 100, bands).collect()
-    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components([(i, t) for i, t, *_ in ROWS], k, num, 100)
+    assert near(wide(docs), k, num, 100, bands) == brute_components([(i, t) for i, t, *_ in ROWS], k, num, 100)
     if k == 3:
-        assert near_dedup.near_duplicates(none.select("doc_id", "text"), k, num, 100, bands).count() == 0
+        assert near(none, k, num, 100, bands) == Counter()
+        found = near_dedup.near_duplicates(wide(docs).withColumnRenamed("rule", "near"), k, num, 100, bands)
+        assert set(found.columns) == {*docs.columns, *CLASHES, "near"} - {"text", "rule"}
+        assert {r[0] for r in found.select("class").collect()} == {"kept"}
+
+
+def test_near_duplicates_of_rows_without_ids(spark):
+    """Null and repeated ids are rows like any other, however many there are; words that differ by their form only differ."""
+    r = random.Random(21)
+    prose_of = lambda i: " ".join(f"n{r.randrange(10**9)}" for _ in range(8)) + f" own {i}"
+    rows = [(None, prose_of(i)) for i in range(20_000)] + [(3, prose_of(i)) for i in range(5000)] + [(None, rows_text := prose_of(-1)), (9, rows_text + " and"), (None, rows_text)]
+    s = "a"
+    while len(s) < 4096:
+        s += s.translate(str.maketrans("ab", "ba"))
+        rows += [(100_000 + len(s), f"{s} one two"), (200_000 + len(s), f"{s.translate(str.maketrans('ab', 'ba'))} one two")]
+    got = near(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100, 24)
+    assert sum(got.values()) == len(rows)
+    by_id = {d: c for d, _, c in got if d is not None and d > 9}
+    assert all(d == c for d, c in by_id.items())
+    assert got[(None, 8, None)] == 20_000 and got[(3, 8, 3)] == 5000
+    assert got[(None, 8, 9)] == 2 and got[(9, 9, 9)] == 1
 
 
 def test_near_duplicates_of_a_large_group(spark):
@@ -195,8 +243,7 @@ def test_near_duplicates_of_a_large_group(spark):
         for _ in range(r.choice([0, 1, 2, 4, 5, 6, 8])):
             w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100, 24).collect()
-    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute_components(rows, 3, 85, 100)
+    assert near(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100, 24) == brute_components(rows, 3, 85, 100)
 
 
 def test_keep_one(docs):
@@ -322,13 +369,32 @@ def test_token_table(docs, none, spark, tmp_path):
     assert token_table.summary(token_table.read_tokens(spark, str(tmp_path / "e"))).count() == 0
 
 
-def test_words_are_encoded_as_whole_texts_are():
+#: What makes words awkward for a tokenizer: marks, contractions, combining characters, other spaces, special tokens, long words.
+AWKWARD = [
+    "a", "B", "s", "t", "İ", "i\u0307", "\u0301", "\u0307", ".", ",", "!", '"', "'", "'s", "\x85", "\u3000", "\xa0", "\t", "\r", "\x0b", "\x1c", "é", "É", "Σ", "σ", "ß", "ﬁ", "1", "٣",
+    "<", "|", ">", "<|endoftext|>", "<|ENDOFTEXT|>", "word", "-", "_", "\0", ")", "*", "&", "한", "中", "K", "\u200d", "İ.", "longlonglongword", "12.5", " ", " ", "\n", "😀",
+]
+
+
+def test_words_are_encoded_as_whole_texts_are(monkeypatch):
     import public_tokenizers
+    import pyarrow as pa
 
-    code = token_table.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["don't. we're!! I'M", "a\xa0b  c\tq\x1cz\x85w", "<|endoftext|>. x<|endoftext|>y", "été. É!!'s x.'s", "ΑΣ ΣΑΣ. İX. ﬁ.", "12.5% 3,4!! word1.,", "\u0301 x \u0301."]
-    for t in texts:
-        assert code.encode([t])[0] == b"".join(i.to_bytes(4, "little") for i in code.tokenizer.encode(t, add_special_tokens=False).ids)
+    r = random.Random(1)
+    texts = ["".join(r.choice(AWKWARD) for _ in range(r.randint(0, 14))) for _ in range(30_000)]
+    texts += ["don't. we're!! I'M", "a\xa0b  c\tq\x1cz\x85w", "<|endoftext|>. x<|endoftext|>y", 'été. É!!\'s x.\'s İ"', "ΑΣ ΣΑΣ. İX. ﬁ.", "12.5% 3,4!! word1.,", "\u0301 x \u0301.", "", None, "." * 50, "ab" * 700_000]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = token_table.TextCoder(path).tokenizer
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    for most in (token_table.CACHED_WORDS, 5000):  # with room for all words, and forgetting most of them
+        monkeypatch.setattr(token_table, "CACHED_WORDS", most)
+        code, got = token_table.TextCoder(path), []
+        for lo in range(0, len(texts), 500):
+            for _, _, raw, at in token_table.chunks(pa.array(texts[lo : lo + 500], pa.string())):
+                flat, many = code.encode(raw, at)
+                ends = many.cumsum().tolist()
+                got += [flat[b - n : b].tolist() for b, n in zip(ends, many.tolist(), strict=True)]
+        assert got == want
 
 
 def test_secret_scan(docs, none):
