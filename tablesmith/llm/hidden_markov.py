@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from tablesmith.llm.common import id_crc, materialise, ship, table
 from tablesmith.llm.wordscan import FOLD, HashIndex, scan
@@ -25,7 +26,9 @@ HEAD, SHARED, KNOWN = 16127, 256, 1 << 18
 CLASSES = HEAD + SHARED + 1
 END = CLASSES - 1
 #: Baum-Welch starts from a sample of about so many texts, of longer ones a piece of so many tokens; its rounds there and over everything.
-START_TEXTS, START_TOKENS, START_ROUNDS, ROUNDS = 1500, 2000, 25, 2
+START_TEXTS, START_TOKENS, START_ROUNDS, ROUNDS = 1500, 2000, 25, 6
+#: Rounds over everything end once one raises the training texts' log10 probability by less than this for each token.
+GAIN = 0.002
 #: Tokens that are worked on at a time.
 TOKENS = 1 << 19
 
@@ -97,13 +100,12 @@ class Vocabulary:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """docs' columns but text, with row (its number), ids (classes), n_tokens, n_known, base, inner and rare words.
+    """docs' columns but text as a struct doc, with row (its number), ids (classes), n_tokens, n_known, base, inner and rare words.
 
     base: log10 of the unigram probability of the tokens whose counts are known here. inner: log10 of the words'
     probabilities within their shared classes. Words that aren't among the frequent ones come with how often they
     occur; base and inner lack the logarithms of their counts.
     """
-    keep = [c for c in docs.columns if c != "text"]
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.hash, vocabulary.n, vocabulary.cls, vocabulary.within))
     total = np.log10(vocabulary.tokens + vocabulary.types + 1.0)
     end_base = np.log10(vocabulary.texts + 1.0) - total
@@ -143,12 +145,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     pa.array(per(count - total) + end_base), pa.array(per(inner)),
                     pa.ListArray.from_arrays(cuts, pa.array(h[begin].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
                 ]
-                yield pa.RecordBatch.from_arrays([*(c.slice(w.lo, texts) for c in batch.columns[1:]), *columns], names=[*keep, "row", *names])
+                yield pa.RecordBatch.from_arrays([*(c.slice(w.lo, texts) for c in batch.columns[1:]), *columns], names=made.names)
 
-    names = ["ids", "n_tokens", "n_known", "base", "inner", "rare", "times"]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(keep).schema)
-    rows = docs.select("text", *keep, F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(run, fields + "row long, ids binary, n_tokens long, n_known long, base double, inner double, rare array<long>, times array<int>")
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    made = StructType([rows.schema["doc"], rows.schema["row"]]).add("ids", "binary").add("n_tokens", "long").add("n_known", "long").add("base", "double")
+    made = made.add("inner", "double").add("rare", ArrayType(LongType())).add("times", ArrayType(IntegerType()))
+    return rows.mapInArrow(run, made)
 
 
 class Model:
@@ -210,9 +212,9 @@ def log10_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: expected starts, moves and emissions, by scaled forward and backward recursions."""
-    s = len(model.start)
+def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch: expected starts, moves and emissions, and log10 of the texts' probability, by scaled forward and backward recursions."""
+    s, logs = len(model.start), 0.0
     start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((len(model.emit), s))
     for group, flat, active, step in _packed(texts):
         e = model.emit[flat]
@@ -224,6 +226,7 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
             x = here * e[a:b]
             scale[a:b] = x.sum(1)
             alpha[a:b] = x / scale[a:b, None]
+        logs += float(np.log10(scale).sum())
         beta = np.ones((len(group), s))
         gamma = alpha.copy()
         for t in range(len(active) - 1, 0, -1):
@@ -236,7 +239,7 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
         start += gamma[: active[0]].sum(0)
         for k in range(s):
             emit[:, k] += np.bincount(flat, gamma[:, k], len(emit))
-    return start, move * model.move, emit
+    return start, move * model.move, emit, logs
 
 
 def _sequences(ids: pa.Array, ends: Iterable[bool] = repeat(True)) -> list[np.ndarray]:
@@ -259,7 +262,10 @@ def _together(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Rec
 
 
 def train(encoded: DataFrame, vocabulary: Vocabulary, states: int = STATES, rounds: int = ROUNDS, seed: int = 11) -> Model:
-    """Baum-Welch over all rows of encoded (row, ids): a start from a bounded sample, then `rounds` over everything."""
+    """Baum-Welch over all rows of encoded (row, ids): a start from a bounded sample, then up to `rounds` over everything.
+
+    They end early once the gain of the last one is under GAIN for each token, whatever the number or length of texts.
+    """
     share = START_TEXTS / max(1, vocabulary.texts)
     picked = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < share * (1 << 30)
     pieces = F.greatest(F.lit(1), F.ceil(F.length("ids") / (2 * START_TOKENS)))
@@ -268,31 +274,35 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, states: int = STATES, roun
     texts = _sequences(sample.column(0).combine_chunks(), sample.column(1).to_pylist()) if len(sample) else []
     model = Model.fresh(vocabulary.prior, states, seed)
     for _ in range(START_ROUNDS if texts else 0):
-        model = Model.estimate(*expected_counts(model, texts), vocabulary.prior)
+        model = Model.estimate(*expected_counts(model, texts)[:3], vocabulary.prior)
     sc = encoded.sparkSession.sparkContext
-    # rows CLASSES.. hold starts and moves
+    # rows CLASSES.. hold starts, moves and the logarithm of the probability
+    rows, before = CLASSES + 2 + states, -np.inf
     fields = "k int, " + ", ".join(f"s{i} double" for i in range(states))
     for _ in range(rounds if vocabulary.texts else 0):
         now = sc.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((CLASSES + 1 + states, states))
+            total = np.zeros((rows, states))
             for batch in _together(batches, 0):
-                start, move, emit = expected_counts(now.value, _sequences(batch.column(0)))
-                total += np.vstack((emit, start[None], move))
+                start, move, emit, logs = expected_counts(now.value, _sequences(batch.column(0)))
+                total += np.vstack((emit, start[None], move, np.full((1, states), logs)))
             k = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), *(pa.array(total[k, i]) for i in range(states))], names=["k", *(f"s{i}" for i in range(states))])
 
         sums = encoded.select("ids").mapInArrow(run, fields).groupBy("k").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(states)]).toPandas()
-        total = np.zeros((CLASSES + 1 + states, states))
+        total = np.zeros((rows, states))
         total[sums["k"].to_numpy()] = sums[[f"s{i}" for i in range(states)]].to_numpy()
-        model = Model.estimate(total[CLASSES], total[CLASSES + 1 :], total[:CLASSES], vocabulary.prior)
+        model = Model.estimate(total[CLASSES], total[CLASSES + 1 : -1], total[:CLASSES], vocabulary.prior)
         now.unpersist()
+        if total[-1, 0] - before < GAIN * vocabulary.tokens:
+            break
+        before = total[-1, 0]
     return model
 
 
-def score(docs: DataFrame, training: Column, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
-    """docs' columns but text, with n_tokens, n_known, train_tokens, base_score and score for each row.
+def score(docs: DataFrame, training: Column, states: int = STATES, rounds: int = ROUNDS, into: str = "lm") -> DataFrame:
+    """docs' columns but text, with a struct column `into` (in place of one of that name): n_tokens, n_known, train_tokens, base_score, score.
 
     The rows where `training` holds teach the model. Null texts count as empty; an empty text is its end alone.
     Texts of any length are scored whole. With no training rows every word is unseen and the states' emissions are
@@ -302,13 +312,13 @@ def score(docs: DataFrame, training: Column, states: int = STATES, rounds: int =
     joined with the rare words of the texts by a shuffle.
     """
     ship(docs.sparkSession)
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("teaches", training)
+    kept = [c for c in docs.columns if c not in ("text", into)]
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("own"), F.coalesce(training, F.lit(False)).alias("teaches"))
     taught = rows.filter("teaches")
     counts = materialise(count_words(taught), "hmm-counts")
     vocabulary = Vocabulary(counts, taught.select("teaches").count())
     encoded = materialise(encode(rows, vocabulary), "hmm-encoded")
-    model = train(encoded.filter("teaches").select("row", "ids"), vocabulary, states, rounds)
+    model = train(encoded.filter("doc.teaches").select("row", "ids"), vocabulary, states, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,20 +328,20 @@ def score(docs: DataFrame, training: Column, states: int = STATES, rounds: int =
     hidden = encoded.select("row", "ids").mapInArrow(run, "row long, hidden double")
     rare = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
     rare = rare.join(counts.select("hash", "n"), "hash").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
-    keep = [c for c in docs.columns if c != "text"]
-    out = encoded.select(*keep, "row", "n_tokens", "n_known", "base", "inner").join(hidden, "row").join(rare, "row", "left")
+    out = encoded.select("doc.own", "row", "n_tokens", "n_known", "base", "inner").join(hidden, "row").join(rare, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
-    return out.select(
-        *keep, "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(vocabulary.tokens)).cast("long").alias("train_tokens"),
+    scored = F.struct(
+        "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(vocabulary.tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"), (F.col("hidden") + F.col("inner") + logs).alias("score"),
     )
+    return out.select(*[F.col("own").getField(c).alias(c) for c in kept], scored.alias(into))
 
 
 def op2_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.pmod(id_crc(F.col("doc_id")), F.lit(7)) == 2
     out = score(docs.withColumn("held_out", held_out), ~F.col("held_out"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", "held_out", "lm.*")
 
 
 QUERIES = {"op2_hmm_score": op2_hmm_score}

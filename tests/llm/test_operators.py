@@ -267,7 +267,9 @@ def test_hidden_markov(docs, none):
     from pyspark.sql import functions as F
 
     train = F.coalesce(F.col("doc_id") % 4 != 1, F.lit(True))
-    got = hidden_markov.score(docs.select("doc_id", "text"), train, states=3, rounds=1).collect()
+    scored = hidden_markov.score(wide(docs).withColumns({"teaches": F.lit("kept"), "ids": F.lit("kept")}), train, states=3, rounds=1)
+    assert {r[0] for r in scored.select("row", "teaches", "ids", "hash").distinct().collect()} == {"kept"}
+    got = scored.select("doc_id", "lm.*").collect()
     counts = Counter()
     for i, t, *_ in ROWS:
         if i is None or i % 4 != 1:
@@ -282,14 +284,14 @@ def test_hidden_markov(docs, none):
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
     assert all(r["score"] < 0 for r in got)
     assert hidden_markov.score(none.select("doc_id", "text"), F.lit(True)).count() == 0
-    assert hidden_markov.score(docs.select("doc_id", "text"), F.lit(False)).filter("score < 0").count() == len(ROWS)
+    assert hidden_markov.score(docs.select("doc_id", "text"), F.lit(False)).filter("lm.score < 0").count() == len(ROWS)
 
 
 def test_long_texts_alone_teach_the_markov_model(spark):
     from pyspark.sql import functions as F
 
     rows = [(i, " ".join(["one"] * 60 + ["two"] * 60) + (" " + " ".join(["one"] * 60 + ["two"] * 60)) * 24) for i in range(8)]
-    got = hidden_markov.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") > 0, states=3).collect()
+    got = hidden_markov.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") > 0, states=3).select("lm.*").collect()
     assert len(got) == 8 and all(r["n_tokens"] > hidden_markov.START_TOKENS and r["score"] > 0.5 * r["base_score"] for r in got)
 
 
@@ -305,9 +307,10 @@ def test_forward_recursion_is_a_distribution():
     assert abs((10 ** hidden_markov.log10_likelihood(model, texts)).sum() - 1) < 1e-9
     # expected counts against all state paths
     text = np.array([0, 3, 1, 1])
-    start, move, emitted = hidden_markov.expected_counts(model, [text])
+    start, move, emitted, logs = hidden_markov.expected_counts(model, [text])
     paths = {p: model.start[p[0]] * np.prod([model.move[a, b] for a, b in itertools.pairwise(p)]) * np.prod([model.emit[o, s] for o, s in zip(text, p, strict=True)]) for p in itertools.product(range(3), repeat=4)}
     whole = sum(paths.values())
+    assert np.isclose(logs, np.log10(whole))
     assert np.allclose(start, [sum(v for p, v in paths.items() if p[0] == s) / whole for s in range(3)])
     assert np.allclose(move[0, 1], sum(v * sum(q == (0, 1) for q in itertools.pairwise(p)) for p, v in paths.items()) / whole)
     assert np.allclose(emitted[1, 2], sum(v * sum(o == 1 and s == 2 for o, s in zip(text, p, strict=True)) for p, v in paths.items()) / whole)
