@@ -8,15 +8,15 @@ counts as found if the document holds enough of the item's question and of its a
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import ship, table
+from tablesmith.llm.common import WORD, materialise, ship, table
 from tablesmith.llm.wordscan import HashIndex, mix, scan
 
 K1, B = 1.2, 0.75
@@ -24,8 +24,10 @@ K1, B = 1.2, 0.75
 SHARE = 0.5
 #: Words of a shingle; the shares of a whole item's, and of its question's and its answer's, that a document must hold.
 SHINGLE, OVERLAP, PART_OVERLAP = 5, 0.8, 0.5
-#: Postings of a block; terms in at most so many items count one by one in the first bound; items of one index.
-BLOCK, RARE, ITEMS = 8, 16, 50_000
+#: Postings of a block; terms in at most so many items count one by one in the first bound.
+BLOCK, RARE = 8, 16
+#: Items, and characters of items, of one index: what every task holds at a time.
+ITEMS, CHARS = 50_000, 1 << 25
 
 
 def _shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -39,9 +41,14 @@ def _shingles(words: np.ndarray, k: int) -> np.ndarray:
 
 
 class Index:
-    """Postings of items by term, in blocks with their largest impacts; items are numbered by their place in the list."""
+    """Postings of items by term, in blocks with their largest impacts; items are numbered by their place in the list.
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    Postings of all terms lie one after the other, those of term t from start[t] to start[t + 1], its blocks from
+    block[t] to block[t + 1]. Statistics are those of the items at hand, unless others are given: how many items there
+    are, their mean length, and for each term (by hash) how many have it.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str]], total: int | None = None, mean: float | None = None, frequency: dict[int, int] | None = None):
         self.ids, words, self.parts = [], [], []
         for w in scan(pa.array([t for _, t in items], pa.string())) if items else ():
             for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
@@ -53,44 +60,33 @@ class Index:
                     words.append(own)
                     # a part that is shorter than a shingle is one by itself
                     self.parts.append([(k := min(SHINGLE, len(part)), _shingles(part, k)) for part in (own, own[:cut], own[cut:])])
-        n = len(words)
+        n = max(1, len(words))
         self.sizes = np.array([len(w) for w in words], float)
         self.window = max(32, 2 * max(map(len, words), default=0))
-        terms = np.unique(np.concatenate(words)) if n else np.zeros(0, np.uint64)
+        terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
         self.lookup = HashIndex(terms)
-        found: dict[int, list[tuple[int, int]]] = {}
-        for i, w in enumerate(words):
-            for t, tf in zip(*np.unique(self.lookup.find(w), return_counts=True), strict=True):
-                found.setdefault(int(t), []).append((i, int(tf)))
-        mean = self.sizes.mean() if n else 1.0
-        self.items, self.impact, self.top, self.last, self.most = [], [], [], [], np.zeros(len(terms))
-        for t in range(len(terms)):
-            at, tf = (np.array(x) for x in zip(*found[t], strict=True))
-            idf = np.log(1 + (n - len(at) + 0.5) / (len(at) + 0.5))
-            impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.sizes[at] / mean))
-            self.items.append(at.tolist())
-            self.impact.append(impact.tolist())
-            self.top.append([float(impact[i : i + BLOCK].max()) for i in range(0, len(at), BLOCK)])
-            self.last.append([int(at[min(i + BLOCK, len(at)) - 1]) for i in range(0, len(at), BLOCK)])
-            self.most[t] = impact.max()
-        self.need = np.zeros(n)
-        for t in range(len(terms)):
-            np.add.at(self.need, self.items[t], self.impact[t])
-        common = np.zeros(n)
-        rare = [t for t in range(len(terms)) if len(self.items[t]) <= RARE]
-        for t in range(len(terms)):
-            if len(self.items[t]) > RARE:
-                np.add.at(common, self.items[t], self.impact[t])
-        self.need *= SHARE
+        place = self.lookup.find(np.concatenate(words)).astype(np.int64) if words else np.zeros(0, np.int64)
+        pair, tf = np.unique(place * n + np.repeat(np.arange(len(words)), self.sizes.astype(np.int64)), return_counts=True)
+        term, item = pair // n, pair % n
+        held = np.bincount(term, minlength=len(terms))
+        start = np.concatenate(([0], np.cumsum(held)))
+        known = held if frequency is None else np.array([frequency[t] for t in terms.tolist()], np.int64)
+        idf = np.log(1 + ((total or n) - known + 0.5) / (known + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.sizes[item] / (mean or (self.sizes.mean() if words else 1.0))))
+        of_block = np.flatnonzero((np.arange(len(pair)) - start[term]) % BLOCK == 0)
+        self.start, self.block = array("q", start.tolist()), array("q", np.concatenate(([0], np.cumsum(-(-held // BLOCK)))).tolist())
+        self.item, self.impact = array("q", item.tolist()), array("d", impact.tolist())
+        self.top = array("d", np.maximum.reduceat(impact, of_block).tolist() if len(pair) else [])
+        self.last = array("q", item[np.append(of_block[1:], len(pair)) - 1].tolist() if len(pair) else [])
+        self.most = array("d", np.maximum.reduceat(impact, start[:-1]).tolist() if len(pair) else [])
+        per_item = lambda on: np.bincount(item[on], impact[on], len(words))
+        rare = held[term] <= RARE
+        self.need = per_item(slice(None)) * SHARE
         #: What the rare terms of a passage must give an item at least, if all its common ones are there.
-        self.gap = self.need - common
-        self.least = float(self.need.min()) if n else 0.0
-        counts = np.zeros(len(terms) + 1, np.int64)
-        for t in rare:
-            counts[t + 1] = len(self.items[t])
-        self.rare_from = np.cumsum(counts)
-        self.rare_item = np.concatenate([np.array(self.items[t]) for t in rare]) if rare else np.zeros(0, np.int64)
-        self.rare_impact = np.concatenate([np.array(self.impact[t]) for t in rare]) if rare else np.zeros(0)
+        self.gap = self.need - per_item(~rare)
+        self.least = float(self.need.min()) if words else 0.0
+        self.rare_from = np.concatenate(([0], np.cumsum(np.where(held <= RARE, held, 0))))
+        self.rare_item, self.rare_impact = item[rare], impact[rare]
 
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
         """All items that reach their need for a set of terms, with their scores: document-at-a-time, by block-max WAND.
@@ -99,28 +95,31 @@ class Index:
         the least need of any item; it is scored only if the blocks' largest impacts reach that too, else the walk
         goes on behind the first of those blocks to end.
         """
-        out, items, impact, most, end = [], self.items, self.impact, self.most, len(self.sizes)
-        at = dict.fromkeys(terms, 0)
-        front = sorted((items[t][0], t) for t in terms)
+        out, items, impact, start, block, last, end = [], self.item, self.impact, self.start, self.block, self.last, len(self.sizes)
+        at = {t: start[t] for t in terms}
+        front = sorted((items[start[t]], t) for t in terms)
         least = self.least - 1e-9
 
-        def seek(t: int, goal: int) -> int:
-            own, k = items[t], at[t]
-            b, last = k // BLOCK, self.last[t]
-            while b < len(last) and last[b] < goal:
+        def block_of(t: int, goal: int) -> int:
+            """The block of a term, from the one where it stands, that may hold the goal; block[t + 1] if there is none."""
+            b = block[t] + (at[t] - start[t]) // BLOCK
+            while b < block[t + 1] and last[b] < goal:
                 b += 1
-            k = max(k, b * BLOCK)
-            while k < len(own) and own[k] < goal:
+            return b
+
+        def seek(t: int, goal: int) -> int:
+            k = max(at[t], start[t] + (block_of(t, goal) - block[t]) * BLOCK)
+            while k < start[t + 1] and items[k] < goal:
                 k += 1
-            at[t] = k
-            return own[k] if k < len(own) else end
+            at[t] = min(k, start[t + 1])
+            return items[k] if k < start[t + 1] else end
 
         while True:
             total, pivot = 0.0, -1
             for k, (item, t) in enumerate(front):
                 if item >= end:
                     break
-                total += most[t]
+                total += self.most[t]
                 if total >= least:
                     pivot = k
                     break
@@ -129,26 +128,20 @@ class Index:
             goal = front[pivot][0]
             while pivot + 1 < len(front) and front[pivot + 1][0] == goal:
                 pivot += 1
-            blocks = []
-            for _, t in front[: pivot + 1]:
-                b = at[t] // BLOCK
-                while b < len(self.last[t]) and self.last[t][b] < goal:
-                    b += 1
-                if b < len(self.last[t]):
-                    blocks.append((self.top[t][b], self.last[t][b]))
-            if sum(x for x, _ in blocks) >= least:
+            open_ = [b for b, t in ((block_of(t, goal), t) for _, t in front[: pivot + 1]) if b < block[t + 1]]
+            if sum(self.top[b] for b in open_) >= least:
                 score = 0.0
                 for k in range(pivot + 1):
                     t = front[k][1]
                     here = seek(t, goal)
                     if here == goal:
-                        score += impact[t][at[t]]
+                        score += impact[at[t]]
                         here = seek(t, goal + 1)
                     front[k] = (here, t)
                 if score >= self.need[goal] - 1e-9:
                     out.append((goal, score))
             else:
-                beyond = min([last for _, last in blocks], default=goal) + 1
+                beyond = min([last[b] for b in open_], default=goal) + 1
                 if pivot + 1 < len(front):
                     beyond = min(beyond, front[pivot + 1][0])
                 beyond = max(beyond, goal + 1)
@@ -220,8 +213,20 @@ def _searcher(shared):
     return search
 
 
+def _terms(items: DataFrame) -> DataFrame:
+    """term (hash), once for each item that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in scan(batch.column(0)):
+                own = [np.unique(w.hash[a:b]) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["term"])
+
+    return items.select("text").mapInArrow(run, "term long")
+
+
 def find_items(docs: DataFrame, items: DataFrame, into: str = "benchmark_hits") -> DataFrame:
-    """docs with an array column `into` (in place of one of that name) of the test items (item_id, text) that each text holds.
+    """docs with an array column `into` (in place of one of that name) of the test items (item_id, text) that each text holds, in order of ids.
 
     An item's question is what ends with its last question mark, its answer the rest; without a mark, or with nothing
     on one side of it, they are its halves. Items without words are left out; a hit of an
@@ -229,19 +234,35 @@ def find_items(docs: DataFrame, items: DataFrame, into: str = "benchmark_hits")
     Whole texts are searched, whatever their length. Repeated rows get equal hits, items with equal texts are all
     found; an empty table or an empty benchmark gives no hits; other columns pass through.
 
-    The index goes to every task. It covers 50,000 items at most; where there are more, they are searched in blocks
-    of that many, each with statistics of its own, and the hits are put together.
+    An index goes to every task. It covers ITEMS items and about CHARS characters at most. A larger benchmark is cut
+    into blocks: the driver and the tasks hold one at a time, each text is searched for one after the other, and
+    scores come from the statistics of all items, so nothing but the time depends on the blocks.
     """
     ship(docs.sparkSession)
-    items = items.filter(F.col("text").isNotNull()).select("item_id", "text")
-    blocks = max(1, -(-items.count() // ITEMS))
-    columns = []
+    sc = docs.sparkSession.sparkContext
+    items = items.filter(F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select("item_id", "text")
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // ITEMS), -(-(size["chars"] or 0) // CHARS))
+    read = lambda df: [(r["item_id"], r["text"]) for r in df.orderBy("item_id", "text").collect()]
+    if blocks == 1:
+        return docs.withColumn(into, _searcher(sc.broadcast(Index(read(items))))(F.col("text")))
+    frequency = materialise(_terms(items).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "items-terms")
+    mean = items.agg(F.avg(F.regexp_count("text", F.lit(WORD)))).first()[0]
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    found = []
     for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        shared = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows]))
-
-        columns.append(_searcher(shared)(F.col("text")))
-    return docs.withColumn(into, reduce(F.concat, columns))
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        own = {r["term"] & (1 << 64) - 1: r["n"] for r in frequency.join(_terms(mine).distinct(), "term").collect()}
+        shared = sc.broadcast(Index(read(mine), size["n"], mean, own))
+        hits = docs.select(key.alias("key"), _searcher(shared)(F.col("text")).alias("hits")).filter("size(hits) > 0")
+        found.append(materialise(hits.groupBy("key").agg(F.first("hits").alias("hits")), "items-hits"))  # equal texts have equal hits
+        shared.unpersist()
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    hits = hits.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # of one text
+    rows = docs.drop(into).select(F.struct("*").alias("row"), key.alias("key")).join(hits, "key", "left")
+    return rows.select("row.*", F.coalesce("hits", F.array().cast(HITS)).alias(into))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

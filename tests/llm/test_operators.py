@@ -480,6 +480,54 @@ def test_decontaminate(docs, none, spark):
     assert decontaminate.find_items(none, items).count() == 0
 
 
+def brute_hits(texts, items):
+    """Items of each text by BM25 of every passage against every item, then the overlap of shingles."""
+    import math
+
+    import numpy as np
+
+    own = [(i, t, words(t)) for i, t in items if words(t)]
+    frequency = Counter(w for _, _, ws in own for w in set(ws))
+    mean, half = sum(len(ws) for *_, ws in own) / len(own), max(32, 2 * max(len(ws) for *_, ws in own)) // 2
+    idf = {w: math.log(1 + (len(own) - n + 0.5) / (n + 0.5)) for w, n in frequency.items()}
+    impact = [{w: idf[w] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, n in Counter(ws).items()} for *_, ws in own]
+    shingled = lambda ws, k: {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)}
+    out = []
+    for t in texts:
+        ws, hits = words(t), []
+        for (i, text, iw), score in zip(own, impact, strict=True):
+            best = max((sum(score.get(w, 0) for w in set(ws[p : p + 2 * half])) for p in range(0, len(ws), half)), default=0)
+            asked = len(words(text[: text.rindex("?") + 1])) if "?" in text else 0
+            cut = asked if 0 < asked < len(iw) else (len(iw) + 1) // 2
+            shares = [len(shingled(x, k := min(5, len(x))) & shingled(ws, k)) / len(shingled(x, k)) if x else 1 for x in (iw, iw[:cut], iw[cut:])]
+            if best >= 0.5 * sum(score.values()) - 1e-9 and shares[0] >= 0.8 and min(shares) >= 0.5:
+                hits.append((i, round(best, 6), *(round(x, 6) for x in shares)))
+        out.append(sorted(hits, key=str))
+    assert np.isfinite(mean)
+    return out
+
+
+@pytest.mark.parametrize("block", [50_000, 7])
+def test_decontamination_against_brute_force(spark, monkeypatch, block):
+    """Also with the benchmark cut into blocks, which changes nothing; equal items and equal scores are all found."""
+    monkeypatch.setattr(decontaminate, "ITEMS", block)
+    r = random.Random(31)
+    say = lambda n: " ".join(f"v{min(int(r.expovariate(0.02)), 400)}" for _ in range(n))
+    items = [(i, say(r.randint(1, 40)) + (" why? " + say(r.randint(0, 12)) if i % 3 else "")) for i in range(60)] + [(60, say(30))] * 2 + [(61, None), (62, " "), (None, say(25))]
+    texts = [None, "", say(4000)]
+    for i in range(80):
+        w = (r.choice(items)[1] or "x").split()
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w) or 1) :][:1] = [f"v{r.randrange(400)}"]
+        w = [x if r.random() > 0.04 else "changed" for x in w]
+        texts.append(f"{say(r.randint(0, 300))} {' '.join(w)} {say(r.randint(0, 100))}".upper() if i % 5 == 0 else f"{say(r.randint(0, 300))} {' '.join(w)} {say(r.randint(0, 100))}")
+    found = decontaminate.find_items(wide(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), spark.createDataFrame(items, "item_id long, text string"))
+    got = {x["doc_id"]: sorted(((h["item_id"], *(round(h[c], 6) for c in ("score", "overlap", "question", "answer"))) for h in x["benchmark_hits"]), key=str) for x in found.collect()}
+    want = brute_hits(texts, items)
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(map(len, want)) > 40
+
+
 def test_items_without_an_id_are_found(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = [(1, f"some words before {ITEMS[4][1]} and after"), (2, "nothing to be found here")]
@@ -496,8 +544,8 @@ def test_wand_equals_scoring_everything():
         terms = {int(t) for t in index.lookup.find(next(decontaminate.scan(__import__("pyarrow").array([text + " t1 t2 t3"]))).hash) if t >= 0}
         scores = defaultdict(float)
         for t in terms:
-            for i, x in zip(index.items[t], index.impact[t], strict=True):
-                scores[i] += x
+            for k in range(index.start[t], index.start[t + 1]):
+                scores[index.item[k]] += index.impact[k]
         want = {i: s for i, s in scores.items() if s >= index.need[i] - 1e-9}
         got = dict(index.wand(sorted(terms)))
         assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in got)
