@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablesmith.llm.common import id_crc, table
 
-#: Bounds of the sample that the dictionaries are made of: documents a language, characters a document, bytes a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 256, 2000, 96 * 1024
+#: Bounds of the sample that the dictionaries are made of: documents a language, characters of a document's window, bytes a dictionary.
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 256, 512, 96 * 1024
 #: Search that finds repeats of three bytes: common endings and short words tell languages apart.
 SEARCH = {"strategy": "STRATEGY_LAZY2", "min_match": 3, "search_log": 4}
 #: What a dictionary saves levels off at some KB however long the text is, so a margin is taken of so many bytes at most.
@@ -22,21 +22,25 @@ UNKNOWN = "und"
 def fit(labelled: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, size: int = DICT_BYTES) -> list[tuple[str, bytes]]:
     """(language, raw dictionary) for each language of labelled (doc_id, text, lang), the most frequent language first.
 
-    Rows without a language or a letter teach nothing. Of each language about per_lang documents, chosen by a hash
-    of their ids, give up to `chars` characters each; the driver gets no more than that.
+    Rows without a language or a letter teach nothing. Of each language, the per_lang documents with the smallest
+    hashes of id and text give a window of up to `chars` characters each, at a place that the hash decides; so null
+    and repeated ids are rows like any other, equal rows count once, and the driver gets no more than per_lang
+    windows a language. A dictionary is filled up to the eight bytes that the library asks for.
     """
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    at = F.xxhash64(F.lit(5), "doc_id", "text")
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", at.alias("at"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("at").alias("kinds")).collect()
     if not counts:
         return []
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
-    at = F.xxhash64(F.lit(5), "doc_id")
-    picked = rows.filter(F.pmod(at, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    texts: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in picked.select("lang", F.substring("text", 1, chars).alias("text")).orderBy(at).collect():
-        texts[r["lang"]].append(r["text"])
-    raw = {lang: "\n".join(texts[lang]).lower().encode()[:size] for lang in texts}
-    return [(lang, raw[lang]) for lang in sorted(counts, key=lambda x: (-counts[x], x)) if len(raw[lang]) >= 8]
+    # a few times as many as are wanted; which of them are taken doesn't depend on the estimate
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 8 * per_lang / max(1, r["kinds"]))))])
+    some = rows.filter(F.shiftrightunsigned("at", 34) < share[F.col("lang")] * (1 << 30))
+    place = F.pmod("at", F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
+    some = some.select("lang", "at", F.substring("text", place.cast("int"), F.lit(chars)).alias("window")).groupBy("lang", "at").agg(F.min("window").alias("window"))
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("at", 1), "at")
+    picked = some.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_lang).collect()
+    raw = {r["lang"]: "\n".join(p["window"] for p in sorted(picked, key=lambda p: p["nth"]) if p["lang"] == r["lang"]).lower().encode()[:size] for r in counts}
+    return [(r["lang"], raw[r["lang"]].ljust(8, b"\n")) for r in sorted(counts, key=lambda r: (-r["n"], r["lang"]))]
 
 
 def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float = 0.0, into: str = "language") -> DataFrame:
@@ -44,13 +48,15 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
 
     score is the share by which the best dictionary beats the second best; with one language, by which it beats
     no dictionary at all (0 if it does not help). Null texts and
-    texts without a letter are `und`, score 0, and rejected; so is every text if no language was learned. Others are
+    texts without a letter are `und`, score 0, and rejected. If no language was learned, every text is `und`, but
+    those with letters are not rejected, as nothing speaks against them. Others are
     rejected where the bytes saved over the second best are less than min_margin of its size, or of MARGIN_BYTES if
     that is less, so no text is too long; they keep their best guess. Equal sizes go to the more frequent
     language. Whole texts are compressed, however long, after lower-casing. Other columns pass through.
     """
+    spoken = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if not model:
-        return docs.withColumn(into, F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")))
+        return docs.withColumn(into, F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), (~spoken).alias("rejected")))
     langs = [lang for lang, _ in model]
     dictionaries = [raw for _, raw in model]
 
@@ -78,7 +84,6 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
                 margins.append((second - sizes[k]) / min(second, MARGIN_BYTES))
             yield pa.StructArray.from_arrays([pa.array(best, pa.int32()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], ["best", "score", "margin"])
 
-    spoken = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     out = docs.withColumn(into, judge(F.when(spoken, F.col("text"))))
     name = F.element_at(F.array(*[F.lit(x) for x in langs]), F.col(f"{into}.best") + 1)
     return out.withColumn(

@@ -329,6 +329,41 @@ def test_language_id(docs, none):
     assert {r["language"]["lang"] for r in language_id.identify(docs, []).collect()} == {"und"}
 
 
+def test_sizes_against_the_library(docs):
+    """Predictions and scores from sizes that the library gives in one go; equal sizes go to the first language."""
+    import zstandard as zstd
+
+    model = language_id.fit(docs)
+    model += [("xx", model[0][1]), ("yy", model[1][1])]  # ties with the first two
+    how = zstd.ZstdCompressionParameters.from_level(3, write_content_size=False, write_dict_id=False, strategy=zstd.STRATEGY_LAZY2, min_match=3, search_log=4)
+    coders = [zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=how) for _, raw in model]
+    for r in language_id.identify(docs, model).select("text", "language.*").collect():
+        if not re.search(r"[^\W\d_]", r["text"] or ""):
+            assert (r["lang"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        sizes = [len(c.compress(r["text"].lower().encode())) for c in coders]
+        best = min(range(len(sizes)), key=sizes.__getitem__)
+        second = min(x for i, x in enumerate(sizes) if i != best)
+        assert r["lang"] == model[best][0] and r["lang"] in ("en", "de") and abs(r["score"] - (second - sizes[best]) / second) < 1e-12
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_languages_are_learned_whatever_the_ids(spark, doc_id):
+    r = random.Random(14)
+    rows = [(doc_id, prose(r, 40, lang), lang) for lang in ("en", "de") for _ in range(1500)] + [(doc_id, "Wort", "tiny")] * 3000
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=20, chars=50)
+    assert [lang for lang, _ in model] == ["tiny", "de", "en"] and model[0][1] == b"wort\n\n\n\n"
+    assert all(800 < len(raw) <= 20 * 60 for _, raw in model[1:])
+
+
+def test_a_corpus_without_labels_is_kept(docs):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    kept = corpus_pipeline.language_stage(docs.sparkSession, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()
+    assert Counter(r["doc_id"] for r in kept) == Counter(i for i, t, *_ in ROWS if re.search(r"[^\W\d_]", t or ""))
+
+
 def test_a_corpus_in_one_language_is_kept(docs):
     import corpus_pipeline
 
