@@ -64,20 +64,21 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
 
 
-#: A key is hot if it has more than this share of all rows: fewer than a thousand keys can be, whatever the input.
-HOT = 0.001
+#: A key is hot if it has more than this share of all rows: fewer than a thousand keys can be, whatever the input. Its rows are dealt to so many places.
+HOT, PLACES = 0.001, 64
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
     """rows joined with facts: one row for each key, with n, the number of rows that have it, of `total` in all.
 
-    Facts about hot keys are broadcast, so no task gathers a hot key's rows; all others meet by a shuffle. rows are
-    read twice, so they should be a table.
+    The rows of a hot key are dealt to several places, each of which gets a copy of what is known of it.
     """
-    hot = facts.filter(F.col("n") > max(1, HOT * total)).drop("n")
-    near = rows.join(F.broadcast(hot), key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.drop("n"), key)
-    return near.unionByName(far)
+    hot = F.col("n") > max(1, HOT * total)
+    known = facts.filter(hot).select(key, F.lit(True).alias("__hot"))
+    spread = rows.join(F.broadcast(known), key, "left")  # fewer than 1 / HOT keys
+    spread = spread.withColumn("__place", F.when(F.col("__hot"), F.monotonically_increasing_id() % PLACES).otherwise(0))
+    copies = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(PLACES - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return spread.join(facts.withColumn("__place", F.explode(copies)).drop("n"), [key, "__place"]).drop("__hot", "__place")
 
 
 def bucketed_rank_base(counts: DataFrame, parts: list[str], bucket: str, n: str, out: str) -> DataFrame:

@@ -289,8 +289,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 def _grouped(docs: DataFrame, k: int, num: int, den: int, bands: int) -> DataFrame:
     """row (docs' columns without text), n_shingles, component_id and root, a key of the component that does not depend on ids (null for an empty set).
 
-    Where a class, a bucket, a set or a component has a great share of all rows, what is known of it is broadcast
-    (`attach`) or copied (`confirm`) instead of gathering its rows.
+    Where a class, a bucket, a set or a component has a great share of all rows, what is known of it is copied
+    (`attach`, `confirm`) instead of gathering its rows.
     """
     ship(docs.sparkSession)
     signed = materialise(sign(docs, k, bands), "near-signed")
