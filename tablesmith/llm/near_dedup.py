@@ -28,6 +28,8 @@ from tablesmith.llm.wordscan import mix, scan
 ROWS = 5
 #: Classes of a block; two blocks are compared in one go. Classes that meet one copy of the set that they are compared with.
 BLOCK, STAR = 256, 512
+#: Places where the rows of a bucket meet its first class.
+SPREAD = 8
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
@@ -299,7 +301,10 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, bands: int) -> DataFra
     classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "near-classes")
     buckets = materialise(classes.select("class", F.posexplode("bands").alias("band", "hash")).select("class", F.xxhash64("band", "hash").alias("bucket")), "near-buckets")
     first = materialise(buckets.groupBy("bucket").agg(F.min("class").alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-first")
-    members = materialise(attach(buckets, first, "bucket", buckets.count()), "near-members")
+    # most buckets have one class and end here; the rows of the others meet in SPREAD places each, as a bucket may be large
+    spread = buckets.withColumn("part", F.pmod(F.xxhash64("class"), F.lit(SPREAD)))
+    copies = first.select("bucket", "main", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("part"))
+    members = materialise(spread.join(copies, ["bucket", "part"]).drop("part"), "near-members")
     needed = members.select("class").distinct().join(classes.select("class", "spot", "digest"), "class")
     sets = materialise(sets_of(docs, needed, k), "near-sets")
     stars = members.filter("class <> main").groupBy("class").agg(F.min("main").alias("b")).withColumnRenamed("class", "a")
