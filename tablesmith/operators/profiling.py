@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.operators.quality import numeric_columns
+from tablesmith.operators.stats import exact_quantiles
 from tablesmith.operators.tables import is_text
 
 #: Parts of names that speak against a target (as substrings, so `id` also fits `width`), and for one.
@@ -27,31 +28,38 @@ def profile(df: DataFrame) -> DataFrame:
     return out.select("column", "dtype", "rows", "non_null", share.alias("null_fraction"), "distinct")
 
 
+#: Points of a column's name as a target, in order: phrases of which the goal holds one (all groups; none: any
+#: goal), words of the column (one of each group), and points. Of rules that share a letter only the first that fits counts.
+TARGET_POINTS = (
+    ((), (("target", "label", "outcome"),), 30, ""),
+    ((("salary",),), (("salary",),), 40, ""),
+    ((("valuation", "market value"),), (("valuation",),), 40, ""),
+    ((("price", "pricing", "cost"),), (("price",),), 40, ""),
+    ((("revenue growth",),), (("revenue",), ("growth",)), 40, "a"),
+    ((("revenue",),), (("revenue",),), 35, "a"),
+    ((("population",), ("growth", "change")), (("population",), ("growth",), ("rate",)), 50, "b"),
+    ((("population",), ("growth", "change")), (("population",), ("change",)), 50, "b"),
+    ((("population",), ("growth", "change")), (("gdp",), ("growth", "change")), -20, ""),
+    ((("gdp",), ("growth", "change")), (("gdp",), ("growth", "change", "rate")), 35, ""),
+    ((("win", "winning"),), (("winning", "wins", "pct"),), 25, ""),
+    ((("points",),), (("points",),), 20, ""),
+)
+#: Points of parts of the name wherever they stand (the first list counts once), and of a number.
+NO_TARGET_POINTS, PRIORITY_POINTS, NUMERIC_POINTS = -50, 10, 8
+
+
 def name_score(goal: str, column: str, numeric: bool) -> int:
     """How well a column's name fits a goal as its target."""
     low, goal = column.lower(), goal.lower()
-    words = {w for w in low.replace("/", "_").split("_") if w}
-    any_in = lambda xs, where: any(x in where for x in xs)
-    rules = [
-        (any_in(NO_TARGET, low), -50),
-        (numeric, 8),
-        (any_in(("target", "label", "outcome"), words), 30),
-        ("salary" in goal and "salary" in words, 40),
-        (any_in(("valuation", "market value"), goal) and "valuation" in words, 40),
-        (any_in(("price", "pricing", "cost"), goal) and "price" in words, 40),
-        ("revenue growth" in goal and {"revenue", "growth"} <= words, 40),
-        (not ("revenue growth" in goal and {"revenue", "growth"} <= words) and "revenue" in goal and "revenue" in words, 35),
-        (any_in(("win",), goal) and any_in(("winning", "wins", "pct"), words), 25),
-        ("points" in goal and "points" in words, 20),
-        (any_in(PRIORITY, low), 10),
-    ]
-    changing = any_in(("growth", "change"), goal)
-    if "population" in goal and changing:
-        rules.append(("population" in words and ({"growth", "rate"} <= words or "change" in words), 50))
-        rules.append(("gdp" in words and any_in(("growth", "change"), words), -20))
-    if "gdp" in goal and changing:
-        rules.append(("gdp" in words and any_in(("growth", "change", "rate"), words), 35))
-    return sum(points for holds, points in rules if holds)
+    words = set(low.replace("/", "_").split("_"))
+    score = NO_TARGET_POINTS * any(x in low for x in NO_TARGET) + NUMERIC_POINTS * numeric + PRIORITY_POINTS * any(x in low for x in PRIORITY)
+    met: set[str] = set()
+    for asked, named, points, rank in TARGET_POINTS:
+        if rank in met or not all(any(p in goal for p in group) for group in asked) or not all(words & set(group) for group in named):
+            continue
+        score += points
+        met |= {rank} - {""}
+    return score
 
 
 def target_ranking(df: DataFrame, goal: str = "") -> DataFrame:
@@ -106,15 +114,28 @@ def leakage(df: DataFrame, target: str, least: float = 0.995) -> DataFrame:
 
 
 def impute(df: DataFrame, unknown: str = "Unknown") -> DataFrame:
-    """Numbers get the column's exact median, null and empty texts `Unknown`; all medians come from one pass."""
+    """Numbers get the column's exact median, null and empty texts `Unknown`; all medians come from the same passes."""
     numbers = numeric_columns(df)
-    medians = df.agg(*[F.median(c).alias(c) for c in numbers]).first() if numbers else {}
-    fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in numbers}
+    medians = {c: q[0] for c, (_, q) in exact_quantiles(df, {c: F.col(c) for c in numbers}, (0.5,)).items()} if numbers else {}
+    fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c]).cast("double")) for c in numbers}
     fill |= {c: F.when(F.col(c).isNull() | (F.col(c) == ""), unknown).otherwise(F.col(c)) for c in df.columns if is_text(df, c)}
     return df.withColumns(fill)
 
 
-def one_hot(df: DataFrame, column: str) -> DataFrame:
-    """A boolean column for each value, named column_value; null has none."""
-    values = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
-    return df.select(*[c for c in df.columns if c != column], *[F.coalesce(F.col(column) == v, F.lit(False)).alias(f"{column}_{v}") for v in values])
+#: Most columns that one text column may become.
+KINDS = 2000
+
+
+def one_hot(df: DataFrame, *columns: str) -> DataFrame:
+    """A boolean column for each value of the given text columns (none: of all), named column_value; null has none.
+
+    A column of more than KINDS values is an error: it would be no table any more.
+    """
+    chosen = list(columns) or [c for c in df.columns if is_text(df, c)]
+    made = []
+    for c in chosen:
+        values = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c).limit(KINDS + 1).collect()]
+        if len(values) > KINDS:
+            raise ValueError(f"{c} has more than {KINDS} values")
+        made += [F.coalesce(F.col(c) == v, F.lit(False)).alias(f"{c}_{v}") for v in values]
+    return df.select(*[c for c in df.columns if c not in chosen], *made)

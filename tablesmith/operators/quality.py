@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.text import missing, root_domain, strip, to_float
+from tablesmith.operators.stats import exact_quantiles
 from tablesmith.operators.tables import is_text
 
 #: Columns that identify a row and are no features.
@@ -46,19 +47,37 @@ def missing_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return rates.unpivot([], columns, "column", "missing_rate")
 
 
+def _shown(df: DataFrame, c: str) -> Column:
+    """A column's value where it isn't missing, texts trimmed and without case."""
+    return F.when(~absent(df, c), F.lower(strip(F.col(c))) if is_text(df, c) else F.col(c))
+
+
 def column_stats(df: DataFrame, columns: list[str] | None = None) -> dict[str, tuple[int, int, float]]:
     """(non-missing, distinct, missing rate) of each column, texts compared trimmed and without case; one pass."""
     columns = columns or df.columns
-    value = lambda c: F.when(~absent(df, c), F.lower(strip(F.col(c))) if is_text(df, c) else F.col(c))
-    aggs = [x for i, c in enumerate(columns) for x in (F.count(value(c)).alias(f"n{i}"), F.count_distinct(value(c)).alias(f"d{i}"))]
+    aggs = [x for i, c in enumerate(columns) for x in (F.count(_shown(df, c)).alias(f"n{i}"), F.count_distinct(_shown(df, c)).alias(f"d{i}"))]
     row = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
     return {c: (row[f"n{i}"], row[f"d{i}"], 1 - row[f"n{i}"] / row["n"] if row["n"] else 1.0) for i, c in enumerate(columns)}
 
 
+def fill_stats(df: DataFrame, also: Column | None = None, columns: list[str] | None = None) -> tuple[int, int, dict[str, tuple[int, bool]]]:
+    """Rows, those of them that `also` holds for, and of each column among these: values that aren't missing, and whether it is constant.
+
+    Least and greatest value tell whether a column is constant, so a row is aggregated once whatever the number of columns.
+    """
+    columns = columns or df.columns
+    keep = F.lit(True) if also is None else F.coalesce(also, F.lit(False))
+    own = lambda c: F.when(keep, _shown(df, c))
+    aggs = [x for i, c in enumerate(columns) for x in (F.count(own(c)).alias(f"n{i}"), F.min(own(c)).eqNullSafe(F.max(own(c))).alias(f"c{i}"))]
+    row = df.agg(F.count(F.lit(1)).alias("all"), F.count_if(keep).alias("kept"), *aggs).first()
+    return row["all"], row["kept"], {c: (row[f"n{i}"], row[f"c{i}"]) for i, c in enumerate(columns)}
+
+
 def low_value_columns(df: DataFrame, minimum_rows: int, protected: tuple[str, ...] = ()) -> list[str]:
-    """Columns with fewer values than half of minimum_rows, or no more than one distinct value."""
-    row = df.agg(*[x for i, c in enumerate(df.columns) for x in (F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}"))]).first()
-    return [c for i, c in enumerate(df.columns) if c not in protected and (row[f"n{i}"] < minimum_rows // 2 or row[f"d{i}"] <= 1)]
+    """Columns with fewer values than half of minimum_rows, or no more than one distinct value (null tokens of texts count as values)."""
+    aggs = [x for i, c in enumerate(df.columns) for x in (F.count(c).alias(f"n{i}"), F.min(c).eqNullSafe(F.max(c)).alias(f"c{i}"))]
+    row = df.agg(*aggs).first()
+    return [c for i, c in enumerate(df.columns) if c not in protected and (row[f"n{i}"] < minimum_rows // 2 or row[f"c{i}"])]
 
 
 @dataclass
@@ -71,29 +90,31 @@ class Pruned:
     constant: list[str] = field(default_factory=list)
 
 
+def dense(df: DataFrame, target: str | None, features: list[str], most: float = 0.5) -> Column:
+    """Whether a row has the target and lacks no more than a share of the features."""
+    lacking = sum((absent(df, c).cast("int") for c in features), F.lit(0))
+    has = ~absent(df, target) if target else F.lit(True)
+    return has & (lacking / len(features) <= most) if features else has
+
+
 def sparse_rows(df: DataFrame, target: str | None, features: list[str], most: float = 0.5) -> DataFrame:
     """Rows that have the target and lack no more than a share of the features."""
-    out = df.filter(~absent(df, target)) if target else df
-    if not features:
-        return out
-    lacking = sum((absent(df, c).cast("int") for c in features), F.lit(0))
-    return out.filter(lacking / len(features) <= most)
+    return df.filter(dense(df, target, features, most))
 
 
 def prune(df: DataFrame, target: str | None, protected: tuple[str, ...] = (), rows: float = 0.5, columns: float = 0.4) -> Pruned:
     """Rows without target, rows with too many missing features, then sparse columns and constant ones, in this order.
 
     Rows of more than `rows` missing features go, columns with more than `columns` missing values too. Protected
-    columns and identity columns stay.
+    columns and identity columns stay. One aggregation decides.
     """
     keep = {*protected, *IDENTITY_FIELDS, *([target] if target else [])}
     features = [c for c in df.columns if c not in IDENTITY_FIELDS and c != target]
-    left = sparse_rows(df, target, features, rows)
-    stats = column_stats(left)
-    sparse = [c for c in left.columns if c not in keep and stats[c][2] > columns]
-    constant = [c for c in left.columns if c not in keep and c not in sparse and stats[c][1] <= 1]
-    before, after = df.count(), left.count()
-    return Pruned(left.drop(*sparse, *constant), (before, after), sparse, constant)
+    stays = dense(df, target, features, rows)
+    before, after, stats = fill_stats(df, stays)
+    sparse = [c for c in df.columns if c not in keep and (1 - stats[c][0] / after if after else 1.0) > columns]
+    constant = [c for c in df.columns if c not in keep and c not in sparse and stats[c][1]]
+    return Pruned(df.filter(stays).drop(*sparse, *constant), (before, after), sparse, constant)
 
 
 def fill_rates(df: DataFrame, target: str, core: list[str], target_most: float = 0.1, core_most: float = 0.4) -> DataFrame:
@@ -109,15 +130,16 @@ def core_features(df: DataFrame, target: str, most: int = 4) -> list[str]:
     return sorted(names, key=lambda c: (stats[c][2], c not in numbers, -stats[c][1], c))[:most]
 
 
+def robust_stats(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """For each column n, median, q1, q3 and mad (median distance from the median), all exact."""
+    own = exact_quantiles(df, {c: F.col(c) for c in columns}, (0.25, 0.5, 0.75))
+    far = exact_quantiles(df, {c: F.abs(F.col(c).cast("double") - F.lit(own[c][1][1])) for c in columns}, (0.5,))
+    return {c: {"column": c, "n": own[c][0], "median": own[c][1][1], "q1": own[c][1][0], "q3": own[c][1][2], "mad": far[c][1][0]} for c in columns}
+
+
 def outlier_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, median, q1, q3 and mad (median distance from the median): two passes, one for all columns each."""
-    q = lambda c: F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    first = df.agg(*[F.struct(F.count(c).alias("n"), q(c).alias("q")).alias(c) for c in columns])
-    row = first.first()
-    medians = {c: row[c]["q"][1] if row[c]["q"] else None for c in columns}
-    far = df.agg(*[F.median(F.abs(F.col(c).cast("double") - F.lit(medians[c]))).alias(c) for c in columns]).first()
-    rows = [(c, row[c]["n"], medians[c], row[c]["q"] and row[c]["q"][0], row[c]["q"] and row[c]["q"][2], far[c]) for c in columns]
-    return df.sparkSession.createDataFrame(rows, "column string, n long, median double, q1 double, q3 double, mad double")
+    """column, n, median, q1, q3 and mad."""
+    return df.sparkSession.createDataFrame(list(robust_stats(df, columns).values()), "column string, n long, median double, q1 double, q3 double, mad double")
 
 
 def outlier_flags(df: DataFrame, columns: list[str], stats: dict[str, dict] | None = None) -> tuple[dict[str, Column], dict[str, Column]]:
@@ -127,7 +149,7 @@ def outlier_flags(df: DataFrame, columns: list[str], stats: dict[str, dict] | No
     quartile ranges outside the quartiles. Tables under 12 rows and columns under 8 values have none.
     """
     if stats is None:
-        stats = {r["column"]: r.asDict() for r in outlier_stats(df, columns).collect()}
+        stats = robust_stats(df, columns)
     flags, scores = {}, {}
     for c in columns:
         s = stats[c]
@@ -152,18 +174,20 @@ def drop_outliers(df: DataFrame, columns: list[str], target: str | None = None)
 
 
 def bounds(name: str) -> tuple[float | None, float | None] | None:
-    """(lowest, highest) value that a column's name allows; the first rule that fits counts."""
-    words = [w for w in re.split(r"[^a-z0-9]+", name.lower().replace("_", " ")) if w]
+    """(lowest, highest) value that a column's name allows.
+
+    Years have limits of their own. Otherwise words that can't be negative give a lower limit of 0, and percentages
+    and rates their limits besides: the stricter ones count. A rate of growth has none.
+    """
+    words = [w for w in re.split(r"[^a-z0-9]+", name.lower()) if w]
     has = lambda xs: any(x in words for x in xs)
     if "year" in words:
         return 1800.0, 2100.0
-    if has(NON_NEGATIVE):
-        return 0.0, None
-    if has(PERCENT):
-        return (-100.0, 500.0) if has(GROWTH) else (0.0, 100.0)
-    if has(RATE):
-        return (-100.0, 500.0) if has(GROWTH) else (0.0, 100.0)
-    return None
+    low, high = (0.0 if has(NON_NEGATIVE) else None), None
+    if has(PERCENT) or (has(RATE) and not has(GROWTH)):
+        least, high = (-100.0, 500.0) if has(GROWTH) else (0.0, 100.0)
+        low = least if low is None else max(low, least)
+    return None if low is None and high is None else (low, high)
 
 
 def bound_pairs(names: list[str]) -> list[tuple[str, str]]:

@@ -78,19 +78,24 @@ def outlier_row_rejection(spark, d):
     return quality.drop_outliers(t, ["quantity", "price"]).select("l_orderkey", "l_linenumber", "outliers")
 
 
-@query("""
-WITH b AS (SELECT c_custkey, c_acctbal AS account_income, c_acctbal / 50 AS share_pct FROM customer),
-i AS (SELECT c_custkey, 'account_income' AS field FROM b WHERE account_income < 0 UNION ALL SELECT c_custkey, 'share_pct' FROM b WHERE share_pct < 0 OR share_pct > 100)
-SELECT c_custkey AS row_index, 'bounds' AS category, field, 'error' AS severity FROM i""")
+#: Names and the limits that they set: words can't be negative, percentages and rates have limits besides, growth wider ones or none.
+LIMITED = {
+    "account_income": "v < 0", "share_pct": "v < 0 OR v > 100", "win_percentage": "v < 0 OR v > 100", "income_share": "v < 0 OR v > 100", "score_pct": "v < 0 OR v > 100",
+    "change_pct": "v < -100 OR v > 500", "price_change_pct": "v < 0 OR v > 500", "growth_rate": "FALSE", "tax_rate": "v < 0 OR v > 100", "founding_year": "v < 1800 OR v > 2100", "market_cap": "FALSE",
+}
+
+
+@query(" UNION ALL ".join(f"""SELECT c_custkey AS row_index, 'bounds' AS category, '{name}' AS field, 'error' AS severity
+  FROM (SELECT c_custkey, c_acctbal / {k + 1} AS v FROM customer) WHERE {bad}""" for k, (name, bad) in enumerate(LIMITED.items())))
 def hard_bounds(spark, d):
-    t = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("account_income"), (F.col("c_acctbal") / 50).alias("share_pct"))
+    t = table(spark, d, "customer").select("c_custkey", *[(F.col("c_acctbal") / (k + 1)).alias(name) for k, name in enumerate(LIMITED)])
     return quality.issues(t, "c_custkey").select("row_index", "category", "field", "severity")
 
 
 @query("""
-SELECT l_orderkey * 10 + l_linenumber AS row_index, 'amount_min' AS field FROM lineitem WHERE l_extendedprice > 30000 AND l_quantity * 1000 < l_extendedprice""")
+SELECT l_orderkey * 10 + l_linenumber AS row_index, 'amount_min' AS field FROM lineitem WHERE l_quantity * 1000 < l_extendedprice""")
 def bound_pairs(spark, d):
-    t = table(spark, d, "lineitem").filter("l_extendedprice > 30000").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_extendedprice").alias("amount_min"), (F.col("l_quantity") * 1000).alias("amount_max"))
+    t = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_extendedprice").alias("amount_min"), (F.col("l_quantity") * 1000).alias("amount_max"))
     return quality.issues(t, "k").filter("category = 'range'").select("row_index", "field")
 
 

@@ -57,7 +57,9 @@ def test_bounds():
     assert quality.bounds("birth_year") == (1800.0, 2100.0)
     assert quality.bounds("salary") == (0.0, None)
     assert quality.bounds("market_cap") is None  # words are matched one by one
-    assert quality.bounds("growth_rate") == (-100.0, 500.0)
+    assert quality.bounds("growth_rate") is None and quality.bounds("tax_rate") == (0.0, 100.0)
+    assert quality.bounds("win_percentage") == (0.0, 100.0) and quality.bounds("income_share") == (0.0, 100.0)
+    assert quality.bounds("change_pct") == (-100.0, 500.0) and quality.bounds("price_change_pct") == (0.0, 500.0)
     assert quality.bound_pairs(["salary_min", "salary_max", "x_low"]) == [("salary_min", "salary_max")]
 
 
