@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tablesmith.llm.common import WORD, bucketed_rank_base, materialise, table
 
-#: A place is 60 bits of a digest; its first 12 bits are the bucket in which a source's documents are added up.
-PLACE_BITS, BUCKET_BITS = 60, 12
+#: A place is 60 bits of a digest; its first bits are the bucket in which a source's documents are added up.
+PLACE_BITS = 60
 
 
 def word_count(text: Column) -> Column:
@@ -26,10 +26,15 @@ def place(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, PLACE_BITS // 4), 16, 10).cast("long")
 
 
+def bucket_bits(rows: int) -> int:
+    """Bits of a bucket: so many that one has some 25,000 to 50,000 of all rows, whatever the input."""
+    return max(6, min(PLACE_BITS, (rows // 50_000).bit_length()))
+
+
 def water_fill(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
     """Targets for a table (source, source_size): adds weight and target.
 
-    Sources in the order of their code points, null last, take the weights in turn. Clamps bind in the order of
+    There is a row for each source, and all of them meet in one window. Sources in the order of their code points, null last, take the weights in turn. Clamps bind in the order of
     clamp / weight: going up this order, the level (what is left / the weights left) only rises, so a source is
     clamped exactly if its clamp is at or below the level that holds when its turn comes.
     """
@@ -58,7 +63,9 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epo
     the bucket where the target is reached is sorted: no task sees more of a source than that.
     """
     slim = docs.select("source", word_count(F.col("text")).alias("size"), place(F.col("doc_id"), F.col("text"), seed).alias("place"))
-    slim = materialise(slim, "mix-sizes").withColumn("bucket", F.shiftright("place", PLACE_BITS - BUCKET_BITS).cast("int"))
+    slim = materialise(slim, "mix-sizes")
+    bits = bucket_bits(slim.count())
+    slim = slim.withColumn("bucket", F.shiftright("place", PLACE_BITS - bits))
     buckets = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     targets = water_fill(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
@@ -73,7 +80,7 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epo
     start = F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0))
     taken = places.withColumn("mid", start + F.col("size") / 2).filter("mid <= rest").groupBy("source").agg(F.max("place").alias("reached"))
     # where the target falls before the first middle of its bucket, all earlier buckets are taken
-    floor = at.groupBy("source").agg(F.min("bucket").alias("bucket")).select("source", (F.shiftleft(F.col("bucket").cast("long"), PLACE_BITS - BUCKET_BITS) - 1).alias("below"))
+    floor = at.groupBy("source").agg(F.min("bucket").alias("bucket")).select("source", (F.shiftleft("bucket", PLACE_BITS - bits) - 1).alias("below"))
     out = targets.join(taken.withColumnRenamed("source", "s1"), F.col("source").eqNullSafe(F.col("s1")), "left")
     out = out.join(floor.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left")
     last = F.greatest("reached", "below")
