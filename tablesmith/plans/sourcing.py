@@ -208,7 +208,7 @@ def json_state_roundtrip(spark, d):
     lenient = F.concat(F.lit("{item: {id: "), "s_suppkey", F.lit(", name: '"), "s_name", F.lit("', balance: "), F.col("s_acctbal").cast("string"), F.lit(", gone: undefined,},}"))
     page = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit('<script type="application/json" id="__NEXT_DATA__">'), body, F.lit("</script>")))
     page = page.otherwise(F.concat(F.lit("<script>window.__INITIAL_STATE__ = "), lenient, F.lit("; more();</script>")))
-    got = state.page_states(s, page, "json")
+    got = state.page_states(s, page).withColumn("json", F.col("states")[0]["state"])
     return got.select("s_suppkey", F.get_json_object("json", "$.item.name").alias("name"), F.get_json_object("json", "$.item.balance").cast("double").alias("balance"))
 
 

@@ -47,11 +47,25 @@ def test_digit_headers_are_replaced(spark):
 
 
 def test_state():
-    assert state.sniff("<script>window.__PRELOADED_STATE__ = {a: 'undefined: {', b: [1,2,], c: undefined}; f()</script>") is not None
-    assert state.sniff('<script id="__NEXT_DATA__" type="application/json">{"a": [1]}</script>') == '{"a": [1]}'
-    assert state.sniff("<p>") is None and state.sniff(None) is None
-    assert state.flatten({"a": [1, {"b": None}]}) == [("a[0]", "1"), ("a[1].b", None)]
-    assert state.collections({"a": [{"x": 1}, {"y": 2}], "b": [1, 2, 3]}) == [("a", 2, ["x", "y"]), ("b", 3, [])]
+    assert state.states_of("<script>window.__PRELOADED_STATE__ = {a: 'undefined: {', b: [1,2,], c: undefined}; f()</script>") == [("window.__PRELOADED_STATE__", {"a": "undefined: {", "b": [1, 2], "c": None})]
+    both = '<script type="application/json" id="__NEXT_DATA__">{"a": "x &amp; y"}</script><script>window.__INITIAL_STATE__={items: [{n: 1}, {n: 2}]}</script>'
+    assert state.states_of(both) == [("__NEXT_DATA__", {"a": "x & y"}), ("window.__INITIAL_STATE__", {"items": [{"n": 1}, {"n": 2}]})]
+    assert state.states_of('<script id="__NEXT_DATA__">{"a": [1]}</script>') == state.states_of("<p>") == state.states_of(None) == []
+    assert state.inventory({"a": [1, {"b": None}]}) == ([("a[0]", "1"), ("a[1].b", None)], [])
+    assert state.inventory({"a": [{"x": 1}, {"y": 2}], "b": [1, 2, 3]})[1] == [("a", 2, ["x", "y"]), ("b", 3, [])]
+    deep = {"l": [[{"a": 1}, {"b": 2}]] * 60, "s": list(range(60))}
+    paths, groups = state.inventory(deep, "k")
+    assert len(paths) == 100 + 50 and [g[0] for g in groups[:2]] == ["k.l", "k.l[0]"] and len(groups) == 22
+
+
+def test_page_inventory(spark):
+    both = '<script type="application/json" id="__NEXT_DATA__">{"a": 1}</script><script>window.__INITIAL_STATE__={items: [{n: 1}, {n: 2}]}</script>'
+    df = spark.createDataFrame([(1, both), (2, None)], "i int, html string")
+    got = {r["i"]: r["inventory"] for r in state.page_inventory(df, F.col("html")).collect()}
+    assert [(p["path"], p["value"]) for p in got[1]["paths"]] == [("__NEXT_DATA__.a", "1"), ("window.__INITIAL_STATE__.items[0].n", "1"), ("window.__INITIAL_STATE__.items[1].n", "2")]
+    assert [c["path"] for c in got[1]["collections"]] == ["window.__INITIAL_STATE__.items"] and got[2]["paths"] == []
+    long = df.select(state.truncated_json(F.lit('{"a": "' + "x" * 100 + '"}'), 20).alias("j")).first()["j"]
+    assert long.startswith('{"_truncated":true,"_preview":')
 
 
 def test_document_text(spark):
