@@ -100,7 +100,7 @@ def build(
 
     Raises QualityError if no table names entities, or if the result has too few rows for the goal.
     """
-    rows = html.rows_of(html.html_cells(pages)).cache()
+    rows = html.table_rows(pages).cache()
     found = [(r["url"], r["table_idx"]) for r in rows.groupBy("url", "table_idx").count().orderBy("url", "table_idx").collect()]
     frames = []
     for url, table_idx in found:

@@ -170,7 +170,7 @@ def html_header_repeat(spark, d):
     s = table(spark, d, "supplier").select(F.lit("https://s.example").alias("url"), F.col("s_suppkey").cast("string").alias("k"), F.col("s_name").alias("v"))
     extra = s.filter(F.col("k") == "5").select("url", F.explode(F.array(F.struct(F.lit("Suppkey").alias("k"), F.lit("Name").alias("v")), F.struct(F.lit("").alias("k"), F.lit(" ").alias("v")))).alias("x")).select("url", "x.*")
     made = _html(s.unionByName(extra), "url", ["Suppkey", "Name"], [F.col("k"), F.col("v")], head="th")
-    return html.table_frame(html.rows_of(html.html_cells(made)), "https://s.example", 0).select("suppkey", "name")
+    return html.table_frame(html.table_rows(made), "https://s.example", 0).select("suppkey", "name")
 
 
 @query("SELECT p_partkey AS partkey, p_brand AS brand FROM part")

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import cache
 from html.parser import HTMLParser
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesmith.functions.text import clean_cell, is_numeric_like, missing, parse_money, strip
+from tablesmith.functions.text import MISSING, clean_cell, is_numeric_like, missing, parse_money, strip
 from tablesmith.operators.columns import match_headers, normalize, unique
 from tablesmith.session import ship
 
 #: Words that show that a first row is a header.
 BUILDER_WORDS = ("name", "player", "team", "salary", "company", "bank", "state", "club")
 EXTRACTOR_WORDS = ("name", "team", "school", "player", "company", "conference")
+#: Most rows or columns that one cell covers, as in the HTML standard for columns.
+SPAN = 1000
 CELLS = "array<struct<table_idx int, row_idx int, col_idx int, header boolean, text string>>"
 
 
 class _Tables(HTMLParser):
-    """Collects the cells of all tables, nested ones apart; spans are filled in when a table ends."""
+    """Collects the cells of all tables, nested ones apart; spans are filled in when a table ends, and count up to SPAN."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -41,7 +47,7 @@ class _Tables(HTMLParser):
                 if not t["rows"]:
                     t["rows"].append([])
                 a = dict(attrs)
-                number = lambda k: max(1, min(1000, int(a[k]))) if (a.get(k) or "").isdigit() else 1
+                number = lambda k: max(1, min(SPAN, int(a[k]))) if (a.get(k) or "").isdigit() else 1
                 t["cell"] = {"text": [], "header": tag == "th", "head": t["head"], "rows": number("rowspan"), "cols": number("colspan")}
                 t["rows"][-1].append(t["cell"])
             elif tag == "br" and t["cell"]:
@@ -97,7 +103,14 @@ def parse_cells(html: str | None) -> list[tuple]:
 
 @cache
 def _parse():
-    return F.udf(parse_cells, CELLS, useArrow=False)
+    kind = pa.list_(pa.struct([("table_idx", pa.int32()), ("row_idx", pa.int32()), ("col_idx", pa.int32()), ("header", pa.bool_()), ("text", pa.string())]))
+
+    @F.arrow_udf(CELLS)
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array([[dict(zip(("table_idx", "row_idx", "col_idx", "header", "text"), c, strict=True)) for c in parse_cells(x)] for x in column.to_pylist()], kind)
+
+    return parse
 
 
 def html_cells(pages: DataFrame, keep: tuple[str, ...] = ("url",)) -> DataFrame:
@@ -106,43 +119,78 @@ def html_cells(pages: DataFrame, keep: tuple[str, ...] = ("url",)) -> DataFrame:
     return pages.select(*keep, F.explode(_parse()("html")).alias("c")).select(*keep, "c.*")
 
 
-def headers(cells: DataFrame, words: tuple[str, ...] = BUILDER_WORDS) -> DataFrame:
-    """url, table_idx, names (normalised, unique), first_row: the header of each table and where its data begin.
+def absent_cell(text: str) -> bool:
+    return text.strip().lower() in MISSING["empty_row"]
+
+
+def tables_of(html: str | None, words: tuple[str, ...]) -> list[tuple[int, list[str], list[tuple[int, list[str]]]]]:
+    """(table, names, rows as (row, values)) of a page.
 
     Several header rows are joined by column. If all headers are digits or missing, and the first row is informative
-    enough and has one of the words, it becomes the header.
+    enough and has one of the words, it becomes the header. Rows that repeat the header, and empty ones, are gone.
     """
-    shape = cells.groupBy("url", "table_idx").agg(F.max("col_idx").alias("last"), F.min(F.when(~F.col("header"), F.col("row_idx"))).alias("body"))
-    top = cells.filter("header").groupBy("url", "table_idx", "col_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "text"))), lambda x: x["text"]), " ").alias("head"))
-    first = cells.join(shape, ["url", "table_idx"]).filter("row_idx = body").select("url", "table_idx", "col_idx", F.col("text").alias("first"))
-    per = first.join(top, ["url", "table_idx", "col_idx"], "full")
-    told = lambda c: ~missing(c, "empty_row")
-    plain = F.coalesce(strip(F.col("head")).rlike(r"(?i)^(\d+|unnamed.*)?$"), F.lit(True))
-    has_word = F.coalesce(F.lower("first").rlike("|".join(words)), F.lit(False))
-    sums = per.groupBy("url", "table_idx").agg(
-        F.min(plain).alias("plain"), F.count_if(told(F.col("first"))).alias("told"), F.max(has_word).alias("word"), F.count(F.lit(1)).alias("n"),
-        F.array_sort(F.collect_list(F.struct("col_idx", "head", "first"))).alias("columns"),
-    )
-    promoted = F.col("plain") & F.col("word") & (F.col("told") >= F.greatest(F.lit(2), F.floor(F.col("n") / 2)))
-    out = sums.withColumn("promoted", promoted).join(shape, ["url", "table_idx"])
-    names = F.transform("columns", lambda x: F.coalesce(F.when(F.col("promoted"), x["first"]).otherwise(x["head"]), F.concat(F.lit("unnamed_"), x["col_idx"].cast("string"))))
-    return out.select("url", "table_idx", names.alias("names"), (F.col("body") + F.col("promoted").cast("int")).alias("first_row"))
-
+    out = []
+    for number, cells in groupby(parse_cells(html), key=lambda c: c[0]):
+        head: dict[int, list[str]] = {}
+        body: dict[int, dict[int, str]] = {}
+        for _, r, c, header, text in cells:
+            if header:
+                head.setdefault(c, []).append(text)
+            else:
+                body.setdefault(r, {})[c] = text
+        width = 1 + max([*head, *(c for row in body.values() for c in row)], default=-1)
+        names = [" ".join(head[c]) if c in head else None for c in range(width)]
+        rows = sorted(body.items())
+        first = [rows[0][1].get(c, "") if rows else "" for c in range(width)]
+        plain = all(n is None or re.fullmatch(r"(?i)(\d+|unnamed.*)?", n.strip()) for n in names)
+        told = sum(not absent_cell(t) for t in first)
+        if plain and told >= max(2, width // 2) and any(w in t.lower() for t in first for w in words):
+            names, rows = first, rows[1:]
+        names = [f"unnamed_{c}" if n is None else n for c, n in enumerate(names)]
+        low = [n.strip().lower() for n in names]
+        kept = []
+        for r, row in rows:
+            values = [row.get(c, "") for c in range(width)]
+            same = sum(v.strip().lower() == n != "" for v, n in zip(values, low, strict=True))
+            if same < max(2, width // 2) and not all(map(absent_cell, values)):
+                kept.append((r, values))
+        out.append((number, names, kept))
+    return out
 
-def rows_of(cells: DataFrame, words: tuple[str, ...] = BUILDER_WORDS) -> DataFrame:
-    """url, table_idx, row_idx, names, values: data rows with their table's header; rows that repeat it, and empty ones, are gone.
 
-    Cells are read several times, so they are cached: pages are parsed once.
+@cache
+def _tables(words: tuple[str, ...], fields: tuple[str, ...], aliases: tuple):
+    """Rows of a page's tables; with fields, each table's values in their order, as matched to its header."""
+    kind = pa.list_(pa.struct([("table_idx", pa.int32()), ("row_idx", pa.int32()), ("names", pa.list_(pa.string())), ("values", pa.list_(pa.string()))]))
+    known = dict(aliases)
+
+    @F.arrow_udf("array<struct<table_idx int, row_idx int, names array<string>, values array<string>>>")
+    def rows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            pages = []
+            for html in column.to_pylist():
+                page = []
+                for number, names, body in tables_of(html, words):
+                    places = list(range(len(names)))
+                    if fields:
+                        match = match_headers(names, list(fields), known)
+                        places = [names.index(match[f]) if f in match else None for f in fields]
+                    if fields and all(k is None for k in places):
+                        continue
+                    page += [{"table_idx": number, "row_idx": r, "names": names, "values": [None if k is None else values[k] for k in places]} for r, values in body]
+                pages.append(page)
+            yield pa.array(pages, kind)
+
+    return rows
+
+
+def table_rows(pages: DataFrame, words: tuple[str, ...] = BUILDER_WORDS) -> DataFrame:
+    """url, table_idx, row_idx, names, values: data rows of pages (url, html) with their table's header (`tables_of`).
+
+    A page is parsed once and by itself, so nothing is shuffled.
     """
-    cells = cells.cache()
-    h = headers(cells, words)
-    values = cells.filter(~F.col("header")).groupBy("url", "table_idx", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "text"))).alias("v"))
-    rows = values.join(h, ["url", "table_idx"]).filter(F.col("row_idx") >= F.col("first_row"))
-    rows = rows.select("url", "table_idx", "row_idx", "names", F.transform("v", lambda x: x["text"]).alias("values"))
-    low = lambda a: F.transform(a, lambda x: F.lower(strip(x)))
-    same = F.size(F.filter(F.zip_with(low("names"), low("values"), lambda a, b: (a == b) & (a != "")), lambda x: x))
-    full = F.exists("values", lambda x: ~missing(x, "empty_row"))
-    return rows.filter((same < F.greatest(F.lit(2), F.floor(F.size("names") / 2))) & full)
+    ship(pages.sparkSession)
+    return pages.select("url", F.explode(_tables(words, (), ())("html")).alias("r")).select("url", "r.*")
 
 
 def table_frame(rows: DataFrame, url: str, table_idx: int) -> DataFrame:
@@ -158,25 +206,17 @@ def table_frame(rows: DataFrame, url: str, table_idx: int) -> DataFrame:
 def schema_rows(pages: DataFrame, fields: dict[str, str], aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Rows of all tables of pages (url, html), mapped to fields (name → Spark type): source_url and the fields.
 
-    Headers are matched to fields on the driver, one small result per distinct header. Cells are cleaned and cast, rows
-    in which nothing could be read are dropped, and equal rows of a page stay once, the first.
+    Each table's header is matched to the fields where the page is parsed, so the plan is the same for any number of
+    different headers. Cells are cleaned and cast, rows in which nothing could be read are dropped, and equal rows of
+    a page stay once.
     """
-    rows = rows_of(html_cells(pages), EXTRACTOR_WORDS)
-    kinds = [tuple(r["names"]) for r in rows.select("names").distinct().collect()]
-    places = {k: match_headers(list(k), list(fields), aliases) for k in kinds}
-    out = None
-    for kind, mapping in places.items():
-        if not mapping:
-            continue
-        cell = lambda f: clean_cell(F.get("values", F.lit(kind.index(mapping[f])))) if f in mapping else F.lit(None).cast("string")  # noqa: E731, B023
-        number = lambda f: F.regexp_replace(cell(f), "[,$%]", "").try_cast(fields[f]) if fields[f] != "string" else cell(f)  # noqa: E731, B023
-        part = rows.filter(F.col("names") == F.array(*[F.lit(n) for n in kind])).select(F.col("url").alias("source_url"), F.col("table_idx").alias("_t"), F.col("row_idx").alias("_r"), *[number(f).alias(f) for f in fields])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return rows.limit(0).select(F.col("url").alias("source_url"), *[F.lit(None).cast(t).alias(f) for f, t in fields.items()])
-    w = Window.partitionBy("source_url", *fields).orderBy("_t", "_r")
-    some = F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull()
-    return out.filter(some).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_t", "_r")
+    ship(pages.sparkSession)
+    reader = _tables(EXTRACTOR_WORDS, tuple(fields), tuple(sorted((k, tuple(v)) for k, v in (aliases or {}).items())))
+    rows = pages.select(F.col("url").alias("source_url"), F.explode(reader("html")).alias("r"))
+    cell = lambda i: clean_cell(F.get("r.values", F.lit(i)))
+    typed = [(F.regexp_replace(cell(i), "[,$%]", "").try_cast(t) if t != "string" else cell(i)).alias(f) for i, (f, t) in enumerate(fields.items())]
+    out = rows.select("source_url", *typed)
+    return out.filter(F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull()).distinct()
 
 
 def page_numbers(html: Column) -> Column:

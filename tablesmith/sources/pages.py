@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,12 @@ def _lines(text: str | None) -> str | None:
 
 @cache
 def _reader():
-    return F.udf(_lines, "string", useArrow=False)
+    @F.arrow_udf("string")
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array(map(_lines, column.to_pylist()), pa.string())
+
+    return read
 
 
 def fetch_reason(status: Column, body: Column) -> Column:

@@ -42,10 +42,16 @@ def test_html_cells():
 
 def test_digit_headers_are_replaced(spark):
     h = "<table><tr><th>0</th><th>1</th></tr><tr><td>Player</td><td>Salary</td></tr><tr><td>A</td><td>$51.4M</td></tr><tr><td>Player</td><td>Salary</td></tr></table>"
-    rows = html.rows_of(html.html_cells(spark.createDataFrame([("u", h)], "url string, html string"))).collect()
+    rows = html.table_rows(spark.createDataFrame([("u", h)], "url string, html string")).collect()
     assert [(r["names"], r["values"]) for r in rows] == [(["Player", "Salary"], ["A", "$51.4M"])]
 
 
+def test_many_headers_make_one_plan(spark):
+    made = [(f"u{i}", f"<table><tr><th>Rank</th><th>Other {i}</th><th>Team Name{'' if i % 2 else 's'}</th></tr><tr><td>{i}</td><td>x</td><td>T{i}</td></tr></table>") for i in range(500)]
+    got = html.schema_rows(spark.createDataFrame([*made, ("v", None), ("w", "<p>")], "url string, html string"), {"rank": "int", "team_name": "string"})
+    assert sorted((r["rank"], r["team_name"]) for r in got.collect()) == [(i, f"T{i}") for i in range(500)]
+
+
 def test_state():
     assert state.states_of("<script>window.__PRELOADED_STATE__ = {a: 'undefined: {', b: [1,2,], c: undefined}; f()</script>") == [("window.__PRELOADED_STATE__", {"a": "undefined: {", "b": [1, 2], "c": None})]
     both = '<script type="application/json" id="__NEXT_DATA__">{"a": "x &amp; y"}</script><script>window.__INITIAL_STATE__={items: [{n: 1}, {n: 2}]}</script>'
