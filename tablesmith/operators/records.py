@@ -19,6 +19,37 @@ CHROME = (
 )
 
 
+#: One phrase more, where single records are judged; and names of what sums others up, for the builder, for the
+#: extractor, and parts of such names.
+RECORD_CHROME = (*CHROME, "create a draft and submit it for review")
+AGGREGATES = (
+    "united states", "district of columbia", "puerto rico", "guam", "american samoa", "northern mariana islands", "u.s. virgin islands",
+    "virgin islands", "50 states and district of columbia", "new england", "east north central", "west north central", "south atlantic",
+    "east south central", "west south central", "mountain", "pacific", "northeast", "midwest", "south", "west",
+)
+BUILDER_AGGREGATES = (*AGGREGATES, "island areas", "island areas territories", "mid atlantic", "unknown")
+EXTRACTOR_AGGREGATES = (*AGGREGATES, "island areas (territories)", "mid-atlantic")
+AGGREGATE_WORDS = ("division", "region", "total")
+
+
+def is_aggregate(c: Column, names: tuple[str, ...] = BUILDER_AGGREGATES) -> Column:
+    """Whether a name stands for a sum of others."""
+    low = F.lower(strip(c))
+    return F.coalesce(low.isin(*names) | any_of(low, AGGREGATE_WORDS), F.lit(False))
+
+
+def without_aggregates(df: DataFrame, column: str, names: tuple[str, ...] = BUILDER_AGGREGATES) -> DataFrame:
+    """Rows whose name doesn't stand for a sum of others; null names stay."""
+    return df.filter(~is_aggregate(F.col(column), names))
+
+
+def usable(df: DataFrame) -> Column:
+    """Whether a record has two filled fields and no text of a page's furniture."""
+    texts = [c for c in df.columns if is_text(df, c)]
+    chrome = F.exists(F.array(*[F.coalesce(F.lower(c), F.lit("")) for c in texts]), lambda x: any_of(x, RECORD_CHROME)) if texts else F.lit(False)
+    return (populated(df, ()) >= 2) & ~chrome
+
+
 def looks_like_chrome(df: DataFrame) -> Column:
     """Whether any text column contains a phrase of a page's furniture; as substrings, so `help` also fits `helpful`."""
     texts = [c for c in df.columns if is_text(df, c)]

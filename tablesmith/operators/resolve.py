@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.text import canonical_key
-from tablesmith.session import ship
+from tablesmith.session import materialise, ship
 
 RATIO = 0.94
 
@@ -68,7 +68,7 @@ def resolve_fuzzy(df: DataFrame, column: str, pos: str, into: str = "entity_name
     keyed = resolve_exact(df, column, "__key")
     keys = keyed.groupBy(F.col("__key").alias("key")).agg(F.min(pos).alias("pos"))
     edges = candidate_pairs(keys).filter(sequence_ratio()("a", "b") >= RATIO).select("a", "a_pos", "b", "b_pos")
-    edges = edges.cache()
+    edges = materialise(edges, "fuzzy-edges")
     settled = keys.join(edges.select(F.col("a").alias("key")).distinct(), "key", "left_anti").select("key", F.col("key").alias("to"))
     open_ = edges
     while not open_.isEmpty():
@@ -77,8 +77,9 @@ def resolve_fuzzy(df: DataFrame, column: str, pos: str, into: str = "entity_name
             F.min(F.when(F.col("canonical"), F.struct("b_pos", "b"))).alias("hit"), F.min(F.when(F.col("canonical").isNull(), F.col("b_pos"))).alias("unknown")
         )
         known = F.coalesce((F.col("hit.b_pos") < F.col("unknown")) | F.col("unknown").isNull(), F.lit(False))
-        done = per.filter(known).select(F.col("a").alias("key"), F.coalesce("hit.b", "a").alias("to")).cache()
-        settled = settled.unionByName(done).cache()
-        open_ = open_.join(done.select(F.col("key").alias("a")), "a", "left_anti").cache()
+        done = per.filter(known).select(F.col("a").alias("key"), F.coalesce("hit.b", "a").alias("to"))
+        done = materialise(done, "fuzzy-done")
+        settled = materialise(settled.unionByName(done), "fuzzy-settled")
+        open_ = materialise(open_.join(done.select(F.col("key").alias("a")), "a", "left_anti"), "fuzzy-open")
     out = keyed.join(settled.withColumnRenamed("key", "__key"), "__key", "left")
     return out.withColumn(into, F.coalesce("to", "__key")).drop("__key", "to")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql.types import BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType
 
 from tablesmith.plans.intent import read_goal
-from tablesmith.sources.files import slug
+from tablesmith.operators.columns import slug
 
 TYPES: dict[str, DataType] = {"string": StringType(), "integer": LongType(), "number": DoubleType(), "boolean": BooleanType()}
 #: Words of fields that say little, and of fields that answer yes or no.

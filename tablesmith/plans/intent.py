@@ -145,9 +145,9 @@ def read_goal(text: str) -> Goal:
 
 
 def row_count_fits(rows: int, count: int | None, exact: bool, minimum: int = 20) -> bool:
-    """Whether a table's length suits the implied count: from half of it to one and a half times, or looser if approximate."""
-    if count is None:
+    """Whether a table's length suits the implied count: from half of it (0.4 if approximate), or `minimum` if that is less,
+    to one and a half times (twice) it, or a few rows more."""
+    if not count or count <= 0:
         return rows >= minimum
-    if exact:
-        return min(minimum, max(3, int(0.5 * count))) <= rows <= max(count + 2, int(1.5 * count))
-    return 0.4 * count <= rows <= max(count + 5, 2 * count)
+    share, times, more = (0.5, 1.5, 2) if exact else (0.4, 2.0, 5)
+    return min(minimum, max(3, int(share * count))) <= rows <= max(count + more, int(times * count))

@@ -158,11 +158,11 @@ def _html(rows, key, names, cells, head="thead"):
 
 
 @query("""
-SELECT 'https://n.example/' || r_name AS source_url, n_nationkey::BIGINT AS rank, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey""")
+SELECT 'https://n.example/' || r_name AS source_url, n_nationkey::BIGINT AS nation_key, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def html_table_roundtrip(spark, d):
     n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    made = _html(n.withColumn("url", F.concat(F.lit("https://n.example/"), "r_name")), "url", ["Rank", "Name"], [F.col("n_nationkey"), F.col("n_name")])
-    return html.schema_rows(made, {"rank": "bigint", "name": "string"})
+    made = _html(n.withColumn("url", F.concat(F.lit("https://n.example/"), "r_name")), "url", ["Nation key", "Name"], [F.col("n_nationkey"), F.col("n_name")])
+    return html.schema_rows(made, {"nation_key": "bigint", "name": "string"})
 
 
 @query("SELECT s_suppkey::VARCHAR AS suppkey, s_name AS name FROM supplier")

@@ -3,23 +3,21 @@
 from __future__ import annotations
 
 import json
-import re
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tablesmith.operators.columns import slug
 from tablesmith.operators.tables import append_distinct, fingerprint
 
+#: Most rows of a JSON report.
+REPORT = 10_000
 #: States of a job, and those from which it may move on.
 STATES = {"queued": ("running", "failed"), "running": ("completed", "failed", "partial_success"), "completed": (), "failed": (), "partial_success": ()}
 
 
-def slug(name: str, otherwise: str = "dataset") -> str:
-    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_") or otherwise
-
-
 def write_table(df: DataFrame, folder: str, name: str, single: bool = False) -> tuple[str, str]:
     """Write df as CSV with a header and as Parquet; returns both paths. `single` puts a small table into one file."""
     out = df.coalesce(1) if single else df
@@ -37,8 +35,10 @@ def write_records(df: DataFrame, schema: StructType, path: str) -> None:
 
 
 def report(df: DataFrame) -> str:
-    """JSON with sorted keys of a report's rows: one object for one row, else a list. Reports are small by nature."""
-    rows = [r.asDict(recursive=True) for r in df.collect()]
+    """JSON with sorted keys of a report: one object for one row, else a list. A report of over REPORT rows is an error; write it as a table."""
+    rows = [r.asDict(recursive=True) for r in df.limit(REPORT + 1).collect()]
+    if len(rows) > REPORT:
+        raise ValueError(f"a report of over {REPORT} rows")
     return json.dumps(rows[0] if len(rows) == 1 else rows, indent=2, sort_keys=True, default=str)
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.text import MISSING, clean_cell, is_numeric_like, missing, parse_money, strip
-from tablesmith.operators.columns import match_headers, normalize, unique
+from tablesmith.operators.columns import normalize, unique
+from tablesmith.operators.matching import map_headers
 from tablesmith.session import ship
 
 #: Words that show that a first row is a header.
@@ -159,10 +160,9 @@ def tables_of(html: str | None, words: tuple[str, ...]) -> list[tuple[int, list[
 
 
 @cache
-def _tables(words: tuple[str, ...], fields: tuple[str, ...], aliases: tuple):
+def _tables(words: tuple[str, ...], fields: tuple[str, ...] = ()):
     """Rows of a page's tables; with fields, each table's values in their order, as matched to its header."""
     kind = pa.list_(pa.struct([("table_idx", pa.int32()), ("row_idx", pa.int32()), ("names", pa.list_(pa.string())), ("values", pa.list_(pa.string()))]))
-    known = dict(aliases)
 
     @F.arrow_udf("array<struct<table_idx int, row_idx int, names array<string>, values array<string>>>")
     def rows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -173,7 +173,7 @@ def _tables(words: tuple[str, ...], fields: tuple[str, ...], aliases: tuple):
                 for number, names, body in tables_of(html, words):
                     places = list(range(len(names)))
                     if fields:
-                        match = match_headers(names, list(fields), known)
+                        match = map_headers(names, list(fields))
                         places = [names.index(match[f]) if f in match else None for f in fields]
                     if fields and all(k is None for k in places):
                         continue
@@ -190,7 +190,7 @@ def table_rows(pages: DataFrame, words: tuple[str, ...] = BUILDER_WORDS) -> Data
     A page is parsed once and by itself, so nothing is shuffled.
     """
     ship(pages.sparkSession)
-    return pages.select("url", F.explode(_tables(words, (), ())("html")).alias("r")).select("url", "r.*")
+    return pages.select("url", F.explode(_tables(words)("html")).alias("r")).select("url", "r.*")
 
 
 def table_frame(rows: DataFrame, url: str, table_idx: int) -> DataFrame:
@@ -203,7 +203,7 @@ def table_frame(rows: DataFrame, url: str, table_idx: int) -> DataFrame:
     return out.select("_pos", "_source_url", *[n for n in names if filled[n]])
 
 
-def schema_rows(pages: DataFrame, fields: dict[str, str], aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def schema_rows(pages: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Rows of all tables of pages (url, html), mapped to fields (name → Spark type): source_url and the fields.
 
     Each table's header is matched to the fields where the page is parsed, so the plan is the same for any number of
@@ -211,7 +211,7 @@ def schema_rows(pages: DataFrame, fields: dict[str, str], aliases: dict[str, tup
     a page stay once.
     """
     ship(pages.sparkSession)
-    reader = _tables(EXTRACTOR_WORDS, tuple(fields), tuple(sorted((k, tuple(v)) for k, v in (aliases or {}).items())))
+    reader = _tables(EXTRACTOR_WORDS, tuple(fields))
     rows = pages.select(F.col("url").alias("source_url"), F.explode(reader("html")).alias("r"))
     cell = lambda i: clean_cell(F.get("r.values", F.lit(i)))
     typed = [(F.regexp_replace(cell(i), "[,$%]", "").try_cast(t) if t != "string" else cell(i)).alias(f) for i, (f, t) in enumerate(fields.items())]

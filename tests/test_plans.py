@@ -21,17 +21,21 @@ def test_blueprint():
 
 
 def test_build(spark):
-    teams = [f"Team {a}{b} City" for a in "ABCDE" for b in "vwxyz"]
-    first = page(["Team", "Wins", "Salary"], [(t, i, f"${i + 1}.5M") for i, t in enumerate(teams)])
-    second = page(["Team", "Pace", "Home"], [(t, 90 + i / 10, i * 2) for i, t in enumerate(teams)])
-    df = spark.createDataFrame([("https://x.example/payroll", first), ("https://x.example/tempo", second)], "url string, html string")
-    got = pipeline.build(df, blueprint.design("Predict NBA team salary"))
-    assert got.table.count() == 25 and got.target == "payroll_salary"
-    assert {"payroll_wins", "tempo_pace", "tempo_home"} <= set(got.table.columns)
-    assert got.table.orderBy("payroll_salary").first()["payroll_salary"] == 1.5e6
-    assert got.reports["summary"].first()["passed"]
+    teams = [f"{a}{b} City" for a in ("Alba", "Breno", "Cosmo", "Delfi", "Elmo") for b in ("villa", "west", "xanti", "yonder", "zubar")]
+    first = page(["Team", "Wins", "Losses", "Payroll"], [(t, i, 40 - i, f"${i + 1}.5M") for i, t in enumerate(teams)])
+    second = page(["Team", "Pace", "Home", "Away"], [(t, 90 + i / 10, i * 2, i * 3 % 7) for i, t in enumerate(teams)])
+    df = spark.createDataFrame([("https://www.teamrankings.com/nba/stat/payroll", first), ("https://www.teamrankings.com/nba/stat/tempo", second), ("https://x.example/none", "<p>no table</p>")], "url string, html string")
+    plan = blueprint.design("Predict wins of teams")
+    got = pipeline.build(df, plan, "Predict wins of teams")
+    assert got.table.count() == 25 and got.target == "wins"
+    assert {"name", "entity_name", "payroll", "payroll_wins", "tempo_pace", "tempo_home"} <= set(got.table.columns)
+    assert got.provenance["tempo_pace"].endswith("tempo") and got.provenance["payroll_wins"].endswith("payroll")
+    assert got.table.orderBy("payroll_wins").first()["payroll"] == 1.5e6
+    assert got.reports["summary"].first()["passed"] and got.reports["leakage"].filter("leaks").count() >= 1
     with pytest.raises(pipeline.QualityError):
-        pipeline.build(df.limit(0), blueprint.design("Predict NBA team salary"))
+        pipeline.build(df.limit(0), plan, "Predict wins of teams")
+    with pytest.raises(pipeline.QualityError):  # a longer table than the goal asks for
+        pipeline.build(df, plan, "Predict wins of teams", count=10)
 
 
 def test_html_cells():
@@ -47,9 +51,9 @@ def test_digit_headers_are_replaced(spark):
 
 
 def test_many_headers_make_one_plan(spark):
-    made = [(f"u{i}", f"<table><tr><th>Rank</th><th>Other {i}</th><th>Team Name{'' if i % 2 else 's'}</th></tr><tr><td>{i}</td><td>x</td><td>T{i}</td></tr></table>") for i in range(500)]
-    got = html.schema_rows(spark.createDataFrame([*made, ("v", None), ("w", "<p>")], "url string, html string"), {"rank": "int", "team_name": "string"})
-    assert sorted((r["rank"], r["team_name"]) for r in got.collect()) == [(i, f"T{i}") for i in range(500)]
+    made = [(f"u{i}", f"<table><tr><th>Place</th><th>Other {i}</th><th>Team Name{'' if i % 2 else 's'}</th></tr><tr><td>{i}</td><td>x</td><td>T{i}</td></tr></table>") for i in range(500)]
+    got = html.schema_rows(spark.createDataFrame([*made, ("v", None), ("w", "<p>")], "url string, html string"), {"place": "int", "team_name": "string"})
+    assert sorted((r["place"], r["team_name"]) for r in got.collect()) == [(i, f"T{i}") for i in range(500)]
 
 
 def test_state():

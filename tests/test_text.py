@@ -49,7 +49,13 @@ def test_names():
     assert columns.normalize("Tm. PTS/G %") == "team_pts_per_g_pct"
     assert columns.final_labels(["salary_salary", "points_per_game_value", "source_url", "salary"]) == ["salary", "points_per_game", "source", "salary_2"]
     assert columns.unique(["a", "b", "a"]) == ["a", "b", "a_2"]
-    assert columns.match_headers(["Rank", "Team name", "x"], ["rank", "team_name", "none"]) == {"rank": "Rank", "team_name": "Team name"}
+    assert columns.unique(["a", "a_2", "a"]) == ["a", "a_2", "a_3"]
+    assert [columns.final_label(x) for x in ("a_b_a_b_12", "a_b_c_d_2024_5", "value", "x_x_y", "_")] == ["a_b", "a_b_c_d_2024", "value", "x_y", "_"]
+    assert columns.prefixed(["rank", "2025", "wins"], columns.metric_of("https://www.teamrankings.com/nba/stat/points-per-game?x=1")) == {"2025": "points_per_game_2025", "wins": "points_per_game_wins"}
+    assert columns.metric_of("https://x.example/a") is None and columns.metric_of("http://espn.com/nba/salaries/_/year") == "salary"
+    assert columns.prefixed_by_number(["rank", "avg"], "https://x.example/145/") == {"avg": "scoring_offense_avg"}
+    assert columns.column_order(["z", "source", "gdp", "n", "wins", "b", "name"], ["b"], ["n"], "most wins") == ["name", "b", "gdp", "wins", "n", "z", "source"]
+    assert [columns.slug("Über Uns!"), columns.slug("!!", "ml_dataset"), columns.slug("Über Uns!", any_letters=True)] == ["ber_uns", "ml_dataset", "über_uns"]
     assert columns.width(8, 5) == 12 and columns.width(8, 50) == 24
 
 
