@@ -146,6 +146,55 @@ def extract_specs(c: Column) -> Column:
     return F.struct(strict_double(group(RAM)).cast("long").alias("ram_gb"), storage.cast("long").alias("storage_gb"), gpu.alias("gpu_model"))
 
 
+#: Processors, graphics and sizes in a laptop's name, what parts the name, and the sizes that a display has.
+LAPTOP_CPU = r"(?i)(Intel\s+Core(?:\s+Ultra)?\s+[A-Za-z0-9\- ]+|AMD\s+Ryzen\s+[A-Za-z0-9\- ]+|Apple\s+M\d(?:\s+(?:Pro|Max|Ultra))?|Snapdragon\s+[A-Za-z0-9\- ]+)"
+LAPTOP_GPU = r"(?i)(NVIDIA\s+GeForce\s+[A-Za-z0-9\- ]+|AMD\s+Radeon\s+[A-Za-z0-9\- ]+|Intel\s+(?:Arc|Iris\s+Xe|UHD)\s+[A-Za-z0-9\- ]*i?GPU?[A-Za-z0-9\- ]*)"
+LAPTOP_PARTS, LAPTOP_DISPLAY, DISPLAYS = r"\s+[⎘|]\s+", r"\b(\d{2}(?:\.\d)?)\b", (10.0, 20.0)
+#: Mascots that follow a school's name, of two words and of one.
+MASCOTS = ("blue devils", "tar heels", "wolf pack", "golden eagles", "crimson tide", "fighting irish", "red raiders", "hill toppers", "scarlet knights")
+MASCOT_WORDS = (
+    "tigers", "eagles", "bulldogs", "wildcats", "hawks", "bears", "lions", "bruins", "spartans", "crimson", "gators", "heels", "devils",
+    "seminoles", "cardinals", "owls", "wolves", "pirates", "terriers", "chargers",
+)
+#: Sports that a page's address names.
+SPORTS = ("basketball", "football", "soccer")
+
+
+def laptop_fields(c: Column) -> Column:
+    """Struct of name, cpu_model, gpu_model, ram_gb and display_size_inches of a laptop's full name; null where not given."""
+    text = strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    parts = F.filter(F.transform(F.split(text, LAPTOP_PARTS), lambda x: F.regexp_replace(x, r"^[ ,|]+|[ ,|]+$", "")), lambda x: x != "")
+    first = lambda p: F.get(F.filter(F.transform(parts, lambda x: F.regexp_replace(F.regexp_extract(x, p, 1), "^[ ,]+|[ ,]+$", "")), lambda x: x != ""), F.lit(0))
+    display = strict_double(F.nullif(F.regexp_extract(text, LAPTOP_DISPLAY, 1), F.lit("")))
+    return F.struct(
+        F.get(parts, F.lit(0)).alias("name"), first(LAPTOP_CPU).alias("cpu_model"), first(LAPTOP_GPU).alias("gpu_model"), strict_double(first(RAM)).alias("ram_gb"),
+        F.when(display.between(*DISPLAYS), display).alias("display_size_inches"),
+    )
+
+
+def school_name(c: Column) -> Column:
+    """A team's name without its mascot, if more than two words are there."""
+    many = F.size(F.split(c, r"\s+")) > 2
+    two, one = rf"(?i)\s+(?:{'|'.join(MASCOTS)})$", rf"(?i)\s+(?:{'|'.join(MASCOT_WORDS)})$"
+    return F.when(~many, c).when(c.rlike(two), F.regexp_replace(c, two, "")).otherwise(F.regexp_replace(c, one, ""))
+
+
+def sport_of(url: Column) -> Column:
+    """The sport that an address names, if any."""
+    return F.coalesce(*[F.when(F.contains(F.lower(url), F.lit(s)), s) for s in SPORTS])
+
+
+def category_of(url: Column) -> Column:
+    return F.when(F.contains(url, F.lit("wikipedia")), "list_entry").otherwise("directory_entry")
+
+
+def coerce_number(c: Column, field: str, whole: bool) -> Column:
+    """Number of a text for a field: a price, else what a hardware description gives for such a field; halves round to even."""
+    specs = extract_specs(c)
+    found = F.coalesce(clean_price(c), specs[field].cast("double")) if field in ("ram_gb", "storage_gb") else clean_price(c)
+    return F.bround(found, 0).cast("long") if whole else found
+
+
 def host(url: Column) -> Column:
     """Host of a URL in lower case, without user, port and outer dots; empty where there is none."""
     h = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
@@ -193,16 +242,21 @@ def join_sources(*columns: Column) -> Column:
     return F.array_join(F.array_distinct(parts), " | ")
 
 
+#: Names that end in a ticker; where words are parted before and what is taken out or put in after lower-casing.
+TICKERS = (r"[a-z][A-Z]{2,}$", r"\d{3,5}\.[A-Z]{1,3}$", r"[A-Za-z]+\d{2,5}$")
+PARTED = (("([a-z])([A-Z][a-z])", "$1 $2"), (r"([A-Za-z])(\d)", "$1 $2"), (r"(\d)([A-Za-z])", "$1 $2"))
+CLEANED = ((r"\[[^\]]+\]", ""), ("&", " and "), (r"[^a-z0-9\s]", " "))
+
+
 def canonical_key(c: Column) -> Column:
     """Entity key: words of letters and digits, split at case and digit changes, without corporate words and short tails."""
 
     def ticker(v: Column) -> Column:
-        return v.rlike(r"[a-z][A-Z]{2,}$") | v.rlike(r"\d{3,5}\.[A-Z]{1,3}$") | v.rlike(r"[A-Za-z]+\d{2,5}$")
+        return reduce(lambda a, b: a | b, [v.rlike(p) for p in TICKERS])
 
     def words_of(v: Column) -> Column:
-        t = F.regexp_replace(v, "([a-z])([A-Z][a-z])", "$1 $2")
-        t = F.lower(F.regexp_replace(F.regexp_replace(t, r"([A-Za-z])(\d)", "$1 $2"), r"(\d)([A-Za-z])", "$1 $2"))
-        t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\[[^\]]+\]", ""), "&", " and "), r"[^a-z0-9\s]", " ")
+        t = reduce(lambda x, p: F.regexp_replace(x, *p), PARTED, v)
+        t = reduce(lambda x, p: F.regexp_replace(x, *p), CLEANED, F.lower(t))
         return F.filter(F.split(t, r"\s+"), lambda w: (w != "") & ~w.isin(*CORPORATE))
 
     def cut(words: Column, kind: str, most: int, also: Column | None = None) -> Column:

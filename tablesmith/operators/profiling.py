@@ -87,6 +87,14 @@ def infer_target(df: DataFrame, goal: str = "") -> str | None:
     return numbers[-1] if numbers else None
 
 
+def best_candidate(df: DataFrame, goal: str, candidates: list[str]) -> str | None:
+    """The candidate that ranks highest as the target; the first among equals."""
+    chosen = [c for c in dict.fromkeys(candidates) if c in df.columns]
+    if len(chosen) < 2:
+        return chosen[0] if chosen else None
+    return target_ranking(df.select(*chosen), goal).filter("rank = 1").first()["column"]
+
+
 def task_type(df: DataFrame, target: str | None) -> str:
     if target and any(w in target.lower() for w in REGRESSION):
         return "regression"

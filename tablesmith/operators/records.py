@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesmith.functions.text import any_of, missing, strip
+from tablesmith.functions.text import any_of, coerce_number, extract_specs, missing, strip
 from tablesmith.operators.tables import distinct_first, is_text
 
 #: Fields that identify a record, in order of preference, and fields that carry no information.
@@ -143,3 +143,21 @@ def latest_positions(df: DataFrame, key: list[str], pos: str, most: int) -> Data
     """The last `most` rows of each key by position."""
     w = Window.partitionBy(*key).orderBy(F.desc(pos))
     return df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n")
+
+
+def clean_payload(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Text records made to fit a schema (name → string, integer or number): missing hardware fields read from all texts
+    together, outer white space off, blanks null, numbers read from their texts."""
+    texts = [c for c in df.columns if is_text(df, c)]
+    shown = F.concat_ws(", ", *[F.nullif(strip(F.col(c)), F.lit("")) for c in texts])
+    specs = extract_specs(shown)
+    out = {}
+    for f, kind in fields.items():
+        own = F.col(f) if f in df.columns else F.lit(None).cast("string")
+        if f in ("ram_gb", "storage_gb", "gpu_model"):
+            own = F.when(missing(own, "merge"), specs[f].cast("string")).otherwise(own) if f not in df.columns or is_text(df, f) else F.coalesce(own, specs[f].cast(dict(df.dtypes)[f]))
+        if f not in df.columns or is_text(df, f):
+            own = F.nullif(strip(own), F.lit(""))
+            own = coerce_number(own, f, kind == "integer") if kind in ("integer", "number") else own
+        out[f] = own
+    return df.withColumns(out)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tablesmith.plans import merging, quality, sourcing
+from tablesmith.plans import merging, planning, quality, sourcing, texts
 
 flagship = merging.flagship
 #: The modules put their queries into one catalogue.
-MODULES = (merging, quality, sourcing)
+MODULES = (merging, quality, sourcing, texts, planning)
 
 
 def queries() -> dict:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions import text
 from tablesmith.operators import ranking, records
-from tablesmith.plans import intent
 from tablesmith.plans.base import table
 from tablesmith.plans.merging import query
 from tablesmith.sources import html, pages, state
@@ -110,19 +109,6 @@ def fail_fast_runs(spark, d):
     return ranking.rejection_runs(table(spark, d, "events"), "user_id", "event_id", F.col("value") < 50)
 
 
-@query("SELECT unnest([1, 2, 3, 4]) AS place, unnest(['https://b.example/2', 'https://b.example/1', 'https://a.example/1', 'https://c.example/1']) AS url")
-def source_memory_similarity(spark, d):
-    rows = [
-        ("a goal", "nba", "player", "salary", [], ["https://a.example/1", "https://b.example/1"]),
-        ("b goal", "nba", "player", "salary", ["performance_stats"], ["https://b.example/2", "https://b.example/1"]),
-        ("c goal", "bank", "player", "", [], ["https://c.example/1"]),
-        ("d goal", "bank", "bank", "", [], ["https://d.example/1"]),
-    ]
-    memory = spark.createDataFrame(rows, "goal string, domain_intent string, entity_intent string, target_hint string, feature_hints array<string>, urls array<string>")
-    goal = intent.read_goal("Predict NBA player salary from performance")
-    return ranking.similar_sources(memory, {"domain_intent": goal.domain, "entity_intent": goal.entity, "target_hint": goal.target, "feature_hints": goal.features})
-
-
 @query(None)
 def document_text_prepare(spark, d):
     """Rows only: reading HTML entities has no SQL form. Tests check the lines."""
@@ -226,36 +212,3 @@ def json_collections(spark, d):
     c = table(spark, d, "customer")
     rows = c.groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).alias("rows"))
     return state.json_collections(rows.select("c_nationkey", F.to_json(F.struct(F.struct("rows").alias("data"))).alias("j")), "j", "c_nationkey")
-
-
-GOALS = (
-    ("Predict NBA player salary from performance stats this season", "nba", "player", "salary", "current", None),
-    ("Predict wins for NBA teams", "nba", "team", "wins", "recent", 30),
-    ("Predict valuation of the top 50 startup companies", "startup", "company", "valuation", "recent", 50),
-    ("Predict population growth rate of U.S. states", "public-data", "state", "population_growth", "recent", 50),
-    ("Predict tournament appearances of NCAA basketball programs in 2024", "ncaa-basketball", "school", None, "historical", 365),
-    ("Predict revenue of Fortune 500 firms", "generic", "entity", "revenue", "recent", 500),
-    ("Predict laptop price from cpu and ram", "laptop", "entity", "price", "recent", None),
-    ("Predict the market value of soccer clubs", "soccer", "club", "market_cap", "recent", None),
-)
-
-
-def _literal(x) -> str:
-    return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x + "'"
-
-
-def _goal_sql(*columns: tuple[int, str]) -> str:
-    return "SELECT " + ", ".join(f"unnest([{', '.join(_literal(g[i]) for g in GOALS)}]) AS {name}" for i, name in columns)
-
-
-@query(_goal_sql((0, "goal"), (1, "domain_intent"), (2, "entity_intent"), (3, "target_hint"), (4, "temporal_scope")))
-def goal_intent(spark, d):
-    goals = spark.createDataFrame([(g[0],) for g in GOALS], "goal string")
-    x = goals.withColumn("x", intent.decompose(F.col("goal")))
-    return x.select("goal", "x.domain_intent", "x.entity_intent", "x.target_hint", "x.temporal_scope")
-
-
-@query(_goal_sql((0, "goal"), (5, "row_count_hint")))
-def goal_cardinality(spark, d):
-    goals = spark.createDataFrame([(g[0],) for g in GOALS], "goal string")
-    return goals.select("goal", intent.cardinality(F.col("goal"))["count"].alias("row_count_hint"))

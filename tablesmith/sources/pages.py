@@ -29,6 +29,22 @@ POSITIVE_PAGES = ("list of", "teams", "schools", "companies", "directory", "stan
 DOCUMENT_CHROME = ("cookie policy", "privacy policy", "accept cookies", "sign in", "log in", "jump to content", "main menu")
 REFERENCE = r"(?i)@?(e\d+)\b"
 TABLE_SIGNAL = r"(?i)\b(row|cell|columnheader|table|listitem)\b"
+LINK, HEADING, ADDRESS = r'(?i)link\s+"([^"]+)"\s+\[ref=(e\d+)\]', r'(?i)heading\s+"([^"]+)"', r"(?i)https?://\S+"
+LINE_PARTS = ((REFERENCE, ""), (r"(?i)https?://\S+", ""), (r"\[[^\]]*\]", ""))
+LINE_ROLES, STATE_ROLES, LINE_ENDS = r"(?i)^(?:link|heading|listitem|row|cell)\s+", r"(?i)^(?:link|heading|listitem|row|cell|button)\s+", r"""^[ \-|:\t"']+|[ \-|:\t"']+$"""
+#: What page states are about: blocking phrases, phrases and beginnings that a summary leaves out, roles of lines,
+#: points of a line, the least that it needs, and the most lines and characters of a summary; most headings, links and table lines.
+STATE_BLOCKED = ("search results", "verify you are human", "cloudflare", "just a moment", "create account", "log in", "request that a redirect be created")
+SUMMARY_BLOCKED = ("navigation item", "main menu", "jump to content", "create account", "log in", "search")
+SUMMARY_STARTS = ("button ", "textbox ", "searchbox ", "menuitem ")
+ROLES = ("link", "button", "textbox", "heading", "row", "cell", "listitem")
+SUMMARY_POINTS, SUMMARY_LEAST, SUMMARY_LINES, SUMMARY_CHARS = (5, 4, 3, 1, 1, 1), 3, 30, 2500
+HEADINGS, LINKS, TABLE_LINES = 20, 40, 30
+#: Phrases of pages that ask for a proof of being human; the site of the statistics service, and its two tables.
+VERIFICATION = ("cloudflare", "verify you are human", "just a moment", "enable javascript and cookies")
+STATS_SITE, STATS_PART, PLAYER_PARTS = "nba.com", "/stats", ("/players/", "player")
+STATS_TABLES = ("https://stats.nba.com/stats/leaguedashplayerstats", "https://stats.nba.com/stats/leaguedashteamstats")
+STATS_SEASON, STATS_KIND = "2025-26", "Regular Season"
 
 
 def _lines(text: str | None) -> str | None:
@@ -61,6 +77,68 @@ def fetch_reason(status: Column, body: Column) -> Column:
     )
 
 
+def failure_reason(status: Column, browser: Column) -> Column:
+    """Why a fetch raised an error: its status if there is one, else the browser or the network."""
+    coded = F.when(status == 403, "http_403").when(status == 429, "http_429").otherwise("http_error")
+    return F.when(status.isNotNull(), coded).when(F.coalesce(browser, F.lit(False)), "browser_error").otherwise("network_error")
+
+
+def batch_stats(fetches: DataFrame) -> DataFrame:
+    """One row about a batch of fetches (url, ok, reason, written): URLs given, distinct, repeated, handled and failed, artifacts,
+    and failures by reason."""
+    whole = fetches.agg(
+        F.count("url").alias("input_urls"), F.count_distinct("url").alias("unique_urls"), F.count_if("ok").alias("handled_urls"),
+        F.count_if(~F.col("ok")).alias("failed_urls"), F.count_if("written").alias("artifacts_written"),
+    ).withColumn("deduped_urls", F.col("input_urls") - F.col("unique_urls"))
+    by = fetches.filter(~F.col("ok")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))  # a row for each reason
+    by = by.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("failed_by_reason"))
+    return whole.crossJoin(F.broadcast(by))  # one row each
+
+
+def needs_verification(text: Column) -> Column:
+    """Whether a snapshot asks for a proof of being human."""
+    return any_of(F.lower(text), VERIFICATION)
+
+
+def signature(text: Column, lines: int = 25) -> Column:
+    """Struct of a snapshot's first lines, and its length with a hash of all its lines: what tells whether it has changed."""
+    own = snapshot_lines(text)
+    whole = F.array_join(own, "\n")
+    return F.struct(F.array_join(F.slice(own, 1, lines), "\n").alias("head"), F.concat_ws(":", F.length(whole), F.xxhash64(whole)).alias("material"))
+
+
+def snapshot_lines(text: Column) -> Column:
+    """A snapshot's lines that aren't blank, without outer white space."""
+    return F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0B\f]"), strip), lambda x: x != "")
+
+
+def stats_request(url: Column) -> Column:
+    """Struct of endpoint, season and season_type that a page of the statistics service stands for; null for other pages."""
+    low, year = F.lower(url), F.regexp_extract(url, r"\b(20\d{2})\b", 1)
+    own = F.regexp_extract(low, "^[a-z]+://([^/?#:]*)", 1).endswith(STATS_SITE) & F.contains(low, F.lit(STATS_PART))
+    named = F.nullif(F.regexp_extract(url, r"(?i)[?&]season=(\d{4}-\d{2})", 1), F.lit(""))
+    of_year = F.when(year != "", F.concat((year.try_cast("int") - 1).cast("string"), F.lit("-"), F.right(year, F.lit(2))))
+    kind = F.replace(F.nullif(F.regexp_extract(url, r"(?i)[?&]seasontype=([^&]+)", 1), F.lit("")), F.lit("+"), F.lit(" "))
+    table = F.when(any_of(low, PLAYER_PARTS), STATS_TABLES[0]).otherwise(STATS_TABLES[1])
+    return F.when(own, F.struct(table.alias("endpoint"), F.coalesce(named, of_year, F.lit(STATS_SEASON)).alias("season"), F.coalesce(kind, F.lit(STATS_KIND)).alias("season_type")))
+
+
+def result_rows(payloads: DataFrame, column: str, *keep: str) -> DataFrame:
+    """keep, set, n, cells (a map from header to text): the rows of the result sets in a statistics service's answer."""
+    sets = F.from_json(column, "struct<resultSets array<struct<name string, headers array<string>, rowSet array<array<string>>>>>")["resultSets"]
+    one = payloads.select(*keep, F.explode(sets).alias("s")).select(*keep, F.col("s.name").alias("set"), "s.headers", F.posexplode("s.rowSet").alias("n", "row"))
+    return one.filter(F.size("headers") == F.size("row")).select(*keep, "set", "n", F.map_from_arrays("headers", "row").alias("cells"))
+
+
+def env_values(lines: Column) -> Column:
+    """Map of names and values of lines `name=value`: comments and lines without a sign left out, outer quotes off, the last value of a name."""
+    own = F.filter(snapshot_lines(lines), lambda x: ~x.startswith("#") & F.contains(x, F.lit("=")))
+    pair = lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.regexp_replace(strip(F.regexp_replace(x, "^[^=]*=", "")), r"""^['"]+|['"]+$""", "").alias("v"))
+    pairs = F.transform(own, pair)
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)
+
+
 def artifact(status: Column, url: Column, body: Column, most: int = 200_000) -> Column:
     """What is kept of a fetch: body cut to `most` characters, whether it was, status from 100 to 599, http(s) URL or null."""
     return F.struct(
@@ -83,11 +161,69 @@ def lines_of(snapshots: DataFrame, column: str, *keep: str) -> DataFrame:
     return snapshots.select(*keep, F.posexplode(F.split(column, r"\r\n|[\n\r\x0B\f]")).alias("line_no", "line")).withColumn("line", strip(F.col("line"))).filter("line <> ''")
 
 
-def clean_line(line: Column) -> Column:
+def clean_line(line: Column, roles: str = LINE_ROLES) -> Column:
     """A line without references, URLs, bracketed parts and its leading role."""
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, REFERENCE, ""), r"(?i)https?://\S+", ""), r"\[[^\]]*\]", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)^(?:link|heading|listitem|row|cell)\s+", ""), r"\s+", " ")
-    return F.regexp_replace(t, r"""^[ \-|:"']+|[ \-|:"']+$""", "")
+    for pattern, by in LINE_PARTS:
+        line = F.regexp_replace(line, pattern, by)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(line, roles, ""), r"\s+", " "), LINE_ENDS, "")
+
+
+def page_state(snapshots: DataFrame, column: str, *keep: str) -> DataFrame:
+    """keep, and of each snapshot: title, summary, headings, links (ref, role, label, url), table_lines, blocked, row_signals, lines.
+
+    Lines stay arrays of their snapshot, so nothing is shuffled. The summary takes lines by points, as long as there is
+    room for them, and shows them in the page's order.
+    """
+    rows = snapshots.select(*keep, F.lower(column).alias("low"), snapshot_lines(F.col(column)).alias("own"))
+    state = lambda x: clean_line(x, STATE_ROLES)
+    group = lambda x, p, i=1: F.regexp_extract(x, p, i)
+    address = lambda x: F.nullif(group(x, ADDRESS, 0), F.lit(""))
+
+    def element(x: Column) -> Column:
+        role = F.lit("element")
+        for r in reversed(ROLES):
+            role = F.when(F.lower(x).startswith(r), r).otherwise(role)
+        link = x.rlike(LINK)
+        ref = F.when(link, group(x, LINK, 2)).otherwise(F.lower(group(x, REFERENCE)))
+        label = F.when(link, strip(group(x, LINK))).otherwise(state(x))
+        return F.when(x.rlike(REFERENCE), F.struct(F.concat(F.lit("@"), ref).alias("ref"), F.when(link, "link").otherwise(role).alias("role"), label.alias("label"), address(x).alias("url")))
+
+    def points(x: Column, clean: Column) -> Column:
+        size = F.size(F.split(clean, r"\s+"))
+        holds = (x.rlike(HEADING), x.rlike(TABLE_SIGNAL), x.rlike(LINK), x.rlike(REFERENCE), clean.rlike(r"\d"), size.between(6, 18))
+        return sum((F.when(h, n).otherwise(0) for h, n in zip(holds, SUMMARY_POINTS, strict=True)), F.lit(0))
+
+    def shown(x: Column, i: Column) -> Column:
+        clean = state(x)
+        low, starts = F.lower(clean), F.lit(False)
+        for b in SUMMARY_STARTS:
+            starts = starts | F.lower(x).startswith(b)
+        good = (clean != "") & ~any_of(low, (*STATE_BLOCKED, *SUMMARY_BLOCKED)) & ~starts & (points(x, clean) >= SUMMARY_LEAST)
+        return F.when(good, F.struct((-points(x, clean)).alias("less"), i.alias("i"), clean.alias("line")))
+
+    chosen = F.array_sort(F.array_compact(F.transform("own", shown)))
+    start = F.struct(F.array().cast("array<struct<i int, line string>>").alias("got"), F.lit(0).alias("chars"))
+
+    def take(so_far: Column, x: Column) -> Column:
+        got = so_far["got"]
+        chars = so_far["chars"] + F.length(x["line"]) + F.when(F.size(got) > 0, 1).otherwise(0)
+        room = (F.size(got) < SUMMARY_LINES) & (chars <= SUMMARY_CHARS) & ~F.exists(got, lambda y: y["line"] == x["line"])
+        return F.when(room, F.struct(F.concat(got, F.array(F.struct(x["i"].alias("i"), x["line"].alias("line")))).alias("got"), chars.alias("chars"))).otherwise(so_far)
+
+    summary = F.array_join(F.transform(F.array_sort(F.aggregate(chosen, start, take)["got"]), lambda x: x["line"]), "\n")
+    elements = F.array_compact(F.transform("own", element))
+    key = lambda x: F.struct(x["ref"], x["label"])
+    once = lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: key(y) == key(x)))
+    headings = F.transform(F.filter("own", lambda x: x.rlike(HEADING)), lambda x: strip(group(x, HEADING)))
+    lines = F.array_distinct(F.filter(F.transform(F.filter("own", lambda x: x.rlike(TABLE_SIGNAL)), state), lambda x: x != ""))
+    rows = rows.withColumns({"headings": headings, "elements": elements, "summary": F.left(summary, F.lit(SUMMARY_CHARS)), "table_lines": F.slice(lines, 1, TABLE_LINES)})
+    blocked = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(p)), p) for p in STATE_BLOCKED]))
+    signals = F.size(F.filter("own", lambda x: x.rlike(TABLE_SIGNAL) | x.rlike(REFERENCE)))
+    title = F.coalesce(F.get("headings", F.lit(0)), F.get("elements", F.lit(0))["label"])
+    return rows.select(
+        *keep, title.alias("title"), "summary", F.slice("headings", 1, HEADINGS).alias("headings"), F.slice(once(F.col("elements")), 1, LINKS).alias("links"),
+        "table_lines", blocked.alias("blocked"), signals.alias("row_signals"), F.size("own").alias("lines"),
+    )
 
 
 def is_candidate(line: Column) -> Column:
