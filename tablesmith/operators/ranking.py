@@ -56,7 +56,7 @@ def url_score(url: Column, goal: str = "", preferred: tuple[str, ...] = (), quer
 
 
 def rank(urls: DataFrame, goal: str, health: DataFrame | None = None, **context) -> DataFrame:
-    """Distinct normalised http(s) URLs with score, best first and then by URL.
+    """Distinct normalised http(s) URLs with score; who needs an order (`top_sources`, `cap_per_domain`) sorts by score and URL.
 
     health (domain, penalty, cooldown): its penalty is taken off, and 20 more of a domain that cools down.
     """
@@ -65,7 +65,7 @@ def rank(urls: DataFrame, goal: str, health: DataFrame | None = None, **context)
     if health is not None:
         out = out.withColumn("domain", root_domain(F.col("url"))).join(health.select("domain", "penalty", "cooldown"), "domain", "left")
         out = out.withColumn("score", F.col("score") - F.coalesce("penalty", F.lit(0)) - F.when(F.col("cooldown"), 20).otherwise(0)).select("url", "score")
-    return out.orderBy(F.desc("score"), "url")
+    return out
 
 
 def top_sources(ranked: DataFrame, k: int = 12) -> DataFrame:

@@ -120,6 +120,11 @@ def append_distinct(known: DataFrame, new: DataFrame, columns: list[str], pos: s
     return known.unionByName(fresh.drop("__mark"))
 
 
+def without(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Rows whose key the other table lacks."""
+    return df.join(other.select(key), key, "left_anti")
+
+
 def collapse_duplicates(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """Each group of columns becomes one: the first value from the left that isn't null."""
     drop = [c for cols in groups.values() for c in cols]

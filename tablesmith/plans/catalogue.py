@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tablesmith.plans import merging, planning, quality, sourcing, texts
+from tablesmith.plans import merging, planning, quality, scraping, sourcing, texts
 
 flagship = merging.flagship
 #: The modules put their queries into one catalogue.
-MODULES = (merging, quality, sourcing, texts, planning)
+MODULES = (merging, quality, sourcing, texts, planning, scraping)
 
 
 def queries() -> dict:

@@ -67,6 +67,15 @@ def load_checkpoint(spark: SparkSession, path: str, key: str, schema: StructType
     return spark.read.schema(schema).parquet(f"{path}/run={key}")
 
 
+def write_steps(steps: DataFrame, path: str, run: str) -> None:
+    """Keep what was seen at each step (column step) of a run, in folders by run and step."""
+    steps.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run", "step").parquet(path)
+
+
+def read_steps(spark: SparkSession, path: str, run: str) -> DataFrame:
+    return spark.read.parquet(path).filter(F.col("run") == run).drop("run")
+
+
 def preview(spark: SparkSession, csv_path: str, n: int = 20) -> DataFrame:
     """First rows of an exported CSV, 1 to 50 of them."""
     return spark.read.option("header", True).csv(csv_path).limit(max(1, min(n, 50)))

@@ -244,6 +244,21 @@ def side_by_side(cells: DataFrame) -> DataFrame:
     return both.filter(fits).select(F.col("l.url").alias("url"), F.col("l.table_idx").alias("left_idx"), F.col("r.table_idx").alias("right_idx"))
 
 
+def combine(rows: DataFrame, halves: DataFrame) -> DataFrame:
+    """rows (of `table_rows`) in which the halves of side-by-side tables (url, left_idx, right_idx) are one table: rows meet by their
+    place, and a name that both have keeps the left one's values. A table is the half of one other at most, the first."""
+    once = halves.alias("a").join(halves.alias("b"), F.expr("a.url = b.url and a.left_idx = b.right_idx"), "left_anti")
+    place = F.row_number().over(Window.partitionBy("url", "table_idx").orderBy("row_idx"))
+    numbered = rows.withColumn("place", place)
+    left = numbered.join(once.withColumnRenamed("left_idx", "table_idx"), ["url", "table_idx"], "left")
+    right = numbered.select("url", F.col("table_idx").alias("right_idx"), "place", F.col("names").alias("more"), F.col("values").alias("beside"))
+    both = left.join(right, ["url", "right_idx", "place"], "left")
+    fresh = F.filter(F.arrays_zip("more", "beside"), lambda x: ~F.array_contains("names", x["more"]))
+    add = lambda own, part: F.concat(own, F.coalesce(F.transform(fresh, lambda x: x[part]), F.array().cast("array<string>")))
+    out = both.select("url", "table_idx", "row_idx", add(F.col("names"), "more").alias("names"), add(F.col("values"), "beside").alias("values"))
+    return out.join(once.select("url", F.col("right_idx").alias("table_idx")), ["url", "table_idx"], "left_anti")
+
+
 def paired_summary(cells: DataFrame, clubs: DataFrame, money: str = "Fee") -> DataFrame:
     """club, incoming, outgoing, spend, income: tables 2i+1 and 2i+2 of a page are the arrivals and departures of club i.
 
