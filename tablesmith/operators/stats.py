@@ -12,8 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Error of the sketches as a share of the rows that they see, and values of a bracket that are looked at one by one.
-ACCURACY, FEW = 1000, 20_000
+#: Error of the sketches as a share of the rows that they see, values of a bracket that are looked at one by one, and times that a
+#: bracket with more of them is narrowed: each leaves some 4 / ACCURACY of its values, so four times are enough for any table.
+ACCURACY, FEW, TIMES = 1000, 20_000, 4
 
 
 def exact_quantiles(df: DataFrame, values: dict[str, Column], shares: tuple[float, ...]) -> dict[str, tuple[int, list[float | None]]]:
@@ -35,12 +36,14 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], shares: tuple[floa
             high = first[f"b{i}"] if s >= 1 - 2 / ACCURACY else first[f"q{i}"][2 * k + 1]
             for rank in {math.floor(s * (n - 1)), math.ceil(s * (n - 1))}:
                 open_[c, rank] = (low, high)
+    turn = 0
     while open_:
+        turn += 1
         wanted = {(c, *bracket) for (c, _), bracket in open_.items()}
         keys = sorted(wanted)
         inside = lambda key: number[key[0]].between(key[1], key[2])
         counts = df.agg(*[x for j, key in enumerate(keys) for x in (F.count_if(number[key[0]] < key[1]).alias(f"b{j}"), F.count_if(inside(key)).alias(f"n{j}"))]).first()
-        small = [j for j, key in enumerate(keys) if key[1] < key[2] and counts[f"n{j}"] <= FEW]
+        small = [j for j, key in enumerate(keys) if key[1] < key[2] and (counts[f"n{j}"] <= FEW or turn > TIMES)]
         held: dict[int, list[tuple[float, int]]] = {j: [(key[1], counts[f"n{j}"])] for j, key in enumerate(keys) if key[1] == key[2]}
         if small:
             rows = F.array_compact(F.array(*[F.when(inside(keys[j]), F.struct(F.lit(j).alias("j"), number[keys[j][0]].alias("x"))) for j in small]))
@@ -51,7 +54,7 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], shares: tuple[floa
                 held[r["j"]].append((r["x"], r["n"]))
         large = [j for j in range(len(keys)) if j not in held]
         if large:
-            asked = {j: [min(1.0, max(0.0, (rank - counts[f"b{j}"]) / counts[f"n{j}"] + d)) for (c, rank), b in open_.items() if (c, *b) == keys[j] for d in (-2 / ACCURACY, 2 / ACCURACY)] for j in large}
+            asked = {j: [min(1.0, max(0.0, (rank - counts[f"b{j}"] + 0.5) / counts[f"n{j}"] + d)) for (c, rank), b in open_.items() if (c, *b) == keys[j] for d in (-2 / ACCURACY, 2 / ACCURACY)] for j in large}
             sketch = df.agg(*[F.percentile_approx(F.when(inside(keys[j]), number[keys[j][0]]), asked[j], ACCURACY).alias(f"q{j}") for j in large]).first()
         left = {}
         for (c, rank), bracket in open_.items():

@@ -7,7 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.operators import matching, profiling, quality, ranking, records, tables
+from tablesmith.operators import matching, profiling, quality, ranking, records, resolve, tables
+from tablesmith.plans import blueprint, pipeline
 from tablesmith.plans.base import table
 from tablesmith.plans.merging import query
 from tablesmith.session import new_path
@@ -297,3 +298,36 @@ def page_inventories(spark, d):
     variable = F.when(k % 2 == 0, F.concat(F.lit("<script>window.__INITIAL_STATE__ = {page: 'p"), k, F.lit("',};</script>"))).otherwise("")
     p = state.page_inventory(table(spark, d, "pages").select("page_id", F.concat("html", hydration, variable).alias("h")), F.col("h"))
     return p.select("page_id", F.explode("inventory.paths").alias("x")).select("page_id", "x.path", "x.value")
+
+
+#: Names that no two things share by more than chance: letters of a digest.
+NAMED = "'team ' || translate(md5(p_name), '0123456789', 'ghijklmnop')[:16]"
+
+
+def named(p: DataFrame) -> DataFrame:
+    return p.withColumn("p_name", F.concat(F.lit("team "), F.substring(F.translate(F.md5("p_name"), "0123456789", "ghijklmnop"), 1, 16)))
+
+
+@query(f"""
+SELECT {NAMED} AS name, {NAMED} AS entity_name, count(*)::DOUBLE AS alpha_wins, sum(p_size)::DOUBLE AS alpha_total, max(p_size)::DOUBLE AS beta_most, min(p_retailprice) AS beta_least FROM part GROUP BY 1""")
+def built_table(spark, d):
+    """The whole way from pages to a table: two pages of metrics about the same things, and one about nothing."""
+    goal = "Predict wins of teams"
+    site = "https://www.teamrankings.com/nba/stat/"
+    p = named(table(spark, d, "part")).groupBy("p_name").agg(F.count(F.lit(1)).alias("wins"), F.sum("p_size").alias("total"), F.max("p_size").alias("most"), F.min("p_retailprice").alias("least"))
+    page = lambda slug, names, cells: p.agg(F.concat(F.lit("<table><thead><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr></thead>"), _body("p_name", cells), F.lit("</table>")).alias("html")).select(F.lit(site + slug).alias("url"), "html")
+    made = page("alpha", ("Team", "Wins", "Total"), [F.col("p_name"), F.col("wins"), F.col("total")]).unionByName(page("beta", ("Team", "Most", "Least"), [F.col("p_name"), F.col("most"), F.col("least")]))
+    made = made.unionByName(spark.range(1).select(F.lit("https://x.example").alias("url"), F.lit("<p>nothing</p>").alias("html")))
+    done = pipeline.build(made, blueprint.design(goal), goal, minimum_columns=4)
+    assert done.provenance["alpha_wins"] == site + "alpha" and done.target == "alpha_wins" and done.reports["summary"].first()["passed"]
+    return done.table
+
+
+@query(f"SELECT {NAMED} AS p_name, {NAMED} AS entity_name, min(p_partkey) AS pos FROM part GROUP BY 1")
+def resolved_names(spark, d):
+    """Names in capitals, with a suffix, or as they are, come to one key each; no two of them are alike enough to be one."""
+    k = F.col("p_partkey")
+    shown = F.when(k % 3 == 0, F.upper("p_name")).when(k % 3 == 1, F.concat("p_name", F.lit(", Inc."))).otherwise(F.col("p_name"))
+    p = named(table(spark, d, "part")).select("p_name", shown.alias("shown"), k.alias("pos"))
+    out = resolve.resolve_fuzzy(p, "shown", "pos")
+    return out.groupBy("p_name", "entity_name").agg(F.min("pos").alias("pos"))

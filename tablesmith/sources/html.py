@@ -253,9 +253,10 @@ def combine(rows: DataFrame, halves: DataFrame) -> DataFrame:
     left = numbered.join(once.withColumnRenamed("left_idx", "table_idx"), ["url", "table_idx"], "left")
     right = numbered.select("url", F.col("table_idx").alias("right_idx"), "place", F.col("names").alias("more"), F.col("values").alias("beside"))
     both = left.join(right, ["url", "right_idx", "place"], "left")
-    fresh = F.filter(F.arrays_zip("more", "beside"), lambda x: ~F.array_contains("names", x["more"]))
-    add = lambda own, part: F.concat(own, F.coalesce(F.transform(fresh, lambda x: x[part]), F.array().cast("array<string>")))
-    out = both.select("url", "table_idx", "row_idx", add(F.col("names"), "more").alias("names"), add(F.col("values"), "beside").alias("values"))
+    pairs = F.zip_with("more", "beside", lambda n, v: F.struct(n.alias("name"), v.alias("value")))
+    both = both.withColumn("fresh", F.filter(pairs, lambda x: ~F.array_contains("names", x["name"])))
+    add = lambda own, part: F.concat(own, F.coalesce(F.col(f"fresh.{part}"), F.array().cast("array<string>")))
+    out = both.select("url", "table_idx", "row_idx", add(F.col("names"), "name").alias("names"), add(F.col("values"), "value").alias("values"))
     return out.join(once.select("url", F.col("right_idx").alias("table_idx")), ["url", "table_idx"], "left_anti")
 
 

@@ -109,6 +109,77 @@ def test_fuzzy_resolution(spark):
     assert got == want
 
 
+def test_fuzzy_resolution_of_many_names(spark):
+    """Against the greedy fold itself: chains of names that differ by letters, many of which share their beginnings."""
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(4)
+    bases = ["consolidated transport and company services", "consolidated transport and community services", "northern river paper mills limited", "general electric motors of the south", "ab", "long names of nothing at all"]
+    names = []
+    for _ in range(300):
+        n = list(r.choice(bases))
+        for _ in range(r.randint(0, 4)):
+            n[r.randrange(len(n))] = r.choice("abcdefg ")
+        names.append("x" + "".join(n).strip() + "x")
+    df = spark.createDataFrame(list(enumerate(names)), "pos int, name string")
+    got = {x["pos"]: x["entity_name"] for x in resolve.resolve_fuzzy(df, "name", "pos").collect()}
+    keys = {x["pos"]: x["entity_name"] for x in resolve.resolve_exact(df, "name").collect()}
+    seen, want = [], {}
+    for i in sorted(keys):
+        hit = next((s for s in seen if s == keys[i] or SequenceMatcher(a=keys[i], b=s).ratio() >= 0.94), None)
+        want[i] = hit or keys[i]
+        if not hit:
+            seen.append(keys[i])
+    assert got == want and len(seen) < len(set(keys.values()))
+
+
+def test_document_text_against_the_pages(spark, sf):
+    """Against a plain reading of each page: markup off, entities read, lines by their first appearance."""
+    import html as entities
+    import re
+
+    df = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+    got = {x["page_id"]: x["text"] for x in pages.document_text(df, "html", most=2000).collect()}
+    for r in df.collect():
+        t = re.sub(r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ", r["html"] or "")
+        lines = {}
+        for line in entities.unescape(re.sub("<[^>]+>", "\n", t)).splitlines():
+            line = " ".join(line.split())
+            if len(line) > 2 and not any(p in line.lower() for p in pages.DOCUMENT_CHROME):
+                lines.setdefault(line.lower(), line)
+        want = "\n".join(lines.values())
+        assert got[r["page_id"]] == (want if len(want) <= 2000 else want[:1000] + "\n...[truncated]...\n" + want[-1000:])
+
+
+def test_exact_quantiles(spark):
+    """Against numpy: ties, outliers, nulls, NaN, one value, none; also with brackets that have to be narrowed."""
+    import random
+
+    import numpy as np
+
+    from tablesmith.operators import stats
+
+    r = random.Random(11)
+    n = 5000
+    own = {
+        "even": [r.random() for _ in range(n)], "ties": [float(r.randint(0, 3)) for _ in range(n)], "tail": [r.random() ** 20 * 1e12 for _ in range(n)],
+        "some": [None if i % 3 else float(i) for i in range(n)], "odd": [float("nan") if i % 2 else -float(i) for i in range(n)], "one": [7.0] + [None] * (n - 1), "none": [None] * n,
+    }
+    df = spark.createDataFrame(list(zip(*own.values(), strict=True)), ", ".join(f"{c} double" for c in own)).repartition(4)
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    for few in (stats.FEW, 3):
+        stats.FEW = few
+        try:
+            got = stats.exact_quantiles(df, {c: F.col(c) for c in own}, shares)
+        finally:
+            stats.FEW = 20_000
+        for c, values in own.items():
+            known = [v for v in values if v is not None and v == v]
+            assert got[c][0] == len(known)
+            assert got[c][1] == (pytest.approx(np.quantile(known, shares).tolist(), rel=1e-12) if known else [None] * len(shares))
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "pos int, name string")
     key = files.run_key("goal", "set", df.schema)
