@@ -12,8 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Error of the sketches as a share of the rows that they see, values of a bracket that are looked at one by one, and times that a
-#: bracket with more of them is narrowed: each leaves some 4 / ACCURACY of its values, so four times are enough for any table.
+#: Error of the sketches as a share of the rows that they see, distinct values of a bracket that are looked at one by one, and times
+#: that a bracket with more of them is narrowed: each leaves some 4 / ACCURACY of its values, so four times are enough for any table.
 ACCURACY, FEW, TIMES = 1000, 20_000, 4
 
 
@@ -43,7 +43,9 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], shares: tuple[floa
         keys = sorted(wanted)
         inside = lambda key: number[key[0]].between(key[1], key[2])
         counts = df.agg(*[x for j, key in enumerate(keys) for x in (F.count_if(number[key[0]] < key[1]).alias(f"b{j}"), F.count_if(inside(key)).alias(f"n{j}"))]).first()
-        small = [j for j, key in enumerate(keys) if key[1] < key[2] and (counts[f"n{j}"] <= FEW or turn > TIMES)]
+        many = [j for j, key in enumerate(keys) if key[1] < key[2] and counts[f"n{j}"] > FEW]
+        kinds = df.agg(*[F.approx_count_distinct(F.when(inside(keys[j]), number[keys[j][0]])).alias(f"d{j}") for j in many]).first() if many else {}
+        small = [j for j, key in enumerate(keys) if key[1] < key[2] and (j not in many or kinds[f"d{j}"] <= FEW or turn > TIMES)]
         held: dict[int, list[tuple[float, int]]] = {j: [(key[1], counts[f"n{j}"])] for j, key in enumerate(keys) if key[1] == key[2]}
         if small:
             rows = F.array_compact(F.array(*[F.when(inside(keys[j]), F.struct(F.lit(j).alias("j"), number[keys[j][0]].alias("x"))) for j in small]))
