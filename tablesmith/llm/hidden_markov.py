@@ -1,6 +1,6 @@
 """LM scoring with a hidden Markov language model.
 
-Latent states emit token classes: the most frequent words have classes of their own, the others share classes by
+Latent states emit token classes: frequent words have classes of their own, the others share classes by
 their last two bytes and are told apart within them by their counts, and the end of a text is a class too. Baum-Welch
 starts from a bounded sample and then runs over all training tokens; its expected counts are added up across
 partitions. The scaled forward recursion gives the exact probability of a whole text.
@@ -21,8 +21,9 @@ from tablesmith.llm.common import id_crc, materialise, ship, table
 from tablesmith.llm.wordscan import FOLD, HashIndex, scan
 
 STATES = 8
-#: Words with classes of their own, classes that the other words share, and words whose counts are broadcast.
-HEAD, SHARED, KNOWN = 16127, 256, 1 << 18
+#: Words with classes of their own at most, the least count of such a word, classes that the other words share, and words whose
+#: counts are broadcast. Own classes grow with the training words up to what 16 bits hold.
+HEAD, OWN, SHARED, KNOWN = 64000, 12, 1024, 1 << 18
 CLASSES = HEAD + SHARED + 1
 END = CLASSES - 1
 #: Baum-Welch starts from a sample of about so many texts, of longer ones a piece of so many tokens; its rounds there and over everything.
@@ -81,8 +82,9 @@ class Vocabulary:
         self.hash = top["hash"].to_numpy(np.int64).view(np.uint64)[order]
         self.n = top["n"].to_numpy(np.int64)[order]
         place = np.arange(len(top))[order]
-        self.cls = np.where(place < HEAD, place, top["class"].to_numpy(np.int64)[order]).astype(np.uint16)
-        head = top.head(HEAD)
+        own = min(HEAD, int((top["n"] >= OWN).sum()))
+        self.cls = np.where(place < own, place, top["class"].to_numpy(np.int64)[order]).astype(np.uint16)
+        head = top.head(own)
         by = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
         n, v = np.zeros(SHARED), np.zeros(SHARED)
         np.add.at(n, by["class"].to_numpy(int) - HEAD, by["n"].to_numpy(float))
@@ -92,10 +94,10 @@ class Vocabulary:
         #: Denominator of a word's probability within its shared class: add-one over its words and one unseen.
         self.within = n + v + 1
         #: Add-one class probabilities, the prior of every state's emissions.
-        mass = np.ones(CLASSES)
-        mass[: len(head)] += head["n"].to_numpy(float)
-        mass[HEAD : HEAD + SHARED] += n
-        mass[END] += texts
+        mass = np.zeros(CLASSES)  # classes that no word has never occur
+        mass[: len(head)] = head["n"].to_numpy(float) + 1
+        mass[HEAD : HEAD + SHARED] = n + 1
+        mass[END] = texts + 1
         self.prior = mass / mass.sum()
 
 
@@ -217,6 +219,10 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
     s, logs = len(model.start), 0.0
     start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((len(model.emit), s))
     for group, flat, active, step in _packed(texts):
+        if len(active) > TOKENS:  # a text by itself
+            first, moved, emitted, log = _long_counts(model, flat)
+            start, move, emit, logs = start + first, move + moved, emit + emitted, logs + log
+            continue
         e = model.emit[flat]
         alpha = np.empty_like(e)
         scale = np.empty(len(flat))
@@ -242,6 +248,41 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
     return start, move * model.move, emit, logs
 
 
+def _long_counts(model: Model, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """expected_counts of one long text, TOKENS at a time: only the states' shares where a block begins are kept on the way forward."""
+    s = len(model.start)
+    move, emit, logs, heads, alpha = np.zeros((s, s)), np.zeros((len(model.emit), s)), 0.0, [], None
+    for lo in range(0, len(text), TOKENS):
+        heads.append(alpha)
+        for k in text[lo : lo + TOKENS]:
+            alpha = (model.start if alpha is None else alpha @ model.move) * model.emit[k]
+            alpha = alpha / alpha.sum()
+    beta, start = np.ones(s), np.zeros(s)
+    for i in range(len(heads) - 1, -1, -1):
+        part, head = text[i * TOKENS : (i + 1) * TOKENS], heads[i]
+        e, scale = model.emit[part], np.empty(len(part))
+        alphas = np.empty_like(e)
+        for t in range(len(part)):
+            before = alphas[t - 1] if t else head
+            x = (model.start if before is None else before @ model.move) * e[t]
+            scale[t] = x.sum()
+            alphas[t] = x / scale[t]
+        logs += float(np.log10(scale).sum())
+        gamma = alphas.copy()
+        for t in range(len(part) - 1, -1, -1):
+            gamma[t] *= beta
+            before = alphas[t - 1] if t else head
+            if before is None:
+                start = gamma[t]
+                break
+            ahead = e[t] * beta / scale[t]
+            move += np.outer(before, ahead)
+            beta = model.move @ ahead
+        for k in range(s):
+            emit[:, k] += np.bincount(part, gamma[:, k], len(emit))
+    return start, move, emit, logs
+
+
 def _sequences(ids: pa.Array, ends: Iterable[bool] = repeat(True)) -> list[np.ndarray]:
     """Classes of each text or piece, followed by the end of the text where `ends` says that it comes there."""
     end = np.array([END], "<u2").tobytes()

@@ -342,6 +342,22 @@ def test_forward_recursion_is_a_distribution():
     assert np.allclose(emitted[1, 2], sum(v * sum(o == 1 and s == 2 for o, s in zip(text, p, strict=True)) for p, v in paths.items()) / whole)
 
 
+def test_a_long_text_is_counted_in_blocks(monkeypatch):
+    """The same expected counts and probability whether a text is worked on at once or block by block."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    emit = r.random((50, 4))
+    model = hidden_markov.Model(np.full(4, 0.25), (m := r.random((4, 4))) / m.sum(1, keepdims=True), emit / emit.sum(0))
+    texts = [r.integers(0, 50, n) for n in (1003, 40, 7)]
+    whole = hidden_markov.expected_counts(model, texts)
+    score = hidden_markov.log10_likelihood(model, texts)
+    monkeypatch.setattr(hidden_markov, "TOKENS", 100)
+    for a, b in zip(whole, hidden_markov.expected_counts(model, texts), strict=True):
+        assert np.allclose(a, b)
+    assert np.allclose(score, hidden_markov.log10_likelihood(model, texts)) and np.isclose(score.sum(), whole[3])
+
+
 def test_language_id(docs, none):
     model = language_id.fit(docs)
     got = {(r["doc_id"], r["text"]): r for r in language_id.identify(wide(docs), model).collect()}
@@ -581,6 +597,40 @@ def test_trees_learn_held_out_urls():
     assert ((model.margin(x[1500:]) > 0) == y[1500:]).mean() > 0.95
 
 
+def test_verdicts_against_trees_walked_one_by_one(spark, tmp_path):
+    """URLs without a rule are blocked if the trees, walked node by node, say so; equal margins are allowed; the trees know held-out rules."""
+    import math
+    import os
+
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01") + "/pages.parquet").select("page_id", "url")
+    rule, verdict = url_filter.rule_of(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))
+    labelled = pages.select("page_id", "url", (verdict == "block").cast("int").alias("block")).filter("block is not null")
+    trees, rates, base = url_filter.fit(labelled.select("url", "block"))
+
+    def margin(url):
+        x, total = url_filter.features(url or "", rates, base), trees.bias
+        for feature, bound, leaf in trees.nodes:
+            at = 0
+            while at < len(feature):
+                at = 2 * at + 1 + (x[feature[at]] > bound[at])
+            total += leaf[at - len(feature)]
+        return total
+
+    got = url_filter.judge(pages).select("url", "judged.*").collect()
+    free = [r for r in got if r["rule"] is None]
+    assert free and all(r["verdict"] == ("block" if 1 / (1 + math.exp(-margin(r["url"]))) > 0.5 else "allow") for r in free)
+    # half of the labelled URLs teach the trees, the others are told by them
+    rows = labelled.collect()
+    taught, held = [r for r in rows if r["page_id"] % 2], [r for r in rows if not r["page_id"] % 2]
+    trees, rates, base = url_filter.fit(spark.createDataFrame([(r["url"], r["block"]) for r in taught], "url string, block int"))
+    right = [(margin(r["url"]) > 0) == bool(r["block"]) for r in held]
+    assert sum(right) >= 0.8 * len(right)
+    even = spark.createDataFrame([("http://a.org/", 1), ("http://a.org/", 0)], "url string, block int")
+    assert url_filter.fit(even)[0].margin(url_filter._matrix(["http://b.org/"], {}, 0.5)).tolist() == [0.0]
+
+
 def test_decontaminate(docs, none, spark):
     r = random.Random(9)
     items = spark.createDataFrame(ITEMS + [(5, ITEMS[0][1])], "item_id long, text string")
