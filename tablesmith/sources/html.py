@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
-from html.parser import HTMLParser
+from html import unescape
 from itertools import groupby
 
 import pyarrow as pa
@@ -25,79 +25,78 @@ SPAN = 1000
 CELLS = "array<struct<table_idx int, row_idx int, col_idx int, header boolean, text string>>"
 
 
-class _Tables(HTMLParser):
-    """Collects the cells of all tables, nested ones apart; spans are filled in when a table ends, and count up to SPAN."""
+#: Comments, scripts and styles (which hold no markup), other tags with their attributes, and attributes.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.DOTALL | re.IGNORECASE)
+_SPANS = re.compile(r"""\b(rowspan|colspan)\s*=\s*["']?\s*(\d+)""", re.IGNORECASE)
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.tables: list[list] = []
-        self.open: list[dict] = []
 
-    def handle_starttag(self, tag, attrs):
+def _tables_in(html: str) -> list[list[list[dict]]]:
+    """Rows of cells (text, header, head, rows, cols) of all tables, nested ones apart, in the order in which they begin."""
+    found: list[list] = []
+    open_: list[dict] = []
+    at = 0
+    for m in _TOKEN.finditer(html):
+        if open_ and open_[-1]["cell"] and m.start() > at:
+            open_[-1]["cell"]["text"].append(html[at : m.start()])
+        at = m.end()
+        tag = (m.group(3) or "").lower()
+        if not tag:
+            continue
         if tag == "table":
-            self.tables.append([])
-            self.open.append({"rows": self.tables[-1], "cell": None, "head": False})
-        elif self.open:
-            t = self.open[-1]
-            if tag in ("thead", "tbody", "tfoot"):
-                t["head"] = tag == "thead"
-            elif tag == "tr":
-                t["cell"] = None
-                t["rows"].append([])
-            elif tag in ("td", "th"):
+            if m.group(2):
+                open_[-1:] = []
+            else:
+                found.append([])
+                open_.append({"rows": found[-1], "cell": None, "head": False})
+        elif not open_:
+            continue
+        elif tag in ("thead", "tbody", "tfoot"):
+            open_[-1]["head"] = tag == "thead" and not m.group(2)
+        elif tag in ("td", "th"):
+            t = open_[-1]
+            t["cell"] = None
+            if not m.group(2):
                 if not t["rows"]:
                     t["rows"].append([])
-                a = dict(attrs)
-                number = lambda k: max(1, min(SPAN, int(a[k]))) if (a.get(k) or "").isdigit() else 1
-                t["cell"] = {"text": [], "header": tag == "th", "head": t["head"], "rows": number("rowspan"), "cols": number("colspan")}
+                spans = {k.lower(): max(1, min(SPAN, int(v))) for k, v in _SPANS.findall(m.group(4))} if m.group(4) else {}
+                t["cell"] = {"text": [], "header": tag == "th", "head": t["head"], "rows": spans.get("rowspan", 1), "cols": spans.get("colspan", 1)}
                 t["rows"][-1].append(t["cell"])
-            elif tag == "br" and t["cell"]:
-                t["cell"]["text"].append(" ")
-
-    def handle_endtag(self, tag):
-        if not self.open:
-            return
-        if tag == "table":
-            self.open.pop()
-        elif tag in ("td", "th"):
-            self.open[-1]["cell"] = None
-        elif tag in ("thead", "tbody", "tfoot"):
-            self.open[-1]["head"] = False
-
-    def handle_data(self, data):
-        if self.open and self.open[-1]["cell"]:
-            self.open[-1]["cell"]["text"].append(data)
+        elif tag == "tr" and not m.group(2):
+            open_[-1]["cell"] = None
+            open_[-1]["rows"].append([])
+        elif tag == "br" and open_[-1]["cell"]:
+            open_[-1]["cell"]["text"].append(" ")
+    return found
 
 
 def parse_cells(html: str | None) -> list[tuple]:
     """(table, row, column, header, text) of all cells; a cell that spans is repeated in each place it covers.
 
-    Header rows are those in a thead, and rows of th cells before any other row. A table without rows gives nothing.
+    A cell covers SPAN rows or columns at most. Header rows are those in a thead, and rows of th cells before any other
+    row. A table without rows gives nothing.
     """
-    parser = _Tables()
-    parser.feed(html or "")
-    parser.close()
     out, number = [], 0
-    for rows in parser.tables:
+    for rows in _tables_in(html or ""):
         rows = [r for r in rows if r]
         if not rows:
             continue
-        busy: dict[tuple[int, int], dict] = {}
+        late: dict[int, dict[int, str]] = {}  # what cells above put into rows to come
         seen_body = False
         for i, row in enumerate(rows):
-            at = 0
             heading = all(c["header"] for c in row) and not seen_body or all(c["head"] for c in row)
             seen_body |= not heading
+            full, at = late.pop(i, {}), 0
+            own: dict[int, tuple[bool | None, str]] = {c: (None, t) for c, t in full.items()}
             for cell in row:
-                while (i, at) in busy:
+                while at in full:
                     at += 1
-                for di in range(min(cell["rows"], len(rows) - i)):
-                    for dj in range(cell["cols"]):
-                        busy[i + di, at + dj] = cell | {"heading": heading if di == 0 else None}
+                text = " ".join(unescape("".join(cell["text"])).split())
+                for c in range(at, at + cell["cols"]):
+                    own[c] = heading, text
+                    for r in range(i + 1, min(i + cell["rows"], len(rows))):
+                        late.setdefault(r, {})[c] = text
                 at += cell["cols"]
-            for (r, c), cell in sorted((k, v) for k, v in busy.items() if k[0] == i):
-                text = " ".join("".join(cell["text"]).split())
-                out.append((number, r, c, heading, text))
+            out += [(number, i, c, *own[c]) for c in sorted(own)]
         number += 1
     return out
 

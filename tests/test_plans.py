@@ -27,7 +27,7 @@ def test_build(spark):
     df = spark.createDataFrame([("https://www.teamrankings.com/nba/stat/payroll", first), ("https://www.teamrankings.com/nba/stat/tempo", second), ("https://x.example/none", "<p>no table</p>")], "url string, html string")
     plan = blueprint.design("Predict wins of teams")
     got = pipeline.build(df, plan, "Predict wins of teams")
-    assert got.table.count() == 25 and got.target == "wins"
+    assert got.table.count() == 25 and got.target == "payroll_wins"
     assert {"name", "entity_name", "payroll", "payroll_wins", "tempo_pace", "tempo_home"} <= set(got.table.columns)
     assert got.provenance["tempo_pace"].endswith("tempo") and got.provenance["payroll_wins"].endswith("payroll")
     assert got.table.orderBy("payroll_wins").first()["payroll"] == 1.5e6
@@ -42,6 +42,9 @@ def test_html_cells():
     cells = html.parse_cells("<table><tr><th>A</th><th>B</th></tr><tr><td rowspan=2>x</td><td>1&nbsp;<b>2</b></td></tr><tr><td>3</td></tr></table><table></table>")
     assert [(r, c, h, t) for _, r, c, h, t in cells] == [(0, 0, True, "A"), (0, 1, True, "B"), (1, 0, False, "x"), (1, 1, False, "1 2"), (2, 0, None if cells[4][3] is None else False, "x"), (2, 1, False, "3")]
     assert html.parse_cells(None) == [] and html.parse_cells("<p>none</p>") == []
+    odd = """<TABLE><!-- <td>no</td> --><tr><td title="a > b">1 &lt; 2<script>if (a<td) {}</script></td><td COLSPAN='2'>x<br>y<table><tr><td>in</td></tr></table>z</td></tr><tr><td>u<td>v</table>after"""
+    assert [(n, r, c, t) for n, r, c, _, t in html.parse_cells(odd)] == [(0, 0, 0, "1 < 2"), (0, 0, 1, "x yz"), (0, 0, 2, "x yz"), (0, 1, 0, "u"), (0, 1, 1, "v"), (1, 0, 0, "in")]
+    assert len(html.parse_cells("<table><tr><td colspan=99999 rowspan=3>x</td></tr></table>")) == html.SPAN
 
 
 def test_digit_headers_are_replaced(spark):
