@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.operators import matching, profiling, quality, ranking, records, resolve, tables
+from tablesmith.operators.columns import slug
 from tablesmith.plans import blueprint, pipeline
 from tablesmith.plans.base import table
 from tablesmith.plans.merging import query
@@ -331,3 +332,42 @@ def resolved_names(spark, d):
     p = named(table(spark, d, "part")).select("p_name", shown.alias("shown"), k.alias("pos"))
     out = resolve.resolve_fuzzy(p, "shown", "pos")
     return out.groupBy("p_name", "entity_name").agg(F.min("pos").alias("pos"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' & ' || p_brand ELSE p_name || ' & ' || p_brand || chr(10) || 'Size ' || p_size END AS text FROM part""")
+def document_lines(spark, d):
+    """Text of made-up pages: markup, scripts, short lines, page furniture and repeats are gone, entities are read."""
+    k = F.col("p_partkey")
+    size = F.when(k % 2 == 0, "Log in to see").otherwise(F.concat(F.lit("Size&nbsp;"), "p_size"))
+    made = F.concat(F.lit("<style>p {}</style><script>var p = '<p>no</p>';</script><p>"), "p_name", F.lit(" &amp;  "), "p_brand", F.lit("</p><p>ab</p><li>"), size, F.lit("</li><b>"), F.upper("p_name"), F.lit(" &#38; "), F.upper("p_brand"), F.lit("</b>"))
+    return pages.document_text(table(spark, d, "part").select("p_partkey", made.alias("html")), "html").select("p_partkey", "text")
+
+
+@query("""
+SELECT n_nationkey, trim(regexp_replace(lower(n_name || ' Übersicht!'), '[^a-z0-9]+', '_', 'g'), '_') AS dataset, 'ml_dataset' AS nothing, lower(n_name) || '_übersicht' AS letters FROM nation""")
+def dataset_slugs(spark, d):
+    rows = [(r["n_nationkey"], slug(f"{r['n_name']} Übersicht!"), slug("!?", "ml_dataset"), slug(f"{r['n_name']} Übersicht!", any_letters=True)) for r in table(spark, d, "nation").collect()]
+    return spark.createDataFrame(rows, "n_nationkey int, dataset string, nothing string, letters string")
+
+
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@query("SELECT n_nationkey, " + ", ".join(f"r_name = '{r}' AS \"region_{r}\"" for r in REGIONS) + ", n_nationkey % 2 = 0 AS half_even, n_nationkey % 2 = 1 AND n_nationkey % 3 <> 0 AS half_odd FROM nation JOIN region ON n_regionkey = r_regionkey")
+def one_hot_all(spark, d):
+    """All text columns at once; a null has no column."""
+    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    half = F.when(F.col("n_nationkey") % 2 == 0, "even").when(F.col("n_nationkey") % 3 != 0, "odd")
+    return profiling.one_hot(n.select("n_nationkey", F.col("r_name").alias("region"), half.alias("half")))
+
+
+@query("""
+SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE 2 END AS frames FROM region""")
+def goal_subsets(spark, d):
+    """Of two tables, a goal about the Fortune list keeps the one from there, if there is one."""
+    out = []
+    for (k,) in table(spark, d, "region").select("r_regionkey").collect():
+        frames = [matching.Frame([], url, "", 0, 0, {}, []) for url in ("https://x.example/a", f"https://x.example/{'Fortune500' if k % 2 == 0 else 'b'}")]
+        out.append((k, len(matching.goal_subset(frames, "Predict revenue of Fortune 500 companies"))))
+    return spark.createDataFrame(out, "r_regionkey int, frames int")
