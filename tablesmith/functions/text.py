@@ -75,13 +75,17 @@ def _price(found: Column) -> Column:
     return let(F.split(plain, r"\."), one_point)
 
 
-def _scaled(text: Column, scales: tuple[tuple[str, float], ...], number) -> Column:
-    """number(text without its suffix) times what the first suffix that fits says."""
-    out = number(text)
-    for suffix, factor in reversed(scales):
-        cut = F.substring(text, F.lit(1), F.length(text) - len(suffix))
-        out = F.when(F.lower(text).endswith(suffix), number(cut) * factor).otherwise(out)
-    return out
+def _scaled(text: Column, scales: tuple[tuple[str, float], ...], number: Callable[[Column], Column]) -> Column:
+    """number(text without its suffix) times what the first suffix that fits says; text and number are evaluated once."""
+
+    def split(t: Column) -> Column:
+        n, factor = F.lit(0), F.lit(1.0)
+        for suffix, times in reversed(scales):
+            fits = F.lower(t).endswith(suffix)
+            n, factor = F.when(fits, len(suffix)).otherwise(n), F.when(fits, times).otherwise(factor)
+        return number(F.left(t, F.length(t) - n)) * factor
+
+    return let(text, split)
 
 
 #: Scale suffixes of each parser.
@@ -101,11 +105,15 @@ def parse_numeric(c: Column) -> Column:
 def numeric_like(c: Column) -> Column:
     """Number of a text whose leading non-numeric part and scale suffix (bn, b, m, k) are taken off; null for other text."""
     t = F.regexp_replace(F.regexp_replace(strip(c), "[,$%]", ""), r"^[^\d\-.]+", "")
-    out = strict_double(strip(t))
-    for suffix, zeros in reversed(LIKE_ZEROS):  # an exponent scales exactly
-        cut = F.substring(t, F.lit(1), F.length(t) - len(suffix))
-        out = F.when(F.lower(t).endswith(suffix), strict_double(F.concat(strip(cut), F.lit(f"e{zeros}")))).otherwise(out)
-    return out
+
+    def scaled(t: Column) -> Column:
+        n, exponent = F.lit(0), F.lit("")
+        for suffix, zeros in reversed(LIKE_ZEROS):  # an exponent scales exactly
+            fits = F.lower(t).endswith(suffix)
+            n, exponent = F.when(fits, len(suffix)).otherwise(n), F.when(fits, f"e{zeros}").otherwise(exponent)
+        return strict_double(F.concat(strip(F.left(t, F.length(t) - n)), exponent))
+
+    return let(t, scaled)
 
 
 def parse_money(c: Column) -> Column:

@@ -112,13 +112,31 @@ def health_of(fetches: DataFrame, extractions: DataFrame | None = None) -> DataF
     return out.withColumns({"penalty": penalty, "cooldown": cooldown, "known_bad": known_bad})
 
 
+#: Pieces that the positions of a log are cut into when runs are looked for.
+PIECES = 256
+
+
 def rejection_runs(log: DataFrame, key: str, pos: str, rejected: Column, threshold: int = 3) -> DataFrame:
-    """Per key the longest run of rejections in a row, and whether it reaches the threshold: gaps and islands."""
-    w = Window.partitionBy(key).orderBy(pos)
-    rows = log.select(key, pos, rejected.cast("int").alias("bad"))
-    rows = rows.withColumn("island", F.sum(1 - F.col("bad")).over(w))
-    runs = rows.groupBy(key, "island").agg(F.sum("bad").alias("run"))
-    return runs.groupBy(key).agg(F.max("run").alias("longest")).withColumn("abort", F.col("longest") >= threshold)
+    """Per key the longest run of rejections in a row, and whether it reaches the threshold: gaps and islands.
+
+    Positions are numbers. Runs are counted within pieces of the log, of which no task sees more than one for a key;
+    then the pieces of a key are put together by the rejections that each begins and ends with.
+    """
+    span = log.agg(F.min(pos).alias("a"), F.max(pos).alias("b")).first()
+    width = max(1, (int(span["b"]) - int(span["a"])) // PIECES + 1) if span["a"] is not None else 1
+    rows = log.select(key, pos, F.floor((F.col(pos) - F.lit(span["a"])) / width).alias("piece"), F.coalesce(rejected, F.lit(False)).cast("int").alias("bad"))
+    rows = rows.withColumn("island", F.sum(1 - F.col("bad")).over(Window.partitionBy(key, "piece").orderBy(pos)))
+    runs = rows.groupBy(key, "piece", "island").agg(F.sum("bad").alias("run"))
+    # the first island has what comes before any other row, the last what comes after all of them
+    ends = runs.groupBy(key, "piece").agg(
+        F.max("run").alias("longest"), F.max("island").alias("others"), F.max(F.when(F.col("island") == 0, F.col("run"))).alias("head"), F.max_by("run", "island").alias("tail"),
+    )
+    by_piece = Window.partitionBy(key).orderBy("piece")  # PIECES rows at most
+    ends = ends.withColumn("block", F.sum((F.col("others") > 0).cast("int")).over(by_piece))
+    before = F.sum("tail").over(Window.partitionBy(key, "block").orderBy("piece"))
+    ends = ends.withColumn("open", before).withColumn("met", F.coalesce(F.lag("open").over(by_piece), F.lit(0)) + F.coalesce("head", F.lit(0)))
+    longest = F.max(F.greatest("longest", "met")).alias("longest")
+    return ends.groupBy(key).agg(longest).withColumn("abort", F.col("longest") >= threshold)
 
 
 def similar_sources(memory: DataFrame, goal: dict, limit: int = 6) -> DataFrame:

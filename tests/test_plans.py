@@ -183,6 +183,24 @@ def test_exact_quantiles(spark):
             assert got[c][1] == (pytest.approx(np.quantile(known, shares).tolist(), rel=1e-12) if known else [None] * len(shares))
 
 
+def test_runs_over_pieces(spark, monkeypatch):
+    """Longest runs against counting, with pieces smaller and larger than runs, gaps in positions, and keys of one kind only."""
+    import itertools
+    import random
+
+    from tablesmith.operators import ranking
+
+    r = random.Random(9)
+    rows = [(k, p, k == "all" or (k != "none" and r.random() < 0.7)) for k in ("a", "b", "all", "none") for p in sorted(r.sample(range(1000), 120))]
+    df = spark.createDataFrame(rows, "k string, p int, bad boolean")
+    want = {k: max(len(list(g)) if bad else 0 for bad, g in itertools.groupby(x[2] for x in rows if x[0] == k)) for k in ("a", "b", "all", "none")}
+    for pieces in (1, 7, 256):
+        monkeypatch.setattr(ranking, "PIECES", pieces)
+        got = {x["k"]: (x["longest"], x["abort"]) for x in ranking.rejection_runs(df, "k", "p", F.col("bad")).collect()}
+        assert got == {k: (n, n >= 3) for k, n in want.items()}
+    assert ranking.rejection_runs(df.limit(0), "k", "p", F.col("bad")).count() == 0
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "pos int, name string")
     key = files.run_key("goal", "set", df.schema)
