@@ -27,9 +27,9 @@ def buckets_for(rows: int) -> int:
     return max(64, -(-rows // 50_000))
 
 
-def _spread(df: DataFrame, parts: list[str], n: str, out: str, buckets: int) -> DataFrame:
-    """Running total of n before each row, within parts, by a hash of the group; no window holds more than a bucket."""
-    df = df.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int"))
+def _spread(df: DataFrame, parts: list[str], n: str, out: str, buckets: int, seed: int = 0) -> DataFrame:
+    """Running total of n before each row, within parts, by a hash of the group and a seed; no window holds more than a bucket."""
+    df = df.withColumn("bucket", F.pmod(F.xxhash64("group", F.lit(seed)), F.lit(buckets)).cast("int"))
     base = bucketed_rank_base(df.groupBy(*parts, "bucket").agg(F.sum(n).alias("all")), parts, "bucket", "all", "base").drop("all")
     w = Window.partitionBy(*parts, "bucket").orderBy("group", *[c for c in ("shard",) if c in df.columns]).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("within", F.coalesce(F.sum(n).over(w), F.lit(0)))
@@ -158,7 +158,7 @@ def shard(docs: DataFrame, shards: int = 8, into: str = "placed", report: list |
     if report is not None:
         report.extend(cut)
     units = units.unionByName(fill(sizes.filter("n = 1").select("group"), {s: most[s] - held.get(s, 0) for s in most}, buckets))
-    units = _spread(units.drop("n"), ["shard"], "here", "slot", buckets)
+    units = _spread(units.drop("n"), ["shard"], "here", "slot", buckets, seed=1)  # the buckets by which shards were filled lie in one shard each
     w = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     units = units.withColumn("low", F.coalesce(F.sum("here").over(w), F.lit(0)))
     ranges = units.groupBy("group").agg(F.collect_list(F.struct("low", F.col("here").alias("n"), "shard", "slot")).alias("ranges"))  # one for each shard at most
