@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tablesmith.llm.common import bucketed_rank_base, materialise, table
 
 #: Turns at most, and turns without fewer cut edges after which there are no more.
-TURNS, PATIENCE = 24, 4
+TURNS, PATIENCE = 24, 6
 
 
 def buckets_for(rows: int) -> int:

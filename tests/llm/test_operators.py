@@ -188,7 +188,7 @@ def test_cut_edges_against_the_best_of_all(spark, groups):
     rows = [(i, f"g{k}") for k, n in enumerate(groups) for i in range(n)]
     _, report = sharded(spark.createDataFrame(rows, "doc_id long, text string"), 3)
     least = best(0, (4, 4, 4))
-    assert least <= report[-1] <= least + 2
+    assert least <= report[-1] <= least + 3
     assert report[-1] <= report[0]
 
 
