@@ -245,7 +245,7 @@ def quality_columns(spark, d):
 
 @query("""
 SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'y' WHEN 1 THEN 'profit_' || n_nationkey WHEN 2 THEN 'x_score' END AS validator,
-  CASE n_nationkey % 4 WHEN 0 THEN 'y' WHEN 1 THEN 'churned' WHEN 2 THEN NULL ELSE 'status' END AS synthesizer, CASE n_nationkey % 4 WHEN 0 THEN 'y' WHEN 1 THEN 'churned' WHEN 2 THEN 'x_score' ELSE 'status' END AS architect FROM nation""")
+  CASE n_nationkey % 4 WHEN 0 THEN 'y' WHEN 1 THEN 'churned' WHEN 2 THEN NULL ELSE 'status' END AS synthesizer, CASE n_nationkey % 4 WHEN 0 THEN 'y' WHEN 1 THEN 'churned' WHEN 2 THEN 'x_score' ELSE 'status' END AS designer FROM nation""")
 def target_fields(spark, d):
     out = []
     for (k,) in table(spark, d, "nation").select("n_nationkey").collect():
@@ -253,7 +253,7 @@ def target_fields(spark, d):
         roles = {"y": "target"} if k % 4 == 0 else {}
         spec = [blueprint.Field(n, role=roles.get(n, "")) for n in own]
         out.append((k, matching.target_field(own, matching.VALIDATOR_TARGETS, roles), matching.target_field(own, matching.SYNTHESIZER_TARGETS, roles), blueprint.resolve_target(spec)))
-    return spark.createDataFrame(out, "n_nationkey int, validator string, synthesizer string, architect string")
+    return spark.createDataFrame(out, "n_nationkey int, validator string, synthesizer string, designer string")
 
 
 @query("""
