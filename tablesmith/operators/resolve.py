@@ -29,7 +29,8 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     """(a, b, a_pos, b_pos) for keys (key, pos): b comes before a and differs by few enough edits.
 
     With d edits allowed, a key cut into d + 1 pieces keeps one of them whole, moved by at most d places. So each
-    key's pieces, for every length of partner within reach, meet the other key's substrings at the places near by.
+    key's pieces, for every length of partner within reach, meet the other key's substrings at the places near by. The
+    place is part of the join's key, so a piece that many keys share brings only those together that share it there.
     """
     reach = lambda n: F.floor(n * 2 * (1 - RATIO) / RATIO + 1).cast("int")  # noqa: E731  no partner is longer by more
     edits = lambda n: F.floor((2 * n + reach(n)) * (1 - RATIO)).cast("int")
@@ -38,11 +39,12 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     k = keys.filter(edits(n) >= 1)  # below that, only equal keys match
     cut = k.select("key", "pos", size(n).alias("size"), edits(n).alias("edits"), F.explode(F.sequence(F.lit(0), edits(n))).alias("i"))
     cut = cut.withColumn("at", F.col("i") * F.col("size") + 1).withColumn("piece", F.expr("substring(key, at, size)"))
+    cut = cut.withColumn("from", F.explode(F.sequence(F.greatest(F.col("at") - F.col("edits") - 1, F.lit(1)), F.col("at") + F.col("edits") + 1)))
     sizes = F.array_distinct(F.transform(F.sequence(F.greatest(n - reach(n), F.lit(1)), n + reach(n)), size))
     near = k.select(F.col("key").alias("other"), F.col("pos").alias("other_pos"), F.explode(sizes).alias("size"))
     near = near.withColumn("from", F.explode(F.sequence(F.lit(1), F.greatest(F.length("other") - F.col("size") + 1, F.lit(1)))))
     near = near.withColumn("piece", F.expr("substring(other, `from`, size)"))
-    met = cut.join(near, ["piece", "size"]).filter((F.abs(F.col("from") - F.col("at")) <= F.col("edits") + 1) & (F.col("pos") != F.col("other_pos")))
+    met = cut.join(near, ["piece", "size", "from"]).filter(F.col("pos") != F.col("other_pos"))
     met = met.select(*[F.when(F.col("pos") > F.col("other_pos"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("key", "other", "a"), ("other", "key", "b"), ("pos", "other_pos", "a_pos"), ("other_pos", "pos", "b_pos"))])
     met = met.distinct()
     few = F.levenshtein("a", "b") <= (F.length("a") + F.length("b")) * (1 - RATIO) + 1e-9
