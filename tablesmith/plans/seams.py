@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.operators import profiling, records
+from tablesmith.plans import blueprint
 from tablesmith.session import materialise, ship
 
-#: Records that a model merges at a time and at most; keys under which answers hold their records.
-BATCH, MOST = 20, 40
+#: Records that a model merges at a time and at most, and times that it is asked for a blueprint; keys under which
+#: answers hold their records.
+BATCH, MOST, TRIES = 20, 40, 3
 RECORD_KEYS = ("canonical_records", "extracted_records", "rows", "items", "data")
 #: Ways to read a page, in the order in which they are tried.
 STRATEGIES = ("domain_adapter", "json_payload", "react_state", "html_table", "document_text")
@@ -100,6 +102,20 @@ def infer_target(df: DataFrame, goal: str, model: Callable[[str, list[str]], dic
     return Target(best, answer.get("ml_task_type") or answer.get("task_type") or profiling.task_type(df, best), tuple(dropped))
 
 
+def design(goal: str, count: int | None = None, model: Callable[[str], str] | None = None) -> blueprint.Blueprint:
+    """A goal's blueprint: by its own template if it is one of those that have one, else by a model, asked up to TRIES times until
+    its answer makes a valid one; without a model, or if no answer does, by the template for all goals."""
+    for _ in range(0 if model is None or blueprint.has_own(goal) else TRIES):
+        try:
+            got = blueprint.recover(json.loads(json_part(model(goal))))
+        except (ValueError, AttributeError):
+            continue
+        made = blueprint.normalise(got["dataset"], got["fields"], got["target"], got["records"], count, got["required"], tuple(u for u, _ in got["sources"]))
+        if not blueprint.validate(made):
+            return made
+    return blueprint.design(goal, count)
+
+
 def extract(texts: DataFrame, column: str, schema: str, model: Callable[[str], str] | None = None) -> DataFrame:
     """texts with `records`, an array of structs: what a model reads from a state or a document's text; without one, none.
 

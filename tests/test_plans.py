@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablesmith.operators import profiling, quality, resolve
-from tablesmith.plans import blueprint, pipeline
+from tablesmith.plans import blueprint, pipeline, seams
 from tablesmith.sources import files, html, pages, state
 from tablesmith.streaming import incremental
 
@@ -20,6 +20,36 @@ def test_blueprint():
     assert [f.metadata["ml_role"] for f in b.schema].count("feature") == 5
 
 
+def test_model_seams(spark):
+    """Answers that are no JSON, no list or no blueprint; the number of times a model is asked, and what it is given."""
+    import json
+
+    asked = []
+
+    def designer(goal):
+        asked.append(goal)
+        return ["sorry", '{"row_schema": 7}', "```json\n" + json.dumps({"dataset_name": "My Set", "row_schema": {"fields": [{"name": "team"}, {"name": "wins", "type": "integer", "ml_role": "target"}]}}) + "```"][min(len(asked), 3) - 1]
+
+    made = seams.design("Predict things", model=designer)
+    assert len(asked) == 2 and made.target == "outcome_label"  # a schema that lacks fields gets those of any goal
+    assert seams.design("Predict NBA player salary", model=lambda g: 1 / 0).target == "salary"
+    assert seams.design("Predict things", 40, lambda g: "no").dataset == "things" and seams.design("Predict things", 40).records == 40
+    rows = [(i, f"k{i // 2}", f"v{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "pos int, name string, value string")
+    calls = []
+
+    def merger(known, new):
+        calls.append((len(known), len(new)))
+        return list({r["name"]: r for r in [*known, *new]}.values())
+
+    got = seams.merge(df, "name", "pos", merger).collect()
+    assert calls == [(0, 20), (10, 10), (0, 15)] and {r["value"] for r in got} == {f"v{i}" for i in range(1, 30, 2)}
+    assert seams.merge(spark.createDataFrame([*rows, *((i, f"m{i}", "x") for i in range(30, 80))], df.schema), "name", "pos", merger).count() == 65
+    assert len(calls) == 3
+    assert seams.records_of({"x": 1, "list": [1]}) == [1] and seams.records_of({"records": "no"}) == seams.records_of(7) == []
+    assert seams.json_part('a {"b": [1]} c') == '{"b": [1]}' and seams.json_part("[1] {2}") == "[1]" and seams.json_part(" none ") == "none"
+
+
 def test_build(spark):
     teams = [f"{a}{b} City" for a in ("Alba", "Breno", "Cosmo", "Delfi", "Elmo") for b in ("villa", "west", "xanti", "yonder", "zubar")]
     first = page(["Team", "Wins", "Losses", "Payroll"], [(t, i, 40 - i, f"${i + 1}.5M") for i, t in enumerate(teams)])
