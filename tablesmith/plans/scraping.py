@@ -371,3 +371,31 @@ def goal_subsets(spark, d):
         frames = [matching.Frame([], url, "", 0, 0, {}, []) for url in ("https://x.example/a", f"https://x.example/{'Fortune500' if k % 2 == 0 else 'b'}")]
         out.append((k, len(matching.goal_subset(frames, "Predict revenue of Fortune 500 companies"))))
     return spark.createDataFrame(out, "r_regionkey int, frames int")
+
+
+@query("""
+WITH c AS (SELECT c_nationkey AS page, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY 'link "Customer ' || c_custkey || '" [ref=e' || c_custkey || ']') AS n FROM customer)
+SELECT page, CASE WHEN page % 3 = 0 THEN arg_min('@e' || c_custkey, (-(contains(c_custkey::VARCHAR, '7')::INT), n)) END AS follow FROM c WHERE n <= 40 GROUP BY 1""")
+def best_links(spark, d):
+    """On pages of search results, the first link that names the goal's customer, else the first one."""
+    return pages.best_link(pages.page_state(_directory(spark, d), "snapshot", "page"), "Build a dataset of the customer 7").select("page", "follow")
+
+
+ACTIONS = ("none", "click", "type", "open_url", "wait", "scroll_down", "dance")
+
+
+@query(f"""
+WITH a AS (SELECT event_id, ({list(ACTIONS)})[(event_id % 7 + 1)::INT] AS kind, CASE (event_id // 7) % 4 WHEN 0 THEN '@e' || event_id WHEN 1 THEN 'https://x.example/' WHEN 2 THEN 'page' END AS target,
+  CASE (event_id // 28) % 5 WHEN 0 THEN '' WHEN 1 THEN '12.5' WHEN 2 THEN '-3' WHEN 3 THEN 'https://y.example' END AS value FROM events),
+b AS (SELECT event_id, kind, CASE WHEN kind = 'scroll_down' AND target = 'page' THEN NULL WHEN kind = 'open_url' AND target IS NULL AND value LIKE 'https://%' THEN value ELSE target END AS target,
+  CASE WHEN value = '' OR (kind = 'scroll_down' AND value = '-3') OR (kind = 'open_url' AND target IS NULL AND value LIKE 'https://%') THEN NULL ELSE value END AS value FROM a)
+SELECT event_id, target, value, coalesce(CASE kind WHEN 'none' THEN target IS NULL AND value IS NULL WHEN 'click' THEN target LIKE '@e%' AND value IS NULL WHEN 'type' THEN target LIKE '@e%' AND value IS NOT NULL
+  WHEN 'open_url' THEN target LIKE 'https://%' AND value IS NULL WHEN 'wait' THEN target IS NULL AND (value IS NULL OR value = '12.5') WHEN 'scroll_down' THEN target IS NULL AND (value IS NULL OR value = '12.5') END, FALSE) AS valid FROM b""")
+def actions(spark, d):
+    """Actions on pages, well formed or not."""
+    k = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), (k % 7 + 1).cast("int"))
+    t, v = F.floor(k / 7) % 4, F.floor(k / 28) % 5
+    target = F.when(t == 0, F.concat(F.lit("@e"), k)).when(t == 1, "https://x.example/").when(t == 2, "page")
+    value = F.when(v == 0, "").when(v == 1, "12.5").when(v == 2, "-3").when(v == 3, "https://y.example")
+    return table(spark, d, "events").select(k, pages.action(kind, target, value).alias("a")).select("event_id", "a.*")

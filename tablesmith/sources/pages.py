@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesmith.functions.text import any_of, middle_truncate, strip
+from tablesmith.functions.text import NUMBER, any_of, middle_truncate, strip
 from tablesmith.session import ship
 
 #: What blocking pages say, and what is left out of lines, pages and documents.
@@ -40,6 +41,10 @@ SUMMARY_STARTS = ("button ", "textbox ", "searchbox ", "menuitem ")
 ROLES = ("link", "button", "textbox", "heading", "row", "cell", "listitem")
 SUMMARY_POINTS, SUMMARY_LEAST, SUMMARY_LINES, SUMMARY_CHARS = (5, 4, 3, 1, 1, 1), 3, 30, 2500
 HEADINGS, LINKS, TABLE_LINES = 20, 40, 30
+#: What pages of search results say, words of a goal that say nothing, words and points of lists, links that are never
+#: followed, and actions that scroll.
+RESULTS, PLAIN_WORDS, LIST_WORDS, LIST_POINTS = "search results", ("build", "dataset", "data", "of", "the", "and", "for", "a"), "list of", 5
+UNFOLLOWED, SCROLLS = ("donate", "help", "create account", "log in"), ("scroll_down", "scroll_up")
 #: Phrases of pages that ask for a proof of being human; the site of the statistics service, and its two tables.
 VERIFICATION = ("cloudflare", "verify you are human", "just a moment", "enable javascript and cookies")
 STATS_SITE, STATS_PART, PLAYER_PARTS = "nba.com", "/stats", ("/players/", "player")
@@ -263,6 +268,40 @@ def page_signals(snapshots: DataFrame, column: str, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("lines"), F.count_if(table | F.col("line").rlike(REFERENCE)).alias("row_signals"), F.count_distinct(F.when(table, F.nullif(clean_line(F.col("line")), F.lit("")))).alias("table_lines"))
 
 
+def best_link(states: DataFrame, goal: str) -> DataFrame:
+    """states (of `page_state`) with `follow`, the reference of the link that suits a goal best, the first among equals: on pages of
+    search results only, and null where no link says anything."""
+    words = sorted(set(re.findall(r"[a-z0-9]+", goal.lower())) - set(PLAIN_WORDS))
+
+    def points(label: Column) -> Column:
+        low = F.lower(label)
+        score = F.when(F.contains(low, F.lit(LIST_WORDS)), LIST_POINTS).otherwise(0) + sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+        return F.when(any_of(low, UNFOLLOWED), -1).otherwise(score)
+
+    scored = F.transform("links", lambda x, i: F.struct(points(x["label"]).alias("points"), (-i).alias("place"), x["ref"].alias("ref")))
+    best = F.array_max(scored)
+    results = F.contains(F.lower("summary"), F.lit(RESULTS)) | F.array_contains("blocked", RESULTS)
+    return states.withColumn("follow", F.when(results & (best["points"] > 0), best["ref"]))
+
+
+def action(kind: Column, target: Column, value: Column) -> Column:
+    """Struct of an action's target and value as they are meant, and whether the action is well formed."""
+    scrolls = kind.isin(*SCROLLS)
+    number = F.when(value.rlike(NUMBER), value.try_cast("double"))
+    value = F.when((value == "") | (scrolls & (F.floor(number) <= 0)), None).otherwise(value)
+    moved = (kind == "open_url") & target.isNull() & value.rlike("^https?://")
+    aim = F.when(moved, value).when(scrolls & target.isin("page", "document"), None).otherwise(target)
+    value = F.when(~F.coalesce(moved, F.lit(False)), value)
+    on_element, address = aim.startswith("@e"), aim.rlike("^https?://")
+    number = F.when(value.rlike(NUMBER), value.try_cast("double"))
+    good = (
+        F.when(kind == "none", aim.isNull() & value.isNull()).when(kind == "click", on_element & value.isNull()).when(kind == "type", on_element & value.isNotNull())
+        .when(kind == "open_url", address & value.isNull()).when(kind == "wait", aim.isNull() & (value.isNull() | (number >= 0)))
+        .when(scrolls, aim.isNull() & (value.isNull() | (F.floor(number) > 0)))
+    )
+    return F.struct(aim.alias("target"), value.alias("value"), F.coalesce(good, F.lit(False)).alias("valid"))
+
+
 def tail(log: DataFrame, pos: str, n: int) -> DataFrame:
     """The last n lines, n from 1 to 500, in order."""
     return log.orderBy(F.desc(pos)).limit(max(1, min(n, 500))).orderBy(pos)
