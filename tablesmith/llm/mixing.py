@@ -21,7 +21,8 @@ def word_count(text: Column) -> Column:
 
 
 def place(doc_id: Column, text: Column, seed: int) -> Column:
-    """Where a document stands in its source's seeded order; rows that repeat an id stand together."""
+    """Where a document stands in its source's seeded order, as a digest of its id: rows that repeat an id stand together, and at the
+    same place in the order of each source that they are of; rows without an id stand where their texts put them."""
     key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, PLACE_BITS // 4), 16, 10).cast("long")
 
@@ -34,9 +35,10 @@ def bucket_bits(rows: int) -> int:
 def water_fill(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
     """Targets for a table (source, source_size): adds weight and target.
 
-    There is a row for each source, and all of them meet in one window. Sources in the order of their code points, null last, take the weights in turn. Clamps bind in the order of
-    clamp / weight: going up this order, the level (what is left / the weights left) only rises, so a source is
-    clamped exactly if its clamp is at or below the level that holds when its turn comes.
+    There is a row for each source, and all of them meet in one window. Sources in the order of their code points, null
+    last, take the weights in turn. Clamps bind in the order of clamp / weight: going up this order, the level (what is
+    left / the weights left) only rises, so a source is clamped exactly if its clamp is at or below the level that
+    holds when its turn comes.
     """
     everything = Window.partitionBy(F.lit(0))
     by_name = everything.orderBy(F.col("source").asc_nulls_last())
