@@ -179,7 +179,8 @@ def page_state(snapshots: DataFrame, column: str, *keep: str) -> DataFrame:
     Lines stay arrays of their snapshot, so nothing is shuffled. The summary takes lines by points, as long as there is
     room for them, and shows them in the page's order.
     """
-    rows = snapshots.select(*keep, F.lower(column).alias("low"), snapshot_lines(F.col(column)).alias("own"))
+    text = F.coalesce(column, F.lit(""))  # a null snapshot has no lines
+    rows = snapshots.select(*keep, F.lower(text).alias("low"), snapshot_lines(text).alias("own"))
     state = lambda x: clean_line(x, STATE_ROLES)
     group = lambda x, p, i=1: F.regexp_extract(x, p, i)
     address = lambda x: F.nullif(group(x, ADDRESS, 0), F.lit(""))

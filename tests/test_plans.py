@@ -20,6 +20,26 @@ def test_blueprint():
     assert [f.metadata["ml_role"] for f in b.schema].count("feature") == 5
 
 
+def test_validation_drops_what_is_wrong(spark):
+    """Bounds, outliers in two columns, a target far out, and entities whose sources differ; and the gate on how much may go."""
+    rows = [(f"e{i}", float(i % 7 + 1), float(i % 5 + 1), float(i % 3 + 1)) for i in range(40)]
+    rows += [("low", -1.0, 1.0, 1.0), ("far", 1e6, 1e6, 1.0), ("top", 1.0, 1.0, 1e9), ("once", 1e6, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "name string, salary double, wins double, goal double")
+    raw = spark.createDataFrame([("E1", "https://a.example/1", 10.0), ("E1", "https://b.example/1", 99.0), ("e2", "https://a.example/1", 5.0), ("e2", "https://b.example/2", 5.0)], "name string, source_url string, goal double")
+    valid, found, summary = pipeline.validate(df, "name", "goal", raw)
+    kept = {r["name"] for r in valid.collect()}
+    assert {r[0] for r in rows} - kept == {"low", "far", "top", "e1"}
+    assert {(r["category"], r["severity"]) for r in found.collect()} == {("bounds", "error"), ("outlier", "warning")} and summary.first()["kept_rows"] == 40
+    with pytest.raises(pipeline.QualityError):
+        pipeline.validate(df.withColumn("salary", F.when(F.col("wins") < 3, -1.0).otherwise(F.col("salary"))), "name", "goal")
+    assert {r["name"] for r in pipeline.validate(df.limit(5), "name", "goal")[0].collect()} == {f"e{i}" for i in range(5)}
+
+
+def test_states_of_odd_snapshots(spark):
+    got = pages.page_state(spark.createDataFrame([(1, None), (2, ""), (3, 'heading "A"')], "i int, s string"), "s", "i").orderBy("i").collect()
+    assert [(r["title"], r["summary"], r["lines"], r["links"]) for r in got] == [(None, "", 0, []), (None, "", 0, []), ("A", "A", 1, [])]
+
+
 def test_model_seams(spark):
     """Answers that are no JSON, no list or no blueprint; the number of times a model is asked, and what it is given."""
     import json
