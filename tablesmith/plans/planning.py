@@ -455,3 +455,27 @@ def source_memory_similarity(spark, d):
     memory = n.select(F.col("n_name").alias("goal"), F.lit("nba").alias("domain_intent"), F.when(F.col("n_regionkey") % 2 == 0, "player").otherwise("team").alias("entity_intent"), F.lit("").alias("target_hint"), F.array().cast("array<string>").alias("feature_hints"), F.array(url).alias("urls"))
     goal = intent.read_goal("Predict NBA player salary from performance")
     return ranking.similar_sources(memory, {"domain_intent": goal.domain, "entity_intent": goal.entity, "target_hint": goal.target, "feature_hints": goal.features})
+
+
+# --- targets --------------------------------------------------------------------------------------------------------
+COLUMNS = ("salary", "net_salary_pct", "population_growth_rate", "population_change", "gdp_change", "gdp/rate", "price", "revenue_growth", "revenue", "wins", "points", "target_label", "entity_name", "valuation", "width", "x")
+
+
+def _points_sql() -> str:
+    """SQL for the points of a column (name c, its words w) under a goal (low), rule by rule; of rules with a letter the first that fits counts."""
+    ranked: dict[str, list[str]] = {}
+    total = []
+    for asked, named, points, rank in profiling.TARGET_POINTS:
+        met = [" OR ".join(f"contains(low, '{p}')" for p in g) for g in asked] + [" OR ".join(f"list_contains(w, '{x}')" for x in g) for g in named]
+        when = f"WHEN {' AND '.join(f'({m})' for m in met)} THEN {points}"
+        ranked.setdefault(rank or f"own{len(total)}{len(ranked)}", []).append(when)
+    total = [f"CASE {' '.join(whens)} ELSE 0 END" for whens in ranked.values()]
+    some = lambda words: " OR ".join(f"contains(c, '{x}')" for x in words)
+    return f"CASE WHEN {some(profiling.NO_TARGET)} THEN -50 ELSE 0 END + CASE WHEN {some(profiling.PRIORITY)} THEN 10 ELSE 0 END + CASE WHEN is_number THEN 8 ELSE 0 END + " + " + ".join(total)
+
+
+@query(f"""WITH {COMPOSED}, n AS (SELECT unnest({list(COLUMNS)}) AS c, generate_subscripts({list(COLUMNS)}, 1) % 2 = 1 AS is_number), x AS (SELECT goal, low, c, is_number, regexp_split_to_array(c, '[_/]') AS w FROM l, n)
+SELECT goal, c AS "column", ({_points_sql()})::INT AS points FROM x""")
+def target_points(spark, d):
+    rows = [(r["goal"], c, profiling.name_score(r["goal"], c, i % 2 == 0)) for r in goals(spark, d).collect() for i, c in enumerate(COLUMNS)]  # some goals
+    return spark.createDataFrame(rows, "goal string, column string, points int")

@@ -28,7 +28,10 @@ def missing_rates(spark, d):
     return quality.missing_rates(noisy(spark, d).drop("o_orderkey")).withColumn("missing_rate", F.round("missing_rate", 9))
 
 
-@query("SELECT unnest(['blank', 'fixed', 'rare']) AS dropped")
+@query("""
+WITH s AS (SELECT 'o_orderkey' AS c, count(o_orderkey) AS n, count(DISTINCT o_orderkey) AS d FROM orders UNION ALL SELECT 'o_totalprice', count(o_totalprice), count(DISTINCT o_totalprice) FROM orders
+  UNION ALL SELECT 'fixed', count(*), 1 FROM orders UNION ALL SELECT 'blank', 0, 0 UNION ALL SELECT 'rare', count(*) FILTER (WHERE o_orderkey = 1), 1 FROM orders)
+SELECT c AS dropped FROM s WHERE n < 10 OR d <= 1""")
 def low_value_columns(spark, d):
     t = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.lit(1).alias("fixed"), F.lit(None).cast("string").alias("blank"), F.when(F.col("o_orderkey") == F.lit(1), 1).alias("rare"))
     return spark.createDataFrame([(c,) for c in sorted(quality.low_value_columns(t, 20))], "dropped string")
