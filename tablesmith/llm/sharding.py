@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tablesmith.llm.common import bucketed_rank_base, materialise, table
 
 #: Turns at most, and turns without fewer cut edges after which there are no more.
-TURNS, PATIENCE = 24, 6
+TURNS, PATIENCE = 24, 4
 
 
 def buckets_for(rows: int) -> int:
@@ -29,7 +29,8 @@ def buckets_for(rows: int) -> int:
 
 def _spread(df: DataFrame, parts: list[str], n: str, out: str, buckets: int, seed: int = 0) -> DataFrame:
     """Running total of n before each row, within parts, by a hash of the group and a seed; no window holds more than a bucket."""
-    df = df.withColumn("bucket", F.pmod(F.xxhash64("group", F.lit(seed)), F.lit(buckets)).cast("int"))
+    hashed = F.xxhash64("group", F.lit(seed)) if seed else F.xxhash64("group")
+    df = df.withColumn("bucket", F.pmod(hashed, F.lit(buckets)).cast("int"))
     base = bucketed_rank_base(df.groupBy(*parts, "bucket").agg(F.sum(n).alias("all")), parts, "bucket", "all", "base").drop("all")
     w = Window.partitionBy(*parts, "bucket").orderBy("group", *[c for c in ("shard",) if c in df.columns]).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("within", F.coalesce(F.sum(n).over(w), F.lit(0)))
