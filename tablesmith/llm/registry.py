@@ -5,6 +5,7 @@ from __future__ import annotations
 from tablesmith.llm import (
     decontaminate,
     exact_dedup,
+    filter_audit,
     hidden_markov,
     language_id,
     mixing,
@@ -15,7 +16,7 @@ from tablesmith.llm import (
     url_filter,
 )
 
-MODULES = [mixing, hidden_markov, sharding, secret_scan, language_id, token_table, exact_dedup, url_filter, near_dedup, decontaminate]
+MODULES = [mixing, hidden_markov, sharding, secret_scan, language_id, token_table, exact_dedup, url_filter, near_dedup, decontaminate, filter_audit]
 
 
 def queries() -> dict:
