@@ -88,12 +88,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """lo, hi, bytes and offsets of texts lo..hi-1, CHUNK bytes or one text at a time."""
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """lo, hi, bytes and offsets of texts lo..hi-1, `size` bytes or one text at a time."""
     at, data = buffers(texts)
     lo, n = 0, len(texts)
     while lo < n:
-        hi = int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1
+        hi = int(np.searchsorted(at, at[lo] + size, "right")) - 1
         hi = max(lo + 1, min(hi, n))
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
