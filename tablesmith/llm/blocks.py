@@ -21,7 +21,7 @@ from tablesmith.llm.common import new_path
 from tablesmith.llm.wordscan import LONG, blocks, chunks, hash_words, leading
 
 #: Bytes of text in a block, and in a piece of it that is worked on at a time; a longer text is a block of its own.
-BLOCK, PIECE = 64 << 20, 4 << 20
+BLOCK, PIECE = 64 << 20, 1 << 20
 #: Bytes of Parquet for each bucket of a table of blocks, at most so many buckets.
 BUCKET, MOST_BUCKETS = 128 << 20, 20_000
 
@@ -91,14 +91,14 @@ class Block:
 
     def add(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
         """The words at start..stop of a buffer; -1 in both stands for a gap."""
-        gap = start < 0
-        codes, first = number(raw, start[~gap], stop[~gap])
-        a, b = start[~gap][first], stop[~gap][first]
-        at = np.concatenate(([0], np.cumsum(b - a)))
-        flat = raw[gather(a, b - a)]
-        self.symbols.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(flat)]))
-        numbers = np.full(len(start), -1, np.int64)
-        numbers[~gap] = codes + self.size
+        words = np.flatnonzero(start >= 0)
+        start, stop, numbers = start[words], stop[words], np.full(len(start), -1, np.int32)
+        codes, first = number(raw, start, stop)
+        a, size = start[first], stop[first] - start[first]
+        at = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+        flat = raw[gather(a, size)]
+        self.symbols.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(at), pa.py_buffer(flat)]))
+        numbers[words] = codes + self.size
         self.size += len(a)
         self.sequence.append(numbers)
         self.bytes += len(raw)
@@ -106,14 +106,21 @@ class Block:
     def finish(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct symbols, more frequent ones first; how often each occurs; the numbers of all symbols, 0 for a gap and i + 1 for symbol i."""
         symbols = pa.concat_arrays(self.symbols).cast(pa.binary()) if self.symbols else pa.array([], pa.binary())
+        self.symbols = []
         coded = symbols.dictionary_encode()  # pieces hold the same words
-        numbers = np.concatenate(self.sequence) if self.sequence else np.zeros(0, np.int64)
-        kind = np.concatenate((coded.indices.to_numpy().astype(np.int64), [-1]))[numbers]
-        counts = np.bincount(kind[kind >= 0], minlength=len(coded.dictionary))
-        order = np.argsort(-counts, kind="stable")
-        place = np.empty(len(order) + 1, np.int64)
-        place[order], place[-1] = np.arange(len(order)), -1
-        return coded.dictionary.take(pa.array(order)), counts[order], place[kind] + 1
+        kind = np.append(coded.indices.to_numpy(), np.int32(-1))
+        counts = np.zeros(len(coded.dictionary) + 1, np.int64)  # the last place is for gaps
+        for k, part in enumerate(self.sequence):
+            self.sequence[k] = kind[part]
+            counts += np.bincount(self.sequence[k] + (self.sequence[k] < 0) * len(counts), minlength=len(counts))
+        order = np.argsort(-counts[:-1], kind="stable")
+        place = np.zeros(len(counts), np.int32)
+        place[order] = np.arange(1, len(counts), dtype=np.int32)
+        for k, part in enumerate(self.sequence):
+            self.sequence[k] = place[part]  # -1, a gap, is the last place
+        numbers = np.concatenate(self.sequence) if self.sequence else np.zeros(0, np.int32)
+        self.sequence = []
+        return coded.dictionary.take(pa.array(order)), counts[order], numbers
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

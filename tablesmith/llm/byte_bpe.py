@@ -23,7 +23,7 @@ from tablesmith.llm.common import materialise, ship, table
 #: Bytes of a vocabulary that is sent to every task; the tokens of a larger one are joined.
 SMALL_VOCABULARY = 64 << 20
 #: Pre-tokens that are put together, and ids that are decoded, at a time.
-AT_A_TIME = 1 << 20
+AT_A_TIME = 1 << 18
 
 SPACE, LETTER, NUMERAL, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 _cutters: dict[str, Cutter] = {}
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def _assemble(docs: pa.Array, packed: bytes, known: pa.Array | None, wide: str) -> Iterator[pa.RecordBatch]:
     """The texts of a block from the numbers of their pre-tokens and the ids of each of these."""
-    numbers = unpack(packed).astype(np.int64) - 1
+    numbers = unpack(packed)
     many, first, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     if known is not None:
         ids = known.field("ids")
@@ -205,7 +205,7 @@ def _assemble(docs: pa.Array, packed: bytes, known: pa.Array | None, wide: str)
     lo = 0
     while lo < len(docs):
         hi = max(lo + 1, min(len(docs), int(np.searchsorted(upto, upto[lo] + AT_A_TIME, "right")) - 1))
-        part = numbers[upto[lo] : upto[hi]]
+        part = numbers[upto[lo] : upto[hi]].astype(np.int64) - 1
         ids = flat[gather(first[part], many[part])]
         ends = np.concatenate(([0], np.cumsum(many[part])))[upto[lo : hi + 1] - upto[lo]]
         yield pa.RecordBatch.from_arrays([docs.field("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
