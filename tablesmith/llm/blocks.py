@@ -16,9 +16,10 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablesmith.llm.common import new_path
-from tablesmith.llm.wordscan import LONG, blocks, chunks, hash_words, leading
+from tablesmith.llm.wordscan import LONG, blocks, buffers, chunks, hash_words, leading
 
 #: Bytes of text in a block, and in a piece of it that is worked on at a time; a longer text is a block of its own.
 BLOCK, PIECE = 64 << 20, 1 << 20
@@ -103,24 +104,47 @@ class Block:
         self.sequence.append(numbers)
         self.bytes += len(raw)
 
-    def finish(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """Distinct symbols, more frequent ones first; how often each occurs; the numbers of all symbols, 0 for a gap and i + 1 for symbol i."""
+    def finish(self, buckets: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct symbols, bucket by bucket and more frequent ones first; where each bucket begins; how often each number occurs; the numbers of all symbols.
+
+        A symbol's bucket is the same in all blocks. Number 0 is a gap; the symbol at place i of bucket b has number
+        1 + i * buckets + b, so it needn't be told, and frequent symbols have small numbers.
+        """
         symbols = pa.concat_arrays(self.symbols).cast(pa.binary()) if self.symbols else pa.array([], pa.binary())
         self.symbols = []
         coded = symbols.dictionary_encode()  # pieces hold the same words
-        kind = np.append(coded.indices.to_numpy(), np.int32(-1))
-        counts = np.zeros(len(coded.dictionary) + 1, np.int64)  # the last place is for gaps
+        distinct, kind = coded.dictionary, np.append(coded.indices.to_numpy(), np.int32(-1))
+        counts = np.zeros(len(distinct) + 1, np.int64)  # the last place is for gaps
         for k, part in enumerate(self.sequence):
             self.sequence[k] = kind[part]
             counts += np.bincount(self.sequence[k] + (self.sequence[k] < 0) * len(counts), minlength=len(counts))
-        order = np.argsort(-counts[:-1], kind="stable")
+        at, flat = buffers(distinct)
+        padded = np.concatenate((flat[: at[-1]], np.zeros(8, np.uint8)))
+        bucket = (hash_words(padded, at[:-1], at[1:]) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((-counts[:-1], bucket))
+        ends = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
         place = np.zeros(len(counts), np.int32)
-        place[order] = np.arange(1, len(counts), dtype=np.int32)
+        place[order] = 1 + (np.arange(len(order)) - ends[bucket[order]]) * buckets + bucket[order]
         for k, part in enumerate(self.sequence):
             self.sequence[k] = place[part]  # -1, a gap, is the last place
         numbers = np.concatenate(self.sequence) if self.sequence else np.zeros(0, np.int32)
         self.sequence = []
-        return coded.dictionary.take(pa.array(order)), counts[order], numbers
+        often = np.zeros(int(place.max(initial=0)) + 1, np.int64)
+        often[place] = counts
+        return distinct.take(pa.array(order)), ends, often, numbers
+
+
+def by_bucket(symbols: pa.Array, ends: np.ndarray) -> pa.Array:
+    """One list of lists: the symbols of each bucket."""
+    inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), symbols)
+    return pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
+
+
+def exploded(texts: DataFrame, buckets: int) -> DataFrame:
+    """(block, number, symbol) for the symbols of blocks, each bucket in a partition of its own; a block's symbols of a bucket move as one row."""
+    rows = texts.select("block", F.posexplode("symbols").alias("bucket", "symbols")).filter("size(symbols) > 0")
+    rows = rows.repartitionById(buckets, "bucket").select("block", "bucket", F.posexplode("symbols").alias("at", "symbol"))
+    return rows.select("block", (F.col("at") * buckets + F.col("bucket") + 1).alias("number"), "symbol")
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -141,18 +165,18 @@ def block_id(partition: int, nth: int) -> int:
     return partition << 32 | nth
 
 
-def bucketed(df: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
-    """df written to the shared folder, bucketed by its column block, and read back; and how many buckets there are.
+def buckets_for(df: DataFrame) -> int:
+    """Buckets of a table of blocks of df's texts, by the size of what it reads."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, read_size(df) // BUCKET))
 
-    size: bytes that the table may take, which says how many.
-    """
+
+def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """df written to the shared folder, bucketed by its column block, and read back."""
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, size // BUCKET))
-    known = f"tablesmith_{name}_{uuid.uuid4().hex}"
-    path = new_path(spark, name)
+    known, path = f"tablesmith_{name}_{uuid.uuid4().hex}", new_path(spark, name)
     atexit.register(_forget, spark, known)
-    df.write.bucketBy(n, "block").option("path", path).option("compression", "zstd").saveAsTable(known)
-    return spark.table(known), n
+    df.write.bucketBy(buckets, "block").option("path", path).option("compression", "zstd").saveAsTable(known)
+    return spark.table(known)
 
 
 def _forget(spark: SparkSession, name: str) -> None:

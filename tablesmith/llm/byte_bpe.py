@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm.blocks import BLOCK, PIECE, Block, block_id, bucketed, gather, pack, pieces, read_size, unpack
+from tablesmith.llm.blocks import BLOCK, PIECE, Block, block_id, bucketed, buckets_for, by_bucket, exploded, gather, pack, pieces, unpack
 from tablesmith.llm.common import materialise, ship, table
+from tablesmith.llm.wordscan import buffers
 
 #: Bytes of a vocabulary that is sent to every task; the tokens of a larger one are joined.
 SMALL_VOCABULARY = 64 << 20
@@ -109,8 +110,8 @@ def digest(path: str) -> str:
         return hashlib.blake2b(f.read()).hexdigest()
 
 
-def cut_blocks(docs: DataFrame, pattern: str, size: int = BLOCK) -> DataFrame:
-    """Blocks of docs (doc_id, text): block, docs (doc_id and the number of pre-tokens of each), numbers (of all pre-tokens), symbols (the distinct ones)."""
+def cut_blocks(docs: DataFrame, pattern: str, buckets: int, size: int = BLOCK) -> DataFrame:
+    """Blocks of docs (doc_id, text): block, docs (doc_id and the number of pre-tokens of each), numbers (of all pre-tokens), symbols (the distinct ones by bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -119,11 +120,11 @@ def cut_blocks(docs: DataFrame, pattern: str, size: int = BLOCK) -> DataFrame:
         ids, many, block = [], [], Block()
 
         def flush() -> pa.RecordBatch:
-            symbols, _, numbers = block.finish()
+            symbols, ends, _, numbers = block.finish(buckets)
             docs = pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.array(np.concatenate(many), pa.int64())], ["doc_id", "n"])
             return pa.RecordBatch.from_arrays(
                 [pa.array([block_id(partition, nth)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([pack(numbers)], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array([0, len(symbols)], pa.int32()), symbols)], ["block", "docs", "numbers", "symbols"]
+                 by_bucket(symbols, ends)], ["block", "docs", "numbers", "symbols"]
             )
 
         for rows, raw, at in pieces(batches, 1, min(PIECE, size)):
@@ -138,14 +139,13 @@ def cut_blocks(docs: DataFrame, pattern: str, size: int = BLOCK) -> DataFrame:
             yield flush()
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"block long, docs array<struct<doc_id {kind}, n long>>, numbers binary, symbols array<binary>")
+    return docs.mapInArrow(run, f"block long, docs array<struct<doc_id {kind}, n long>>, numbers binary, symbols array<array<binary>>")
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(word, block, place), equal words side by side, with the ids of each word: block, place, ids. Each run of equal words is encoded once."""
+    """(block, number, symbol), equal symbols side by side, with the ids of each: block, number, ids. Each run of equal symbols is encoded once."""
     spark = words.sparkSession
     ranks, key = spark.sparkContext.broadcast(read_ranks(path)), digest(path)
-    wide = "<u2" if len(ranks.value) <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -154,15 +154,31 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
             _coders[key, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
         coder, last = _coders[key, pattern], (None, b"")
         for batch in batches:
-            coded = batch.column(0).dictionary_encode()
+            coded = batch.column(2).dictionary_encode()
             ids = []
             for word in coded.dictionary.to_pylist():
                 if word != last[0]:
-                    last = word, np.array(coder.encode_ordinary(word.decode()), wide).tobytes()
+                    last = word, np.array(coder.encode_ordinary(word.decode()), "<u4").tobytes()
                 ids.append(last[1])
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "place", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "number", "ids"])
 
-    return words.select("word", "block", "place").mapInArrow(run, "block long, place int, ids binary")
+    return words.select("block", "number", "symbol").mapInArrow(run, "block long, number int, ids binary")
+
+
+def pack_ids(coded: DataFrame) -> DataFrame:
+    """(block, number, ids), in the order of block and number, as rows (block, known): the numbers and ids of many symbols in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, at = batch.column(0).to_numpy(), buffers(batch.column(2))[0] // 4
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)] if len(block) else [0]
+            flat = np.frombuffer(batch.column(2).buffers()[2] or b"", "<u4")
+            known = [
+                pack(np.concatenate(([b - a], np.diff(batch.column(1).to_numpy()[a:b], prepend=0), np.diff(at[a : b + 1]), flat[at[a] : at[b]]))) for a, b in zip(cuts, cuts[1:], strict=False)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]], pa.int64()), pa.array(known, pa.binary())], ["block", "known"])
+
+    return coded.mapInArrow(run, "block long, known binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -174,38 +190,47 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.make_valid_utf8(F.coalesce("text", F.lit(""))).alias("text"))
-    wide = "<u2" if len(read_ranks(path)) <= 1 << 16 else "<u4"
-    texts, buckets = bucketed(cut_blocks(rows, pattern), "bpe_blocks", read_size(docs))
-    words = texts.select("block", F.posexplode("symbols").alias("place", "word"))
-    words = words.repartition(buckets, "word").sortWithinPartitions("word")
-    back = encode_words(words, path, pattern).repartition(buckets, "block")
-    known = back.groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("known"))  # the symbols of a block
+    buckets = buckets_for(docs)
+    texts = bucketed(cut_blocks(rows, pattern, buckets), "bpe_blocks", buckets)
+    coded = encode_words(exploded(texts, buckets).sortWithinPartitions("symbol"), path, pattern)
+    back = pack_ids(coded.sortWithinPartitions("block", "number")).repartition(buckets, "block")
+    known = back.groupBy("block").agg(F.collect_list("known").alias("known"))  # the symbols of a block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                yield from _assemble(batch.column(0)[k].values, batch.column(1)[k].as_py(), batch.column(2)[k].values, wide)
+                yield from _assemble(batch.column(0)[k].values, batch.column(1)[k].as_py(), batch.column(2)[k].as_py() or [])
 
     kind = dict(docs.dtypes)["doc_id"]
     return texts.select("block", "docs", "numbers").join(known, "block", "left").select("docs", "numbers", "known").mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
-def _assemble(docs: pa.Array, packed: bytes, known: pa.Array | None, wide: str) -> Iterator[pa.RecordBatch]:
+def _unpacked(known: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each number where its ids begin and how many there are, and all ids."""
+    number, many, flat = [], [], []
+    for packed in known:
+        x = unpack(packed).view(np.int32)
+        n = x[0]
+        number.append(np.cumsum(x[1 : n + 1]))
+        many.append(x[n + 1 : 2 * n + 1])
+        flat.append(x[2 * n + 1 :])
+    if not number:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    at, size = np.concatenate(number), np.concatenate(many).astype(np.int64)
+    first, count = np.zeros(int(at.max()) + 1, np.int64), np.zeros(int(at.max()) + 1, np.int64)
+    first[at], count[at] = np.cumsum(size) - size, size
+    return first, count, np.concatenate(flat)
+
+
+def _assemble(docs: pa.Array, packed: bytes, known: list[bytes]) -> Iterator[pa.RecordBatch]:
     """The texts of a block from the numbers of their pre-tokens and the ids of each of these."""
     numbers = unpack(packed)
-    many, first, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    if known is not None:
-        ids = known.field("ids")
-        size = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // np.dtype(wide).itemsize
-        flat = np.frombuffer(ids.buffers()[2] or b"", wide).astype(np.int32)
-        place = known.field("place").to_numpy()
-        many, first = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        many[place], first[place] = np.diff(size), size[:-1]
+    first, many, flat = _unpacked(known)
     upto = np.concatenate(([0], np.cumsum(docs.field("n").to_numpy())))
     lo = 0
     while lo < len(docs):
         hi = max(lo + 1, min(len(docs), int(np.searchsorted(upto, upto[lo] + AT_A_TIME, "right")) - 1))
-        part = numbers[upto[lo] : upto[hi]].astype(np.int64) - 1
+        part = numbers[upto[lo] : upto[hi]]
         ids = flat[gather(first[part], many[part])]
         ends = np.concatenate(([0], np.cumsum(many[part])))[upto[lo : hi + 1] - upto[lo]]
         yield pa.RecordBatch.from_arrays([docs.field("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])

@@ -68,13 +68,14 @@ def test_string_ids_and_many_blocks(spark, library):
 def test_blocks_are_cut_at_their_size(spark):
     docs = spark.createDataFrame([(i, f"word{i % 3} " * 50) for i in range(40)], "doc_id long, text string").repartition(2)
     byte_bpe.ship(spark)
-    got = byte_bpe.cut_blocks(docs, public_tokenizers.PATTERN, size=900).collect()
+    got = byte_bpe.cut_blocks(docs, public_tokenizers.PATTERN, 5, size=900).collect()
     assert len(got) == len({r.block for r in got}) > 10
     told = {d.doc_id: d.n for r in got for d in r.docs}
     assert told == {i: 101 for i in range(40)}  # word, number, ..., space
     for r in got:
-        assert len(set(map(bytes, r.symbols))) == len(r.symbols)
-        assert sorted(set(blocks.unpack(r.numbers).tolist())) == list(range(1, len(r.symbols) + 1))
+        words = [(1 + i * 5 + b, bytes(w)) for b, bucket in enumerate(r.symbols) for i, w in enumerate(bucket)]
+        assert len(r.symbols) == 5 and len({w for _, w in words}) == len(words)
+        assert set(blocks.unpack(r.numbers).tolist()) == {n for n, _ in words}
 
 
 def test_joined_sequences_stay_where_they_are(spark):
