@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tablesmith.llm import (
     byte_bpe,
+    collocations,
     decontaminate,
     exact_dedup,
     filter_audit,
@@ -17,7 +18,7 @@ from tablesmith.llm import (
     url_filter,
 )
 
-MODULES = [mixing, hidden_markov, sharding, secret_scan, language_id, token_table, exact_dedup, url_filter, near_dedup, decontaminate, byte_bpe, filter_audit]
+MODULES = [mixing, hidden_markov, sharding, secret_scan, language_id, token_table, exact_dedup, url_filter, near_dedup, decontaminate, byte_bpe, collocations, filter_audit]
 
 
 def queries() -> dict:
