@@ -7,16 +7,20 @@ bring them from the data in one job each.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from tablesmith.functions.text import missing
 from tablesmith.operators.columns import normalize
 from tablesmith.operators.quality import numeric_columns
 from tablesmith.operators.tables import is_text
+from tablesmith.session import ship
 
 # --- Fixed values ---------------------------------------------------------------------------------------------------
 #: Words of a column, by field, of which one group has to be there as a whole: those of the table builder.
@@ -263,19 +267,43 @@ def entity_like(values: list[str]) -> bool:
 
 
 def head_samples(df: DataFrame, columns: list[str], pos: str, n: int = SAMPLE) -> dict[str, list[str]]:
-    """The first n values of each column, by position, that aren't missing, as text; one job of a few rows a column."""
+    """The first n values of each column, by position, that aren't missing, as text.
+
+    One scan for all columns: each batch keeps n values of each column, so does each task of those, and what is left
+    (n values a column and task) is merged in as many places as there are columns.
+    """
     if not columns:
         return {}
-    parts = [df.filter(~missing(F.col(c), "coalesce", is_text(df, c))).select(F.lit(c).alias("c"), F.col(pos).alias("p"), F.col(c).cast("string").alias("v")).orderBy("p").limit(n) for c in columns]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    values = [F.when(~missing(F.col(c), "coalesce", is_text(df, c)), F.struct(F.col(pos).alias("p"), F.col(c).cast("string").alias("v"))) for c in columns]
+    rows = _heads(df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)]), n)
     out: dict[str, list[str]] = {c: [] for c in columns}
-    for r in sorted(rows.collect(), key=lambda r: r["p"]):
-        out[r["c"]].append(r["v"])
+    first = rows.groupBy("c").agg(F.slice(F.array_sort(F.collect_list(F.struct("p", "v"))), 1, n).alias("x"))  # n values a task
+    for r in first.collect():
+        out[columns[r["c"]]] = [x["v"] for x in r["x"]]
     return out
 
 
+def _heads(values: DataFrame, n: int) -> DataFrame:
+    """(c, p, v): of each column of structs (p, v) the n rows with the lowest p of each task; c is the column's number."""
+    ship(values.sparkSession)
+    place = values.schema[0].dataType["p"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, pa.Table] = {}
+        for batch in batches:
+            for c in range(batch.num_columns):
+                some = batch.column(c).drop_null()
+                if not len(some):
+                    continue
+                here = pa.table({"p": some.field("p"), "v": some.field("v")})
+                both = pa.concat_tables([best[c], here]) if c in best else here
+                best[c] = both.take(pc.select_k_unstable(both, min(n, len(both)), [("p", "ascending")])).combine_chunks()
+        for c, rows in best.items():
+            yield from rows.append_column("c", pa.array([c] * len(rows), pa.int32())).select(["c", "p", "v"]).to_batches()
+
+    return values.mapInArrow(run, StructType().add("c", IntegerType()).add("p", place).add("v", StringType()))
+
+
 def coverage(df: DataFrame) -> dict[str, float]:
     """Share of each column that isn't null; one job."""
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()

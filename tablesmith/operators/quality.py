@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tablesmith.functions.text import missing, root_domain, strip, to_float
 from tablesmith.operators.stats import exact_quantiles
 from tablesmith.operators.tables import is_text
+from tablesmith.session import materialise
 
 #: Columns that identify a row and are no features.
 IDENTITY_FIELDS = ("source_url", "reference_url", "entity_name", "raw_entity_name", "name", "team_name", "school", "state")
@@ -52,12 +54,34 @@ def _shown(df: DataFrame, c: str) -> Column:
     return F.when(~absent(df, c), F.lower(strip(F.col(c))) if is_text(df, c) else F.col(c))
 
 
+#: Distinct values of a column, as sketched, up to which each task holds them in a set.
+FEW = 1024
+
+
+def distinct_counts(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """name, rows, non_null, distinct for columns of df: exact, and no row is copied for each column.
+
+    A first pass sketches how many distinct values there are. Columns of few are counted together in one pass, by sets
+    that tasks merge; each of the others by itself, in a scan of that column alone whose tasks drop repeats first.
+    """
+    plain = {c: (v + F.lit(0.0)).cast("string") if t in ("float", "double") else v for (c, v), (_, t) in zip(values.items(), df.select(*[v.alias(f"c{i}") for i, v in enumerate(values.values())]).dtypes, strict=True)}  # one zero, one NaN
+    sketch = df.agg(*[F.approx_count_distinct(v).alias(f"a{i}") for i, v in enumerate(plain.values())]).first() if plain else ()
+    many = {c for c, n in zip(plain, sketch, strict=True) if n > FEW}
+    aggs = [x for i, (c, v) in enumerate(plain.items()) for x in (F.count(v).alias(f"n{i}"), (F.lit(None) if c in many else F.size(F.collect_set(v))).cast("long").alias(f"d{i}"))]
+    each = [F.struct(F.lit(c).alias("name"), F.col(f"n{i}").alias("non_null"), F.col(f"d{i}").alias("distinct")) for i, c in enumerate(plain)]
+    out = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).select("rows", F.explode(F.array(*each)).alias("x")).select("x.name", "rows", "x.non_null", "x.distinct")
+    if not many:
+        return out
+    alone = [df.select(plain[c].alias("v")).distinct().agg(F.count("v").alias("more")).select(F.lit(c).alias("name"), "more") for c in plain if c in many]
+    more = reduce(lambda a, b: a.unionByName(b), alone)
+    return out.join(F.broadcast(more), "name", "left").select("name", "rows", "non_null", F.coalesce("more", "distinct").alias("distinct"))  # a row a column
+
+
 def column_stats(df: DataFrame, columns: list[str] | None = None) -> dict[str, tuple[int, int, float]]:
-    """(non-missing, distinct, missing rate) of each column, texts compared trimmed and without case; one pass."""
+    """(non-missing, distinct, missing rate) of each column, texts compared trimmed and without case."""
     columns = columns or df.columns
-    aggs = [x for i, c in enumerate(columns) for x in (F.count(_shown(df, c)).alias(f"n{i}"), F.count_distinct(_shown(df, c)).alias(f"d{i}"))]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
-    return {c: (row[f"n{i}"], row[f"d{i}"], 1 - row[f"n{i}"] / row["n"] if row["n"] else 1.0) for i, c in enumerate(columns)}
+    found = {r["name"]: r for r in distinct_counts(df, {c: _shown(df, c) for c in columns}).collect()}
+    return {c: (r["non_null"], r["distinct"], 1 - r["non_null"] / r["rows"] if r["rows"] else 1.0) for c in columns for r in [found[c]]}
 
 
 def fill_stats(df: DataFrame, also: Column | None = None, columns: list[str] | None = None) -> tuple[int, int, dict[str, tuple[int, bool]]]:
@@ -242,16 +266,72 @@ def text_conflicts(df: DataFrame, key: str, value: str, domain: str) -> DataFram
     return out.withColumn("conflict", F.col("versions") > 1)
 
 
-def conflicting_entities(df: DataFrame, key: str, url: str, numbers: list[str], texts: list[str], target: str | None) -> DataFrame:
-    """Keys to reject: sources differ on the target, or on two fields at least. Percentages may differ by less (0.20)."""
+def source_facts(df: DataFrame, key: str, url: str, numbers: dict[str, float], texts: list[str]) -> DataFrame:
+    """Per key, what its sources say of each field: c0, c1, ... whether they conflict, null where the middle value has to tell.
+
+    One aggregation of all fields. Two sources differ if the least and the greatest domain do, so do two versions of a
+    text; a spread conflicts if it does against the value farthest from zero, and doesn't if it doesn't against the
+    nearest one. No value is kept but these, however many reports a key has. numbers: fields and the spread they may have.
+    """
     rows = df.withColumn("__domain", root_domain(F.col(url)))
-    parts = [numeric_conflicts(rows, key, c, "__domain", 0.2 if any(w in PERCENT for w in c.lower().split("_")) else 0.35).select(key, F.lit(c).alias("field"), "conflict") for c in numbers]
-    parts += [text_conflicts(rows, key, c, "__domain").select(key, F.lit(c).alias("field"), "conflict") for c in texts]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    fields = out.filter("conflict").groupBy(key).agg(F.count(F.lit(1)).alias("fields"), F.max(F.col("field") == F.lit(target)).alias("on_target"))
-    return fields.filter("on_target or fields >= 2")
+    aggs, told = [], []
+    for i, (c, most) in enumerate(numbers.items()):
+        v = F.col(c)
+        one = F.when(v.isNotNull(), F.col("__domain"))
+        aggs += [F.min(one).alias(f"a{i}"), F.max(one).alias(f"b{i}"), F.min(v).alias(f"low{i}"), F.max(v).alias(f"high{i}"), F.min(F.abs(v)).alias(f"near{i}"), F.max(F.abs(v)).alias(f"far{i}")]
+        against = lambda x, i=i, most=most: _apart(F.col(f"low{i}"), F.col(f"high{i}"), F.col(x), most)
+        apart = F.coalesce(F.col(f"a{i}") != F.col(f"b{i}"), F.lit(False))
+        told.append(F.when(~apart, False).when(against(f"far{i}"), True).when(~against(f"near{i}"), False).alias(f"c{i}"))
+    for i, c in enumerate(texts, len(numbers)):
+        there = ~missing(F.col(c), "validator")
+        shown = F.when(there, F.lower(strip(F.regexp_replace(F.col(c), r"\s+", " "))))
+        one = F.when(there, F.col("__domain"))
+        aggs += [F.min(one).alias(f"a{i}"), F.max(one).alias(f"b{i}"), F.min(shown).alias(f"low{i}"), F.max(shown).alias(f"high{i}")]
+        told.append(F.coalesce((F.col(f"a{i}") != F.col(f"b{i}")) & (F.col(f"low{i}") != F.col(f"high{i}")), F.lit(False)).alias(f"c{i}"))
+    facts = rows.groupBy(F.col(key).alias("__key")).agg(*aggs)
+    return facts.select("__key", *[f"{x}{i}" for i in range(len(numbers)) for x in ("low", "high")], *told)
+
+
+def _apart(low: Column, high: Column, value: Column, most: float) -> Column:
+    """Whether a spread is too wide against a value; if it is, it is too against every value that is nearer to zero."""
+    return (high - low) / F.greatest(F.abs(value), F.lit(1.0)) > most
+
+
+def _settled(df: DataFrame, facts: DataFrame, key: str, numbers: dict[str, float]) -> DataFrame:
+    """The keys of facts whose c0, c1, ... are open, with those told by the middle value (the upper of two).
+
+    It is too near to zero if, of the key's values in order, those below all such end before the middle and they
+    themselves don't: a matter of counts, which tasks add up before the shuffle.
+    """
+    open_ = facts.filter(F.exists(F.array(*[F.col(f"c{i}") for i in range(len(numbers))]), lambda x: x.isNull()))
+    aggs, told = [], []
+    for i, (c, most) in enumerate(numbers.items()):
+        v = F.col(c)
+        hit = v.isNotNull() & _apart(F.col(f"low{i}"), F.col(f"high{i}"), v, most)
+        aggs += [F.count(v).alias(f"n{i}"), F.count_if(hit).alias(f"hit{i}"), F.count_if((v < 0) & ~hit).alias(f"below{i}")]
+        at = F.floor(F.col(f"n{i}") / 2)
+        told.append(F.coalesce(F.col(f"c{i}"), (F.col(f"below{i}") <= at) & (at < F.col(f"below{i}") + F.col(f"hit{i}"))).alias(f"c{i}"))
+    counts = df.join(open_.select("__key", *[f"{x}{i}" for i in range(len(numbers)) for x in ("low", "high")]), df[key] == F.col("__key")).groupBy("__key").agg(*aggs)
+    return open_.join(counts, "__key").select("__key", *told, *[c for c in facts.columns if c.startswith("c") and int(c[1:]) >= len(numbers)])
+
+
+def conflicting_entities(df: DataFrame, key: str, url: str, numbers: list[str], texts: list[str], target: str | None) -> DataFrame:
+    """Keys to reject: sources differ on the target, or on two fields at least: key, fields, on_target. Percentages may differ by less (0.20).
+
+    All fields are settled by one aggregation; only keys for which the middle of a field's values decides are
+    looked at once more. A null key is a key whose fields are settled as far as that goes without.
+    """
+    limits = {c: 0.2 if any(w in PERCENT for w in c.lower().split("_")) else 0.35 for c in numbers}
+    facts = materialise(source_facts(df, key, url, limits, texts), "source-facts")
+    names = [*numbers, *texts]
+    flags = [f"c{i}" for i in range(len(names))]
+    unsure = F.exists(F.array(*[F.col(c) for c in flags]), lambda x: x.isNull())
+    found = facts.select("__key", *flags)
+    if not facts.filter(unsure).isEmpty():
+        found = facts.filter(~unsure).select("__key", *flags).unionByName(_settled(df, facts, key, limits).select("__key", *flags))
+    fields = sum((F.col(c).cast("long") for c in flags), F.lit(0).cast("long"))
+    on_target = F.col(flags[names.index(target)]) if target in names else F.lit(False)
+    return found.select(F.col("__key").alias(key), fields.alias("fields"), on_target.alias("on_target")).filter("on_target or fields >= 2")
 
 
 def summary(found: DataFrame, rows: int, kept: int) -> DataFrame:

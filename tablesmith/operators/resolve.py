@@ -1,8 +1,8 @@
 """Entity resolution: canonical keys, and a greedy fuzzy match to the first earlier key that is alike enough.
 
 A key goes to the first earlier canonical key with a sequence ratio of 0.94 or more. Such a pair differs by few edits
-(levenshtein at most 0.06 of both lengths together), so two keys agree in one of the pieces that a key is cut into,
-or nearly so in place: candidates are found by an equi join on pieces, never by comparing all pairs.
+(at most 0.06 of both lengths together), so of more disjoint pieces of a key than edits, one is whole in the other,
+or nearly so in place: candidates are found by an equi join on a key's rarest pieces, never by comparing all pairs.
 """
 
 from __future__ import annotations
@@ -11,13 +11,17 @@ from difflib import SequenceMatcher
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.text import canonical_key
 from tablesmith.session import materialise, ship
 
 RATIO = 0.94
+#: Characters to a piece; keys of eight characters or more, shorter ones have no edits, can be cut by the first two often enough.
+SIZES = (2, 3, 4, 6)
+#: A second piece is asked for if that makes so many times the meetings at most.
+MORE = 4
 
 
 def resolve_exact(df: DataFrame, column: str, into: str = "entity_name") -> DataFrame:
@@ -25,30 +29,62 @@ def resolve_exact(df: DataFrame, column: str, into: str = "entity_name") -> Data
     return df.withColumn(into, canonical_key(F.col(column)))
 
 
-def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b, a_pos, b_pos) for keys (key, pos): b comes before a and differs by few enough edits.
+def _reach(n: Column) -> Column:
+    """No partner of a key of n characters is longer by more."""
+    return F.floor(n * 2 * (1 - RATIO) / RATIO + 1).cast("int")
+
+
+def _edits(n: Column) -> Column:
+    return F.floor((2 * n + _reach(n)) * (1 - RATIO)).cast("int")
+
 
-    With d edits allowed, a key cut into d + 1 pieces keeps one of them whole, moved by at most d places. So each
-    key's pieces, for every length of partner within reach, meet the other key's substrings at the places near by. The
-    place is part of the join's key, so a piece that many keys share brings only those together that share it there.
+def rare_pieces(keys: DataFrame) -> DataFrame:
+    """(key, pos, edits, need, size, at, piece) for keys (key, pos): the pieces of a key that the fewest keys share; `need` of them are in any match.
+
+    A key is cut into pieces of each of SIZES in turn. Of any edits + 1 pieces of one size a match holds one, of any
+    edits + 2 two, so the rarest are kept, the second number if that makes few more meetings. Of the sizes, the one whose
+    kept pieces are shared least: what thousands of keys begin with is in no kept piece as long as the rest of the key
+    can be cut often enough.
     """
-    reach = lambda n: F.floor(n * 2 * (1 - RATIO) / RATIO + 1).cast("int")  # noqa: E731  no partner is longer by more
-    edits = lambda n: F.floor((2 * n + reach(n)) * (1 - RATIO)).cast("int")
-    size = lambda n: F.greatest(F.floor(n / (edits(n) + 1)).cast("int"), F.lit(1))
-    n = F.length("key")
-    k = keys.filter(edits(n) >= 1)  # below that, only equal keys match
-    cut = k.select("key", "pos", size(n).alias("size"), edits(n).alias("edits"), F.explode(F.sequence(F.lit(0), edits(n))).alias("i"))
-    cut = cut.withColumn("at", F.col("i") * F.col("size") + 1).withColumn("piece", F.expr("substring(key, at, size)"))
-    cut = cut.withColumn("from", F.explode(F.sequence(F.greatest(F.col("at") - F.col("edits") - 1, F.lit(1)), F.col("at") + F.col("edits") + 1)))
-    sizes = F.array_distinct(F.transform(F.sequence(F.greatest(n - reach(n), F.lit(1)), n + reach(n)), size))
-    near = k.select(F.col("key").alias("other"), F.col("pos").alias("other_pos"), F.explode(sizes).alias("size"))
-    near = near.withColumn("from", F.explode(F.sequence(F.lit(1), F.greatest(F.length("other") - F.col("size") + 1, F.lit(1)))))
-    near = near.withColumn("piece", F.expr("substring(other, `from`, size)"))
-    met = cut.join(near, ["piece", "size", "from"]).filter(F.col("pos") != F.col("other_pos"))
+    sizes = F.array(*[F.lit(s) for s in SIZES])
+    k = keys.select("key", "pos", _edits(F.length("key")).alias("edits"), F.explode(sizes).alias("size")).filter(F.floor(F.length("key") / F.col("size")) > F.col("edits"))
+    cut = k.withColumn("at", F.explode(F.expr("sequence(1, length(key) - size + 1, size)"))).withColumn("piece", F.expr("substring(key, at, size)"))
+    shared = substrings(keys).groupBy("size", "piece").agg(F.count(F.lit(1)).alias("n"))
+    per = cut.join(shared, ["size", "piece"]).groupBy("key", "pos", "edits", "size").agg(F.array_sort(F.collect_list(F.struct("n", "at", "piece"))).alias("all"))  # the pieces of a key
+    total = lambda pieces: F.aggregate(pieces, F.lit(0).cast("long"), lambda sum_, x: sum_ + x["n"])
+    one, two = (F.slice("all", F.lit(1), F.col("edits") + n) for n in (1, 2))
+    per = per.withColumns({"one": total(one), "two": total(two)}).withColumn("need", F.when((F.size("all") >= F.col("edits") + 2) & (F.col("two") <= MORE * F.col("one")), 2).otherwise(1))
+    # of two sizes the one that brings fewer pairs together: those that must meet twice are a small part of those that do once
+    cost = F.when(F.col("need") == 2, F.col("two") / MORE**2).otherwise(F.col("one"))
+    kept = per.withColumn("all", F.when(F.col("need") == 2, two).otherwise(one))
+    best = kept.groupBy("key", "pos", "edits").agg(F.min(F.struct(cost.alias("cost"), (-F.col("size")).alias("less"), "size", "need", "all")).alias("best"))
+    return best.select("key", "pos", "edits", "best.need", "best.size", F.explode("best.all").alias("x")).select("key", "pos", "edits", "need", "size", "x.at", "x.piece")
+
+
+def substrings(keys: DataFrame) -> DataFrame:
+    """(other, other_pos, size, from, piece): every substring of a key that has one of SIZES."""
+    sizes = F.array(*[F.lit(s) for s in SIZES])
+    near = keys.select(F.col("key").alias("other"), F.col("pos").alias("other_pos"), F.explode(sizes).alias("size")).filter("length(other) >= size")
+    near = near.withColumn("from", F.explode(F.expr("sequence(1, length(other) - size + 1)")))
+    return near.withColumn("piece", F.expr("substring(other, `from`, size)"))
+
+
+def met_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b, a_pos, b_pos) for keys (key, pos): b comes before a, and one holds as many rare pieces of the other as it must, each near its place."""
+    long = keys.filter(_edits(F.length("key")) >= 1)  # below that, only equal keys match
+    cut = rare_pieces(long).withColumn("from", F.explode(F.sequence(F.greatest(F.col("at") - F.col("edits"), F.lit(1)), F.col("at") + F.col("edits"))))
+    before = F.abs(F.col("from") - F.col("at"))  # edits that move the piece, and those that move the end against it
+    near = before + F.abs(F.length("other") - F.col("from") - F.length("key") + F.col("at")) <= (F.length("key") + F.length("other")) * (1 - RATIO) + 1e-9
+    met = cut.join(substrings(long), ["piece", "size", "from"]).filter((F.col("pos") != F.col("other_pos")) & near)
+    met = met.groupBy("key", "pos", "other", "other_pos", "need").agg(F.size(F.collect_set("at")).alias("pieces")).filter("pieces >= need")
     met = met.select(*[F.when(F.col("pos") > F.col("other_pos"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("key", "other", "a"), ("other", "key", "b"), ("pos", "other_pos", "a_pos"), ("other_pos", "pos", "b_pos"))])
-    met = met.distinct()
-    few = F.levenshtein("a", "b") <= (F.length("a") + F.length("b")) * (1 - RATIO) + 1e-9
-    return met.filter(few)
+    return met.distinct()
+
+
+def candidate_pairs(keys: DataFrame) -> DataFrame:
+    """The pairs that met and differ by few enough edits."""
+    most = (F.length("a") + F.length("b")) * (1 - RATIO) + 1e-9
+    return met_pairs(keys).filter(F.levenshtein("a", "b") <= most)
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -68,7 +104,7 @@ def resolve_fuzzy(df: DataFrame, column: str, pos: str, into: str = "entity_name
     """
     ship(df.sparkSession)
     keyed = resolve_exact(df, column, "__key")
-    keys = keyed.groupBy(F.col("__key").alias("key")).agg(F.min(pos).alias("pos"))
+    keys = materialise(keyed.groupBy(F.col("__key").alias("key")).agg(F.min(pos).alias("pos")), "fuzzy-keys")
     edges = candidate_pairs(keys).filter(sequence_ratio()("a", "b") >= RATIO).select("a", "a_pos", "b", "b_pos")
     edges = materialise(edges, "fuzzy-edges")
     settled = keys.join(edges.select(F.col("a").alias("key")).distinct(), "key", "left_anti").select("key", F.col("key").alias("to"))

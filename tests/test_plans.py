@@ -279,3 +279,69 @@ def test_stream(spark, sf, tmp_path):
     q = out.writeStream.format("memory").queryName("kinds").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("kinds").count() == 5
+
+
+def test_fuzzy_candidates_of_keys_with_one_beginning(spark):
+    """About 3,000 keys that begin alike: of 4.5 million pairs few reach the edit test, and none that it would let through is lost."""
+    import random
+
+    r = random.Random(5)
+    keys = {}
+    while len(keys) < 2800:
+        keys.setdefault("university of " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(6, 12))), len(keys))
+    for k in list(keys)[:200]:
+        at = r.randrange(14, len(k))
+        keys.setdefault(k[:at] + r.choice(["", "q", k[at] + "z"]) + k[at + 1 :], len(keys))
+    df = spark.createDataFrame(list(keys.items()), "key string, pos long").cache()
+    assert resolve.met_pairs(df).count() < 50_000
+    got = {(x.a, x.b) for x in resolve.candidate_pairs(df).collect()}
+    a, b = df.toDF("a", "a_pos"), df.toDF("b", "b_pos")
+    most = (F.length("a") + F.length("b")) * (1 - resolve.RATIO) + 1e-9
+    close = a.join(b, (F.col("a_pos") > F.col("b_pos")) & (F.abs(F.length("a") - F.length("b")) <= 2)).filter(F.levenshtein("a", "b") <= most)
+    matches = {(x.a, x.b) for x in close.filter(resolve.sequence_ratio()("a", "b") >= resolve.RATIO).select("a", "b").collect()}
+    assert len(matches) > 50 and matches <= got
+
+
+def test_conflicts_of_all_fields_by_one_aggregation(spark):
+    """Against each field by itself, with the middle value as it is told there."""
+    import random
+
+    r = random.Random(8)
+    kinds = [None, -3.0, 0.0, 2.0, 100.0, 135.0, 1e6], [None, 100.0, 110.0, 125.0, 140.0, 150.0], [-100.0, -110.0, -125.0, -150.0]
+    rows = [(k, f"https://s{r.randint(0, 3)}.org/x", r.choice(kinds[k % 3]), r.choice(kinds[k // 3 % 3]), r.choice([None, "A", " a ", "b", "n/a"])) for k in [r.randint(0, 80) for _ in range(500)]]
+    df = spark.createDataFrame(rows, "k int, url string, price double, share double, flag string")
+    domain = df.withColumn("d", F.regexp_extract("url", "s[0-9]", 0))
+    parts = [quality.numeric_conflicts(domain, "k", c, "d", most).select("k", F.lit(c).alias("field"), "conflict") for c, most in (("price", 0.35), ("share", 0.2))]
+    parts.append(quality.text_conflicts(domain, "k", "flag", "d").select("k", F.lit("flag").alias("field"), "conflict"))
+    each = parts[0].union(parts[1]).union(parts[2]).filter("conflict").groupBy("k").agg(F.count("field").alias("fields"), F.max(F.col("field") == "share").alias("on_target"))
+    want = {tuple(x) for x in each.filter("on_target or fields >= 2").collect()}
+    assert len(want) > 20
+    got = quality.conflicting_entities(df, "k", "url", ["price", "share"], ["flag"], "share")
+    assert {tuple(x) for x in got.collect()} == want
+    facts = quality.source_facts(df, "k", "url", {"price": 0.35, "share": 0.2}, ["flag"])
+    assert facts.filter("c0 is null or c1 is null").count() > 0  # the middle value had to tell for some
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Expand" not in plan
+
+
+def test_distinct_counts_without_copies_of_rows(spark, monkeypatch):
+    rows = [(i, i % 7, None if i % 3 else f"t{i % 50}", -0.0 if i % 2 else 0.0, [i % 2], float("nan")) for i in range(3000)] + [(None,) * 6]
+    df = spark.createDataFrame(rows, "a int, `b.c` int, t string, z double, l array<int>, nan double")
+    want = {"a": (3000, 3000), "b.c": (3000, 7), "t": (1000, 50), "z": (3000, 1), "l": (3000, 2), "nan": (3000, 1)}
+    for few in (quality.FEW, 5, 10**6):
+        monkeypatch.setattr(quality, "FEW", few)
+        out = profiling.profile(df)
+        assert {x["column"]: (x["non_null"], x["distinct"]) for x in out.collect()} == want
+        assert {x["rows"] for x in out.collect()} == {3001}
+        assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {x["column"]: x["distinct"] for x in profiling.profile(df.limit(0)).collect()} == dict.fromkeys(df.columns, 0)
+
+
+def test_first_values_of_all_columns_in_one_scan(spark):
+    from tablesmith.operators import matching
+
+    rows = [(i, None if i % 4 else f"n{i}", i * 2 if i > 50 else None, "n/a" if i < 20 else "x", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "p int, a string, b int, c string, none string").repartition(6)
+    got = matching.head_samples(df, ["a", "b", "c", "none"], "p", 5)
+    assert got == {"a": ["n0", "n4", "n8", "n12", "n16"], "b": ["102", "104", "106", "108", "110"], "c": ["x"] * 5, "none": []}
+    assert matching.head_samples(df.limit(0), ["a"], "p", 5) == {"a": []}
