@@ -7,13 +7,16 @@ from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tablesmith.operators.columns import slug
 from tablesmith.operators.tables import append_distinct, fingerprint
+from tablesmith.sources import commits
 
 #: Most rows of a JSON report.
 REPORT = 10_000
+#: Where the text of a row that can't be read stands, and how records are written.
+BROKEN, JSON = "__broken", {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 #: States of a job, and those from which it may move on.
 STATES = {"queued": ("running", "failed"), "running": ("completed", "failed", "partial_success"), "completed": (), "failed": (), "partial_success": ()}
 
@@ -50,21 +53,39 @@ def run_key(goal: str, dataset: str, schema: StructType) -> str:
 
 
 def save_checkpoint(new: DataFrame, path: str, key: str, pos: str) -> None:
-    """Append the records that the run's checkpoint lacks; earlier files are never rewritten."""
+    """Append the records that the run's checkpoint lacks, each once; earlier files are never rewritten.
+
+    Several writers may do so at a time: one that another was faster than leaves out what that one has added.
+    """
     spark, columns = new.sparkSession, [c for c in new.columns if c != pos]
-    known = load_checkpoint(spark, path, key, new.schema)
-    fresh = append_distinct(known.limit(0), new, columns, pos)
     mark = lambda d: d.withColumn("__mark", fingerprint(columns))
-    fresh = mark(fresh).join(mark(known).select("__mark"), "__mark", "left_anti").drop("__mark")
-    fresh.withColumn("run", F.lit(key)).write.mode("append").partitionBy("run").parquet(path)
+
+    def write(parts: list[str], to: str) -> None:
+        known = _records(spark, f"{path}/run={key}", parts, new.schema).filter(f"{BROKEN} is null")
+        fresh = append_distinct(known.drop(BROKEN).limit(0), new, columns, pos)
+        fresh = mark(fresh).join(mark(known).select("__mark"), "__mark", "left_anti").drop("__mark")
+        fresh.write.options(**JSON).json(to, compression="gzip")
+
+    commits.add(spark, f"{path}/run={key}", write)
+
+
+def _records(spark: SparkSession, root: str, parts: list[str], schema: StructType) -> DataFrame:
+    whole = StructType([*(StructField(f.name, f.dataType, True) for f in schema), StructField(BROKEN, StringType())])
+    told = F.from_json("value", whole, JSON | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+    read = lambda paths: spark.read.text(paths).select(told.alias("r")).select("r.*")
+    return commits.read_parts(spark, root, parts, read, spark.createDataFrame([], whole))
 
 
 def load_checkpoint(spark: SparkSession, path: str, key: str, schema: StructType) -> DataFrame:
-    """Records of a run; none if nothing was saved for exactly this run."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run={key}")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/run={key}")
+    """Records of a run; none if nothing was saved for exactly this run. Rows that can't be read are left aside (`broken_records`)."""
+    root = f"{path}/run={key}"
+    return _records(spark, root, commits.committed(spark, root), schema).filter(f"{BROKEN} is null").drop(BROKEN)
+
+
+def broken_records(spark: SparkSession, path: str, key: str, schema: StructType) -> DataFrame:
+    """The text of a run's rows that don't fit the schema or are no JSON: column text."""
+    root = f"{path}/run={key}"
+    return _records(spark, root, commits.committed(spark, root), schema).filter(f"{BROKEN} is not null").select(F.col(BROKEN).alias("text"))
 
 
 def write_steps(steps: DataFrame, path: str, run: str) -> None:

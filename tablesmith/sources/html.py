@@ -20,8 +20,8 @@ from tablesmith.session import ship
 #: Words that show that a first row is a header.
 BUILDER_WORDS = ("name", "player", "team", "salary", "company", "bank", "state", "club")
 EXTRACTOR_WORDS = ("name", "team", "school", "player", "company", "conference")
-#: Most rows or columns that one cell covers, as in the HTML standard for columns.
-SPAN = 1000
+#: Most rows and columns that one cell covers, by the HTML standard.
+SPANS = {"rowspan": 65534, "colspan": 1000}
 CELLS = "array<struct<table_idx int, row_idx int, col_idx int, header boolean, text string>>"
 
 
@@ -58,7 +58,7 @@ def _tables_in(html: str) -> list[list[list[dict]]]:
             if not m.group(2):
                 if not t["rows"]:
                     t["rows"].append([])
-                spans = {k.lower(): max(1, min(SPAN, int(v))) for k, v in _SPANS.findall(m.group(4))} if m.group(4) else {}
+                spans = {k.lower(): max(1, min(SPANS[k.lower()], int(v))) for k, v in _SPANS.findall(m.group(4))} if m.group(4) else {}
                 t["cell"] = {"text": [], "header": tag == "th", "head": t["head"], "rows": spans.get("rowspan", 1), "cols": spans.get("colspan", 1)}
                 t["rows"][-1].append(t["cell"])
         elif tag == "tr" and not m.group(2):
@@ -72,7 +72,7 @@ def _tables_in(html: str) -> list[list[list[dict]]]:
 def parse_cells(html: str | None) -> list[tuple]:
     """(table, row, column, header, text) of all cells; a cell that spans is repeated in each place it covers.
 
-    A cell covers SPAN rows or columns at most. Header rows are those in a thead, and rows of th cells before any other
+    A cell covers as many rows and columns as the standard allows (SPANS) at most. Header rows are those in a thead, and rows of th cells before any other
     row. A table without rows gives nothing.
     """
     out, number = [], 0

@@ -105,6 +105,10 @@ def needs_verification(text: Column) -> Column:
     return any_of(F.lower(text), VERIFICATION)
 
 
+#: Fixed value: what ends a line of a text.
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+
+
 def signature(text: Column, lines: int = 25) -> Column:
     """Struct of a snapshot's first lines, and its length with a hash of all its lines: what tells whether it has changed."""
     own = snapshot_lines(text)
@@ -114,7 +118,7 @@ def signature(text: Column, lines: int = 25) -> Column:
 
 def snapshot_lines(text: Column) -> Column:
     """A snapshot's lines that aren't blank, without outer white space."""
-    return F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0B\f]"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, LINE_END), strip), lambda x: x != "")
 
 
 def stats_request(url: Column) -> Column:
@@ -163,7 +167,7 @@ def document_text(pages: DataFrame, column: str, into: str = "text", most: int =
 
 def lines_of(snapshots: DataFrame, column: str, *keep: str) -> DataFrame:
     """keep, line_no, line of the lines that aren't blank."""
-    return snapshots.select(*keep, F.posexplode(F.split(column, r"\r\n|[\n\r\x0B\f]")).alias("line_no", "line")).withColumn("line", strip(F.col("line"))).filter("line <> ''")
+    return snapshots.select(*keep, F.posexplode(F.split(column, LINE_END)).alias("line_no", "line")).withColumn("line", strip(F.col("line"))).filter("line <> ''")
 
 
 def clean_line(line: Column, roles: str = LINE_ROLES) -> Column:

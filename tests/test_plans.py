@@ -94,7 +94,7 @@ def test_html_cells():
     assert html.parse_cells(None) == [] and html.parse_cells("<p>none</p>") == []
     odd = """<TABLE><!-- <td>no</td> --><tr><td title="a > b">1 &lt; 2<script>if (a<td) {}</script></td><td COLSPAN='2'>x<br>y<table><tr><td>in</td></tr></table>z</td></tr><tr><td>u<td>v</table>after"""
     assert [(n, r, c, t) for n, r, c, _, t in html.parse_cells(odd)] == [(0, 0, 0, "1 < 2"), (0, 0, 1, "x yz"), (0, 0, 2, "x yz"), (0, 1, 0, "u"), (0, 1, 1, "v"), (1, 0, 0, "in")]
-    assert len(html.parse_cells("<table><tr><td colspan=99999 rowspan=3>x</td></tr></table>")) == html.SPAN
+    assert len(html.parse_cells("<table><tr><td colspan=99999 rowspan=3>x</td></tr></table>")) == html.SPANS["colspan"]
 
 
 def test_digit_headers_are_replaced(spark):
