@@ -112,17 +112,23 @@ def health_of(fetches: DataFrame, extractions: DataFrame | None = None) -> DataF
     return out.withColumns({"penalty": penalty, "cooldown": cooldown, "known_bad": known_bad})
 
 
-#: Pieces that the positions of a log are cut into when runs are looked for.
-PIECES = 256
+#: Pieces that the positions of a log are cut into when runs are looked for, and rows of a key up to which it isn't cut.
+PIECES, WHOLE = 256, 1_000_000
 
 
 def rejection_runs(log: DataFrame, key: str, pos: str, rejected: Column, threshold: int = 3) -> DataFrame:
     """Per key the longest run of rejections in a row, and whether it reaches the threshold: gaps and islands.
 
-    Positions are numbers. Runs are counted within pieces of the log, of which no task sees more than one for a key;
-    then the pieces of a key are put together by the rejections that each begins and ends with.
+    Positions are numbers. If a key has more than WHOLE rows, runs are counted within pieces of the log, of which no
+    task sees more than one for a key; then the pieces of a key are put together by the rejections that each begins
+    and ends with. Else one shuffle by key does.
     """
-    span = log.agg(F.min(pos).alias("a"), F.max(pos).alias("b")).first()
+    per = log.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("a"), F.max(pos).alias("b"))
+    span = per.agg(F.max("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).first()
+    if (span["n"] or 0) <= WHOLE:
+        rows = log.select(key, pos, F.coalesce(rejected, F.lit(False)).cast("int").alias("bad"))
+        rows = rows.withColumn("island", F.sum(1 - F.col("bad")).over(Window.partitionBy(key).orderBy(pos)))
+        return rows.groupBy(key, "island").agg(F.sum("bad").alias("run")).groupBy(key).agg(F.max("run").alias("longest")).withColumn("abort", F.col("longest") >= threshold)
     width = max(1, (int(span["b"]) - int(span["a"])) // PIECES + 1) if span["a"] is not None else 1
     rows = log.select(key, pos, F.floor((F.col(pos) - F.lit(span["a"])) / width).alias("piece"), F.coalesce(rejected, F.lit(False)).cast("int").alias("bad"))
     rows = rows.withColumn("island", F.sum(1 - F.col("bad")).over(Window.partitionBy(key, "piece").orderBy(pos)))

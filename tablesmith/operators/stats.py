@@ -20,12 +20,13 @@ ACCURACY, FEW, TIMES = 1000, 20_000, 4
 def exact_quantiles(df: DataFrame, values: dict[str, Column], shares: tuple[float, ...]) -> dict[str, tuple[int, list[float | None]]]:
     """For each name: how many values there are, and its quantiles, interpolated linearly between neighbouring ranks.
 
-    Nulls and NaN count for nothing; without any value all quantiles are null.
+    Nulls and NaN count for nothing; without any value all quantiles are null. Columns of FEW distinct values or fewer
+    are settled by one more pass, in which tasks count these; the others by brackets.
     """
     names = list(values)
     number = {c: F.nanvl(values[c].cast("double"), F.lit(None).cast("double")) for c in names}
     reach = [max(0.0, min(1.0, s + d)) for s in shares for d in (-2 / ACCURACY, 2 / ACCURACY)]
-    first = df.agg(*[x for i, c in enumerate(names) for x in (F.count(number[c]).alias(f"n{i}"), F.percentile_approx(number[c], reach, ACCURACY).alias(f"q{i}"), F.min(number[c]).alias(f"a{i}"), F.max(number[c]).alias(f"b{i}"))]).first()
+    first = df.agg(*[x for i, c in enumerate(names) for x in (F.count(number[c]).alias(f"n{i}"), F.percentile_approx(number[c], reach, ACCURACY).alias(f"q{i}"), F.min(number[c]).alias(f"a{i}"), F.max(number[c]).alias(f"b{i}"), F.approx_count_distinct(number[c]).alias(f"k{i}"))]).first()
     # a task for each rank that is wanted: column, rank, bracket
     found: dict[tuple[str, int], float] = {}
     open_: dict[tuple[str, int], tuple[float, float]] = {}
@@ -36,6 +37,14 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], shares: tuple[floa
             high = first[f"b{i}"] if s >= 1 - 2 / ACCURACY else first[f"q{i}"][2 * k + 1]
             for rank in {math.floor(s * (n - 1)), math.ceil(s * (n - 1))}:
                 open_[c, rank] = (low, high)
+    few = [(c, rank) for c, rank in open_ if first[f"k{names.index(c)}"] <= FEW]
+    if few:
+        # the value at a rank is the first up to which there are so many
+        at = [F.expr(f"percentile_disc({(rank + 0.5) / first[f'n{names.index(c)}']!r}D) WITHIN GROUP (ORDER BY v{names.index(c)})").alias(f"x{j}") for j, (c, rank) in enumerate(few)]
+        told = df.select(*[number[c].alias(f"v{i}") for i, c in enumerate(names)]).agg(*at).first()
+        for j, key in enumerate(few):
+            found[key] = told[f"x{j}"]
+            del open_[key]
     turn = 0
     while open_:
         turn += 1

@@ -244,8 +244,9 @@ def test_runs_over_pieces(spark, monkeypatch):
     rows = [(k, p, k == "all" or (k != "none" and r.random() < 0.7)) for k in ("a", "b", "all", "none") for p in sorted(r.sample(range(1000), 120))]
     df = spark.createDataFrame(rows, "k string, p int, bad boolean")
     want = {k: max(len(list(g)) if bad else 0 for bad, g in itertools.groupby(x[2] for x in rows if x[0] == k)) for k in ("a", "b", "all", "none")}
-    for pieces in (1, 7, 256):
+    for pieces, whole in ((1, 0), (7, 0), (256, 0), (256, 120)):
         monkeypatch.setattr(ranking, "PIECES", pieces)
+        monkeypatch.setattr(ranking, "WHOLE", whole)
         got = {x["k"]: (x["longest"], x["abort"]) for x in ranking.rejection_runs(df, "k", "p", F.col("bad")).collect()}
         assert got == {k: (n, n >= 3) for k, n in want.items()}
     assert ranking.rejection_runs(df.limit(0), "k", "p", F.col("bad")).count() == 0
