@@ -172,10 +172,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("part int, seq long, doc_id long, ids array<int>").orc(path)
+    """part, seq, doc_id (of the type with which it was written) and ids."""
+    return spark.read.orc(path).select("part", "seq", "doc_id", "ids")
 
 
-def find_tokens(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+def find_tokens(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
     """Rows of some documents; the filter reaches the ORC reader, which prunes by statistics and Bloom filters."""
     return read_tokens(spark, path).filter(F.col("doc_id").isin(doc_ids))
 

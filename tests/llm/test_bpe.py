@@ -115,3 +115,14 @@ def test_numbers_of_words_that_share_a_hash(monkeypatch):
 @pytest.mark.parametrize("numbers", [[], [0], [1, 2**32 - 1, 70000, 0]])
 def test_packing(numbers):
     assert blocks.unpack(blocks.pack(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_token_files_keep_the_type_of_ids(spark, tmp_path):
+    from tablesmith.llm import token_table
+
+    path = str(tmp_path / "t")
+    docs = spark.createDataFrame([("b", "two words"), ("a", "one"), (None, "")], "doc_id string, text string")
+    token_table.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), path)
+    got = [r.doc_id for r in token_table.summary(token_table.read_tokens(spark, path)).orderBy("start").collect()]
+    assert got == [None, "a", "b"]
+    assert token_table.find_tokens(spark, path, ["b"]).count() == 1
