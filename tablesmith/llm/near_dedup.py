@@ -330,6 +330,8 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, bands: int) -> DataFra
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 36) -> DataFrame:
     """The rows of docs that stay: of each component the document with the smallest id, once even if its row is repeated.
 
+    Of rows with the same id and text that differ in other columns, the one with the least hash of all columns stays.
+
     Documents without words all stay. Components are told apart by what they hold, not by their ids: null ids and rows
     that share an id but differ in their texts lose nothing. A null id stays where its component has no other.
     """
@@ -340,7 +342,8 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands:
     spoken = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     rows = docs.filter(spoken).select(F.struct("*").alias("__row"), "doc_id", key.alias("__key"))
     rows = rows.join(stays, rows["doc_id"].eqNullSafe(stays["__id"]) & (rows["__key"] == stays["__key"])).select("__row", rows["doc_id"], rows["__key"])
-    once = rows.groupBy("doc_id", "__key").agg(F.first("__row").alias("__row"))  # repeats go before the shuffle
+    told = [F.col("__row")[c] for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    once = rows.groupBy("doc_id", "__key").agg(F.min_by("__row", F.xxhash64(F.lit(1), *told)).alias("__row"))  # repeats go before the shuffle
     return once.select("__row.*").unionByName(docs.filter(~spoken))
 
 

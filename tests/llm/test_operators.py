@@ -747,3 +747,9 @@ def test_pipeline(spark, docs, none, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
+
+
+def test_rows_that_differ_in_their_source_only_are_told_apart_alike(spark):
+    rows = [(1, "one text of several words for all of them", "en", f"src{i}", i) for i in range(20)]
+    kept = {near_dedup.keep_one(spark.createDataFrame(random.Random(k).sample(rows, 20), COLUMNS).repartition(k)).first().source for k in (1, 3, 7)}
+    assert len(kept) == 1
