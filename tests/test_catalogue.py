@@ -52,3 +52,14 @@ def test_query(name, spark, sf, duck):
 
 def test_flagship(spark, sf):
     assert {"column", "non_null", "distinct"} <= set(catalogue.flagship(spark, sf).columns)
+
+
+def test_built_table_of_equal_metrics(spark, sf, duck, tmp_path):
+    """In a large table every thing has the same greatest size and the same least price; the columns stay."""
+    duck.sql(f"COPY (SELECT * REPLACE (50::INT AS p_size, 900.0::DOUBLE AS p_retailprice) FROM part) TO '{tmp_path}/part.parquet'")
+    df = catalogue.queries()["built_table"](spark, str(tmp_path))
+    sql = catalogue.oracle_sql()["built_table"].replace("FROM part", f"FROM '{tmp_path}/part.parquet'")
+    found = duck.execute(sql)
+    names = [x[0] for x in found.description]
+    assert df.columns == names
+    assert rows(df.columns, df.collect()) == rows(names, found.fetchall())
