@@ -40,6 +40,22 @@ def test_states_of_odd_snapshots(spark):
     assert [(r["title"], r["summary"], r["lines"], r["links"]) for r in got] == [(None, "", 0, []), (None, "", 0, []), ("A", "A", 1, [])]
 
 
+def test_links_of_a_long_snapshot(spark):
+    """The first links that differ in reference or label, each as it stood first; a page's time grows with its lines, not their square."""
+    import time
+
+    often = [f'link "L{i // 3 % 30}" [ref=e{i // 3 % 30}] https://x.example/{i}' for i in range(1000)]
+    lines = [*often, *(f'link "M{i}" [ref=e{i}]' for i in range(7000)), 'row "plain" cell']
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(often))], "i int, s string")
+    began = time.monotonic()
+    got = {r["i"]: r for r in pages.page_state(df, "s", "i").collect()}
+    took = time.monotonic() - began
+    first = [(f"@e{i}", f"L{i}", f"https://x.example/{3 * i}") for i in range(30)]
+    assert [(x["ref"], x["label"], x["url"]) for x in got[2]["links"]] == first
+    assert [(x["ref"], x["label"], x["url"]) for x in got[1]["links"]] == [*first, *((f"@e{i}", f"M{i}", None) for i in range(10))]
+    assert got[1]["lines"] == got[1]["row_signals"] == 8001 and took < 60, took
+
+
 def test_model_seams(spark):
     """Answers that are no JSON, no list or no blueprint; the number of times a model is asked, and what it is given."""
     import json
