@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
-from itertools import groupby
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablesmith.functions.text import MISSING, clean_cell, is_numeric_like, missing, parse_money, strip
 from tablesmith.operators.columns import normalize, unique
@@ -22,7 +22,7 @@ BUILDER_WORDS = ("name", "player", "team", "salary", "company", "bank", "state",
 EXTRACTOR_WORDS = ("name", "team", "school", "player", "company", "conference")
 #: Most rows and columns that one cell covers, by the HTML standard.
 SPANS = {"rowspan": 65534, "colspan": 1000}
-CELLS = "array<struct<table_idx int, row_idx int, col_idx int, header boolean, text string>>"
+CELLS = "table_idx int, row_idx int, col_idx int, header boolean, text string"
 
 
 #: Comments, scripts and styles (which hold no markup), other tags with their attributes, and attributes.
@@ -30,11 +30,17 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$
 _SPANS = re.compile(r"""\b(rowspan|colspan)\s*=\s*["']?\s*(\d+)""", re.IGNORECASE)
 
 
-def _tables_in(html: str) -> list[list[list[dict]]]:
-    """Rows of cells (text, header, head, rows, cols) of all tables, nested ones apart, in the order in which they begin."""
-    found: list[list] = []
+#: Rows that a task hands on at a time.
+BATCH = 2000
+
+
+def _rows_in(html: str) -> Iterator[tuple[int, list[dict]]]:
+    """(table, cells) of each row that has cells, once it is whole; a cell has text, header, head, rows, cols.
+
+    Tables, nested ones apart, are numbered as they begin. Only the rows of open tables are held.
+    """
     open_: list[dict] = []
-    at = 0
+    begun = at = 0
     for m in _TOKEN.finditer(html):
         if open_ and open_[-1]["cell"] and m.start() > at:
             open_[-1]["cell"]["text"].append(html[at : m.start()])
@@ -43,11 +49,13 @@ def _tables_in(html: str) -> list[list[list[dict]]]:
         if not tag:
             continue
         if tag == "table":
-            if m.group(2):
-                open_[-1:] = []
-            else:
-                found.append([])
-                open_.append({"rows": found[-1], "cell": None, "head": False})
+            if not m.group(2):
+                open_.append({"number": begun, "row": [], "cell": None, "head": False})
+                begun += 1
+            elif open_:
+                t = open_.pop()
+                if t["row"]:
+                    yield t["number"], t["row"]
         elif not open_:
             continue
         elif tag in ("thead", "tbody", "tfoot"):
@@ -56,140 +64,153 @@ def _tables_in(html: str) -> list[list[list[dict]]]:
             t = open_[-1]
             t["cell"] = None
             if not m.group(2):
-                if not t["rows"]:
-                    t["rows"].append([])
                 spans = {k.lower(): max(1, min(SPANS[k.lower()], int(v))) for k, v in _SPANS.findall(m.group(4))} if m.group(4) else {}
                 t["cell"] = {"text": [], "header": tag == "th", "head": t["head"], "rows": spans.get("rowspan", 1), "cols": spans.get("colspan", 1)}
-                t["rows"][-1].append(t["cell"])
+                t["row"].append(t["cell"])
         elif tag == "tr" and not m.group(2):
-            open_[-1]["cell"] = None
-            open_[-1]["rows"].append([])
+            t = open_[-1]
+            row, t["row"], t["cell"] = t["row"], [], None
+            if row:
+                yield t["number"], row
         elif tag == "br" and open_[-1]["cell"]:
             open_[-1]["cell"]["text"].append(" ")
-    return found
+    for t in open_:
+        if t["row"]:
+            yield t["number"], t["row"]
 
 
-def parse_cells(html: str | None) -> list[tuple]:
-    """(table, row, column, header, text) of all cells; a cell that spans is repeated in each place it covers.
+def _cells_in(html: str) -> Iterator[tuple[int, int, list[tuple]]]:
+    """(table, row, cells as (column, header, text)) of each row; a cell that spans is repeated in each place it covers.
 
-    A cell covers as many rows and columns as the standard allows (SPANS) at most. Header rows are those in a thead, and rows of th cells before any other
-    row. A table without rows gives nothing.
+    A cell covers as many rows and columns as the standard allows (SPANS) at most. Header rows are those in a thead, and
+    rows of th cells before any other row.
     """
-    out, number = [], 0
-    for rows in _tables_in(html or ""):
-        rows = [r for r in rows if r]
-        if not rows:
-            continue
-        late: dict[int, dict[int, str]] = {}  # what cells above put into rows to come
-        seen_body = False
-        for i, row in enumerate(rows):
-            heading = all(c["header"] for c in row) and not seen_body or all(c["head"] for c in row)
-            seen_body |= not heading
-            full, at = late.pop(i, {}), 0
-            own: dict[int, tuple[bool | None, str]] = {c: (None, t) for c, t in full.items()}
-            for cell in row:
-                while at in full:
-                    at += 1
-                text = " ".join(unescape("".join(cell["text"])).split())
-                for c in range(at, at + cell["cols"]):
-                    own[c] = heading, text
-                    for r in range(i + 1, min(i + cell["rows"], len(rows))):
-                        late.setdefault(r, {})[c] = text
-                at += cell["cols"]
-            out += [(number, i, c, *own[c]) for c in sorted(own)]
-        number += 1
-    return out
-
-
-@cache
-def _parse():
-    kind = pa.list_(pa.struct([("table_idx", pa.int32()), ("row_idx", pa.int32()), ("col_idx", pa.int32()), ("header", pa.bool_()), ("text", pa.string())]))
-
-    @F.arrow_udf(CELLS)
-    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            yield pa.array([[dict(zip(("table_idx", "row_idx", "col_idx", "header", "text"), c, strict=True)) for c in parse_cells(x)] for x in column.to_pylist()], kind)
-
-    return parse
+    known: dict[int, dict] = {}
+    for number, row in _rows_in(html):
+        t = known.setdefault(number, {"row": 0, "late": {}, "body": False})
+        i, late = t["row"], t["late"]  # late: of each column, where cells above end and their texts, the nearest end last
+        t["row"] += 1
+        heading = all(c["header"] for c in row) and not t["body"] or all(c["head"] for c in row)
+        t["body"] |= not heading
+        for c in list(late):
+            while late[c] and late[c][-1][0] <= i:
+                late[c].pop()
+            if not late[c]:
+                del late[c]
+        full, at = {c: x[-1][1] for c, x in late.items()}, 0
+        own: dict[int, tuple[bool | None, str]] = {c: (None, text) for c, text in full.items()}
+        for cell in row:
+            while at in full:
+                at += 1
+            text = " ".join(unescape("".join(cell["text"])).split())
+            for c in range(at, at + cell["cols"]):
+                own[c] = heading, text
+                if cell["rows"] > 1:
+                    above, end = late.setdefault(c, []), i + cell["rows"]
+                    while above and above[-1][0] <= end:
+                        above.pop()
+                    above.append((end, text))
+            at += cell["cols"]
+        yield number, i, [(c, *own[c]) for c in sorted(own)]
+
+
+def parse_cells(html: str | None) -> list[tuple]:
+    """(table, row, column, header, text) of all cells (`_cells_in`). A table without rows gives nothing."""
+    found: dict[int, list[tuple]] = {}
+    for number, r, cells in _cells_in(html or ""):
+        found.setdefault(number, []).extend((r, *c) for c in cells)
+    return [(place, *c) for place, number in enumerate(sorted(found)) for c in found[number]]
+
+
+def cells_of(html: str | None) -> Iterator[tuple]:
+    """What `parse_cells` gives, row by row: the page is read twice, as only its end tells which tables have rows."""
+    places = {number: place for place, number in enumerate(sorted({number for number, _ in _rows_in(html or "")}))}
+    for number, r, cells in _cells_in(html or ""):
+        for c in cells:
+            yield places[number], r, *c
+
+
+def _streamed(pages: DataFrame, keep: tuple[str, ...], more: str, kinds: dict[str, pa.DataType], read: Callable[[str | None], Iterable[tuple]]) -> DataFrame:
+    """keep and the columns of `more`: the rows that `read` gives for each page's html, handed on in batches, so that a task
+    holds a page's text and not all its rows."""
+    ship(pages.sparkSession)
+    own = pages.select(*keep, "html")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([*(batch.schema.field(c) for c in keep), *(pa.field(n, k) for n, k in kinds.items())])
+            for i in range(batch.num_rows):
+                kept = [batch.column(c)[i].as_py() for c in keep]
+                found = iter(read(batch.column("html")[i].as_py()))
+                while part := list(islice(found, BATCH)):
+                    columns = [[v] * len(part) for v in kept] + list(zip(*part, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return own.mapInArrow(rows, StructType([*own.drop("html").schema.fields, *StructType.fromDDL(more).fields]))
 
 
 def html_cells(pages: DataFrame, keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """Cells of pages (url, html): keep, table_idx, row_idx, col_idx, header, text. Null pages and pages without tables give none."""
-    ship(pages.sparkSession)
-    return pages.select(*keep, F.explode(_parse()("html")).alias("c")).select(*keep, "c.*")
+    kinds = {"table_idx": pa.int32(), "row_idx": pa.int32(), "col_idx": pa.int32(), "header": pa.bool_(), "text": pa.string()}
+    return _streamed(pages, keep, CELLS, kinds, cells_of)
 
 
 def absent_cell(text: str) -> bool:
     return text.strip().lower() in MISSING["empty_row"]
 
 
-def tables_of(html: str | None, words: tuple[str, ...]) -> list[tuple[int, list[str], list[tuple[int, list[str]]]]]:
-    """(table, names, rows as (row, values)) of a page.
+def rows_of(html: str | None, words: tuple[str, ...], fields: tuple[str, ...] = ()) -> Iterator[tuple[int, int, list[str], list[str | None]]]:
+    """(table, row, names, values) of a page's data rows; with fields, each table's values in their order, as matched to its header.
 
     Several header rows are joined by column. If all headers are digits or missing, and the first row is informative
-    enough and has one of the words, it becomes the header. Rows that repeat the header, and empty ones, are gone.
+    enough and has one of the words, it becomes the header. Rows that repeat the header, and empty ones, are gone. The
+    page is read twice: first for the tables' headers and widths, then for their rows.
     """
-    out = []
-    for number, cells in groupby(parse_cells(html), key=lambda c: c[0]):
-        head: dict[int, list[str]] = {}
-        body: dict[int, dict[int, str]] = {}
-        for _, r, c, header, text in cells:
+    known: dict[int, dict] = {}
+    for number, r, cells in _cells_in(html or ""):
+        t = known.setdefault(number, {"head": {}, "width": 0, "first": None})
+        t["width"] = max(t["width"], cells[-1][0] + 1)
+        for c, header, text in cells:
             if header:
-                head.setdefault(c, []).append(text)
-            else:
-                body.setdefault(r, {})[c] = text
-        width = 1 + max([*head, *(c for row in body.values() for c in row)], default=-1)
+                t["head"].setdefault(c, []).append(text)
+        if t["first"] is None:
+            body = {c: text for c, header, text in cells if not header}
+            t["first"] = (r, body) if body else None
+    for place, number in enumerate(sorted(known)):
+        t = known[number]
+        head, width, (at, body) = t["head"], t["width"], t["first"] or (None, {})
         names = [" ".join(head[c]) if c in head else None for c in range(width)]
-        rows = sorted(body.items())
-        first = [rows[0][1].get(c, "") if rows else "" for c in range(width)]
+        first = [body.get(c, "") for c in range(width)]
         plain = all(n is None or re.fullmatch(r"(?i)(\d+|unnamed.*)?", n.strip()) for n in names)
-        told = sum(not absent_cell(t) for t in first)
-        if plain and told >= max(2, width // 2) and any(w in t.lower() for t in first for w in words):
-            names, rows = first, rows[1:]
-        names = [f"unnamed_{c}" if n is None else n for c, n in enumerate(names)]
-        low = [n.strip().lower() for n in names]
-        kept = []
-        for r, row in rows:
-            values = [row.get(c, "") for c in range(width)]
-            same = sum(v.strip().lower() == n != "" for v, n in zip(values, low, strict=True))
-            if same < max(2, width // 2) and not all(map(absent_cell, values)):
-                kept.append((r, values))
-        out.append((number, names, kept))
-    return out
-
-
-@cache
-def _tables(words: tuple[str, ...], fields: tuple[str, ...] = ()):
-    """Rows of a page's tables; with fields, each table's values in their order, as matched to its header."""
-    kind = pa.list_(pa.struct([("table_idx", pa.int32()), ("row_idx", pa.int32()), ("names", pa.list_(pa.string())), ("values", pa.list_(pa.string()))]))
-
-    @F.arrow_udf("array<struct<table_idx int, row_idx int, names array<string>, values array<string>>>")
-    def rows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            pages = []
-            for html in column.to_pylist():
-                page = []
-                for number, names, body in tables_of(html, words):
-                    places = list(range(len(names)))
-                    if fields:
-                        match = map_headers(names, list(fields))
-                        places = [names.index(match[f]) if f in match else None for f in fields]
-                    if fields and all(k is None for k in places):
-                        continue
-                    page += [{"table_idx": number, "row_idx": r, "names": names, "values": [None if k is None else values[k] for k in places]} for r, values in body]
-                pages.append(page)
-            yield pa.array(pages, kind)
-
-    return rows
+        told = sum(not absent_cell(x) for x in first)
+        promoted = plain and told >= max(2, width // 2) and any(w in x.lower() for x in first for w in words)
+        names = [f"unnamed_{c}" if n is None else n for c, n in enumerate(first if promoted else names)]
+        match = map_headers(names, list(fields)) if fields else {}
+        places = [names.index(match[f]) if f in match else None for f in fields] if fields else list(range(width))
+        t |= {"place": place, "names": names, "low": [n.strip().lower() for n in names], "places": places, "header": at if promoted else None}
+    for number, r, cells in _cells_in(html or ""):
+        t = known[number]
+        width, places = t["width"], t["places"]
+        row = {c: text for c, header, text in cells if not header}
+        if not row or r == t["header"] or all(k is None for k in places):
+            continue
+        values = [row.get(c, "") for c in range(width)]
+        same = sum(v.strip().lower() == n != "" for v, n in zip(values, t["low"], strict=True))
+        if same < max(2, width // 2) and not all(map(absent_cell, values)):
+            yield t["place"], r, t["names"], [None if k is None else values[k] for k in places]
+
+
+def _table_rows(pages: DataFrame, words: tuple[str, ...], fields: tuple[str, ...] = ()) -> DataFrame:
+    kinds = {"table_idx": pa.int32(), "row_idx": pa.int32(), "names": pa.list_(pa.string()), "values": pa.list_(pa.string())}
+    return _streamed(pages, ("url",), "table_idx int, row_idx int, names array<string>, values array<string>", kinds, lambda page: rows_of(page, words, fields))
 
 
 def table_rows(pages: DataFrame, words: tuple[str, ...] = BUILDER_WORDS) -> DataFrame:
-    """url, table_idx, row_idx, names, values: data rows of pages (url, html) with their table's header (`tables_of`).
+    """url, table_idx, row_idx, names, values: data rows of pages (url, html) with their table's header (`rows_of`).
 
-    A page is parsed once and by itself, so nothing is shuffled.
+    A page is parsed by itself, so nothing is shuffled.
     """
-    ship(pages.sparkSession)
-    return pages.select("url", F.explode(_tables(words)("html")).alias("r")).select("url", "r.*")
+    return _table_rows(pages, words)
 
 
 def table_frame(rows: DataFrame, url: str, table_idx: int) -> DataFrame:
@@ -209,10 +230,8 @@ def schema_rows(pages: DataFrame, fields: dict[str, str]) -> DataFrame:
     different headers. Cells are cleaned and cast, rows in which nothing could be read are dropped, and equal rows of
     a page stay once.
     """
-    ship(pages.sparkSession)
-    reader = _tables(EXTRACTOR_WORDS, tuple(fields))
-    rows = pages.select(F.col("url").alias("source_url"), F.explode(reader("html")).alias("r"))
-    cell = lambda i: clean_cell(F.get("r.values", F.lit(i)))
+    rows = _table_rows(pages, EXTRACTOR_WORDS, tuple(fields)).withColumnRenamed("url", "source_url")
+    cell = lambda i: clean_cell(F.get("values", F.lit(i)))
     typed = [(F.regexp_replace(cell(i), "[,$%]", "").try_cast(t) if t != "string" else cell(i)).alias(f) for i, (f, t) in enumerate(fields.items())]
     out = rows.select("source_url", *typed)
     return out.filter(F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull()).distinct()

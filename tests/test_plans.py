@@ -113,6 +113,31 @@ def test_html_cells():
     assert len(html.parse_cells("<table><tr><td colspan=99999 rowspan=3>x</td></tr></table>")) == html.SPANS["colspan"]
 
 
+def test_a_long_page_is_handed_on_in_batches():
+    """A task holds a page's text and some of its rows, not all of them."""
+    import tracemalloc
+
+    long = page(["Partkey", "Brand"], [(i, f"Brand#{i % 25}") for i in range(20_000)])
+    tracemalloc.start()
+    n = sum(1 for _ in html.rows_of(long, html.BUILDER_WORDS, ("partkey", "brand")))
+    cells = sum(1 for _ in html.cells_of(long))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000 and cells == 40_002 and most < len(long), (most, len(long))
+
+
+def test_rows_of_tables_in_tables(spark):
+    """Spans, nested tables and tables without rows, by cells and by rows: as `parse_cells` has them."""
+    odd = "<table><table><tr><th>A<th>B<tr><td rowspan=3 colspan=2>x<tr><td>1<tr><td>2<td rowspan=9>3</table><tr><td>in<table></table><table><tr><td>u</table><tr><td>v</table>"
+    df = spark.createDataFrame([(1, odd), (2, None), (3, "<p>")], "k int, html string")
+    got = sorted((r["table_idx"], r["row_idx"], r["col_idx"], r["header"], r["text"]) for r in html.html_cells(df, ("k",)).collect())
+    assert got == html.parse_cells(odd) and len(got) == 14
+    rows = html.table_rows(df.withColumnRenamed("k", "url")).collect()
+    assert sorted((r["table_idx"], r["row_idx"], r["values"]) for r in rows) == [
+        (0, 0, ["in"]), (0, 1, ["v"]), (1, 1, ["x", "x", "", ""]), (1, 2, ["x", "x", "1", ""]), (1, 3, ["x", "x", "2", "3"]), (2, 0, ["u"]),
+    ]
+
+
 def test_digit_headers_are_replaced(spark):
     h = "<table><tr><th>0</th><th>1</th></tr><tr><td>Player</td><td>Salary</td></tr><tr><td>A</td><td>$51.4M</td></tr><tr><td>Player</td><td>Salary</td></tr></table>"
     rows = html.table_rows(spark.createDataFrame([("u", h)], "url string, html string")).collect()
