@@ -63,3 +63,17 @@ def test_built_table_of_equal_metrics(spark, sf, duck, tmp_path):
     names = [x[0] for x in found.description]
     assert df.columns == names
     assert rows(df.columns, df.collect()) == rows(names, found.fetchall())
+
+
+def test_page_states_of_many_customers(spark, duck, tmp_path):
+    """Pages of 3,200 lines: the query's rows are its SQL's, and its time doesn't grow with the square of a page's lines."""
+    import time
+
+    duck.sql(f"COPY (SELECT range AS c_custkey, (range % 25)::INT AS c_nationkey FROM range(80000)) TO '{tmp_path}/customer.parquet'")
+    began = time.monotonic()
+    df = catalogue.queries()["page_states"](spark, str(tmp_path))
+    got = df.collect()
+    took = time.monotonic() - began
+    found = duck.execute(catalogue.oracle_sql()["page_states"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet'"))
+    names = [x[0] for x in found.description]
+    assert rows(df.columns, got) == rows(names, found.fetchall()) and took < 60, took
