@@ -56,6 +56,18 @@ def test_links_of_a_long_snapshot(spark):
     assert got[1]["lines"] == got[1]["row_signals"] == 8001 and took < 60, took
 
 
+def test_state_reads_a_line_once(spark):
+    """A line is cleaned and told apart once, however many parts of a state ask; the summary takes lines by points, then place."""
+    lines = [*(f'link "P{i}" [ref=e{i}]' for i in range(40)), *(f'heading "H{i}" [ref=e{i}]' for i in range(25)), "search results 1 2 3", 'row "r" cell', "button row 1"]
+    df = pages.page_state(spark.createDataFrame([(1, "\n".join(lines))], "i int, s string"), "s", "i")
+    got, plan = df.first(), df._jdf.queryExecution().optimizedPlan().toString()
+    assert got["summary"].split("\n") == [*(f"P{i}" for i in range(5)), *(f"H{i}" for i in range(25))]
+    assert got["headings"] == [f"H{i}" for i in range(20)] and got["title"] == "H0" and len(got["links"]) == 40
+    assert got["table_lines"] == ['r" cell', "row 1"] and got["row_signals"] == 67 and got["lines"] == 68 and got["blocked"] == ["search results"]
+    asked = {p: plan.count(p) for p in (pages.LINE_PARTS[2][0], pages.TABLE_SIGNAL)}
+    assert set(asked.values()) == {1}, asked
+
+
 def test_model_seams(spark):
     """Answers that are no JSON, no list or no blueprint; the number of times a model is asked, and what it is given."""
     import json
